@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components
-from lumenfold.llm.scratch import BROADCAST_KEYS, Scratch
+from lumenfold.llm.scratch import BROADCAST_KEYS, Scratch, small_batches
 from lumenfold.llm.words import Texts, chunks, mix, shingle_sets, to_lists
 
 #: Values kept of each set; of these the lowest LISTED go to inverted lists.
@@ -127,8 +127,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     (nothing stands for them). An empty table gives an empty result. Other columns
     are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     sig = scratch.table(signatures(docs, words))
     named = sig.where("n_shingles > 0 and doc_id is not null")
     grouped = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))

@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_KEYS = 1_000_000
 
 
+#: Rows of an Arrow batch. Texts can be long, so the session's usual 10,000 rows could take hundreds of MB.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most BATCH_ROWS rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
