@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold.llm.decontaminate import find_leaks
 from lumenfold.llm.near_dedup import near_duplicates
+from lumenfold.llm.quality_rules import judged
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +19,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_documents(spark, sf_dir)).drop("host_rate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -32,8 +44,34 @@ e as (select doc_id, unnest(s) as v from s),
 n as (select doc_id, len(s) as n from s),
 i as (select x.doc_id as a, y.doc_id as b, count(*) as i from e x join e y on x.v = y.v and x.doc_id < y.doc_id group by all),
 l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
-both as (select a, b from l union select b, a from l),
-reach as (select a, b from both union select r.a, l.b from reach r join both l on r.b = l.a)
+pairs as (select a, b from l union select b, a from l),
+reach as (select a, b from pairs union select r.a, l.b from reach r join pairs l on r.b = l.a)
 select n.doc_id, n.n::bigint as n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) as component_id, n.doc_id = least(n.doc_id, coalesce(min(r.b), n.doc_id)) as kept
 from n left join reach r on r.a = n.doc_id group by n.doc_id, n.n""",
+    "op3_decontamination": rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+ds as (select doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as v from d where len(w) >= 5),
+bs as (select item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as v from b where len(w) >= 5),
+bn as (select item_id, count(*) as n from bs group by item_id)
+select doc_id, item_id, n as item_shingles, count(*) as shared, count(*) / n as containment
+from ds join bs using (v) join bn using (item_id) group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+    "op6_quality_rules": r"""
+with t as (select doc_id, source, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+g as (select doc_id, w[i:i + 4] as g, i from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w)),
+p as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
+r as (select doc_id, count(distinct i + j) as r from p, range(5) as x(j) group by doc_id),
+c as (select w.doc_id, source, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l) as n_lines, coalesce(r, 0)::bigint as n_repeat_words
+  from w left join r using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c),
+h as (select source, count(*) as n, count(*) filter (base_failed or 10 * n_symbols > word_chars or 10 * n_dup_lines > 3 * n_lines) as f from b where source is not null group by source),
+m as (select count(*) as k, sum(n) as n, (sum(f) + 0.5) / (sum(n) + 1) as mean, greatest(sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2, 0) as spread from h),
+e as (select mean, spread - mean * (1 - mean) * (k - 1) / n as between_hosts from m),
+s as (select mean, least(greatest(case when between_hosts > 0 then mean * (1 - mean) / between_hosts - 1 else 1e6 end, 2), 1e6) as size from e),
+v as (select source, (f + mean * size) / (n + size) as rate from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(rate, 0) <= 0.5 as kept
+from b left join v using (source)""",
 }
