@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold.llm.bpe import digests
 from lumenfold.llm.decontaminate import find_leaks
 from lumenfold.llm.near_dedup import near_duplicates
 from lumenfold.llm.quality_rules import judged
@@ -27,10 +29,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_documents(spark, sf_dir)).drop("host_rate")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op9_bpe": op9_bpe,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
