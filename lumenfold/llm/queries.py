@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm.bpe import digests
+from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
 from lumenfold.llm.near_dedup import near_duplicates
 from lumenfold.llm.quality_rules import judged
@@ -25,6 +26,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return read_back(formatted(rows, *vocabulary), *vocabulary)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_documents(spark, sf_dir)).drop("host_rate")
 
@@ -36,6 +45,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op9_bpe": op9_bpe,
 }
@@ -63,6 +73,16 @@ bs as (select item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3),
 bn as (select item_id, count(*) as n from bs group by item_id)
 select doc_id, item_id, n as item_shingles, count(*) as shared, count(*) / n as containment
 from ds join bs using (v) join bn using (item_id) group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+    "op5_chat_format": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f as (select *, sha256(text) as tie, case when role in ('system', 'user') then 11 + 2 * (role = 'user')::int when role = 'assistant' then 9
+    else 21 + length(replace(role, '\', '\\')) + len(regexp_extract_all(role, '<s>|</s>|\[/?INST\]|\[/?SYS\]|\[OUT\]|\[/?ROLE\]|\[/TURN\]')) end
+  + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<s>|</s>|\[/?INST\]|\[/?SYS\]|\[OUT\]|\[/?ROLE\]|\[/TURN\]')) as chars from c)
+select conv_id::bigint as conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, tie)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, tie) filter (role = 'assistant'), '')) as loss_sha256, (3 + sum(chars))::bigint as formatted_chars
+from f group by conv_id""",
     "op6_quality_rules": r"""
 with t as (select doc_id, source, coalesce(text, '') as text from documents),
 w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
