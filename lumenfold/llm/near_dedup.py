@@ -9,9 +9,12 @@
 4. The exact Jaccard similarity of the full sets confirms each link.
 
 Long lists are not multiplied out. First every member meets a few pivots of its
-lists; links found there merge most of a group of near copies. Then only members
-outside the largest component of a list meet the list's other components, so
-every pair that could still join two components is looked at.
+lists, those with the fewest values of their own; links found there merge most of
+a group of near copies. Then only members outside the largest component of a list
+meet the list's other components, so every pair that could still join two
+components is looked at. In that round the lists are of whole shingles, of each
+set the rarest that a similar set cannot all miss: rare edits keep the outer
+copies of a large group apart, which leaves few pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SKETCH, LISTED = 64, 32
 SHARED = 0.375
 #: Least part of the union's sketch that is common. At 0.8, less than 34 of 64 come about with 1e-7.
 ESTIMATE = 0.53
+#: Listed values that similar sets share: overlap less the unlisted ones. For sketches of 32, fewer than 3 come about with 1e-6.
+IN_COMMON = 3
 #: Pivots of a list, and pivots that one member is compared with, in the first round.
 PIVOTS, TRIED = 8, 4
 
@@ -95,23 +100,23 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("u", "i")) >= ESTIMATE * F.size("u")).select("a", "b")
 
 
-def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, written."""
-    pairs = scratch.table(_estimated(pairs, nodes))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, used: DataFrame, words: int) -> DataFrame:
+    """The full sets (node, full) of the used nodes, written."""
     wanted = scratch.table(nodes.select("node", "rep", "s1", "s2").join(used, "node", "left_semi"))
-    full = scratch.table(_full_sets(docs, wanted, wanted.count(), words))
+    return scratch.table(_full_sets(docs, wanted, wanted.count(), words))
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, written."""
     a, b = full.select(F.col("node").alias("a"), F.col("full").alias("x")), full.select(F.col("node").alias("b"), F.col("full").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    links = scratch.table(
+    return scratch.table(
         pairs.join(a, "a")
         .join(b, "b")
         .select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n"))
         .where(F.col("i") * 100 >= percent * (F.col("n") - F.col("i")))
         .select("a", "b")
     )
-    scratch.drop(full, wanted, pairs)
-    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -139,31 +144,52 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ranked = values.join(often, "v", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), F.col("v").alias("v")))).alias("r"))
     m = F.size("r")
     listed = m - F.greatest(F.lit(1), F.floor(m * SHARED)).cast("int") + 1
-    members = ranked.select("node", "n", F.explode(F.slice("r", F.lit(1), listed)).alias("r")).where("r.c > 1").select("node", "n", F.col("r.v").alias("v"))
+    own = F.size(F.filter("r", lambda x: x["c"] == 1))
+    members = ranked.select("node", "n", own.alias("own"), F.explode(F.slice("r", F.lit(1), listed)).alias("r")).where("r.c > 1").select("node", "n", "own", F.col("r.v").alias("v"))
     members = scratch.table(members)
 
     close = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    by_value = Window.partitionBy("v").orderBy("node")
-    pivots = members.withColumn("k", F.row_number().over(by_value)).where(F.col("k") <= PIVOTS).select("v", F.col("node").alias("p"), F.col("n").alias("pn"))
-    met = members.join(pivots, "v").where((F.col("node") > F.col("p")) & close).groupBy("node", "p").agg(F.count("*").alias("c"))
-    best = Window.partitionBy("node").orderBy(F.desc("c"), "p")
-    tried = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIED).select(F.col("p").alias("a"), F.col("node").alias("b"))
-    links = _verified(scratch, docs, nodes, tried, words, percent)
+    by_value = Window.partitionBy("v").orderBy("own", "node")
+    pivots = members.withColumn("k", F.row_number().over(by_value)).where(F.col("k") <= PIVOTS).select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("own").alias("po"))
+    later = F.struct("own", "node") > F.struct("po", "p")
+    met = members.join(pivots, "v").where(later & close).groupBy("node", "p").agg(F.count("*").alias("c"), F.first("po").alias("po"))
+    best = Window.partitionBy("node").orderBy(F.desc("c"), "po", "p")
+    tried = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIED).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    tried = scratch.table(_estimated(tried, nodes))
+    full = _sets_of(scratch, docs, nodes, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
+    links = _verified(scratch, tried, full, percent)
+    scratch.drop(full, tried)
     first = components(scratch, links)
 
     placed = members.join(first, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("c"))
     placed = scratch.table(placed)
-    sizes = placed.groupBy("v", "c").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("v", "main")
-    open_lists = placed.join(main, "v").select("v", "node", "n", "c", (F.col("c") == F.col("main")).alias("in_main"))
-    others = open_lists.where(~F.col("in_main")).select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+    parted = placed.groupBy("v", "c").agg(F.lit(1).alias("one")).groupBy("v").agg(F.count("*").alias("parts")).where("parts > 1").select("v")
+    open_ = placed.join(parted, "v").groupBy("node", "n", "c").agg(F.count("*").alias("k")).where((F.col("k") >= IN_COMMON) | (F.col("n") < 2 * IN_COMMON)).select("node", "n", "c")
+    open_ = scratch.table(open_)
+    full = _sets_of(scratch, docs, nodes, open_.select("node"), words)
+    shingles = full.select("node", F.explode("full").alias("x"))
+    shared = shingles.groupBy("x").agg(F.count("*").alias("times")).where("times > 1")
+    held = shingles.join(shared, "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "x"))).alias("r"))
+    # Similar sets share at least t of the larger, and over both sizes 2 t / (1 + t) of their mean.
+    alone = F.col("n") - F.size("r")
+    first_of = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    rare = held.join(open_, "node").where(first_of > 0).select("node", "n", "c", alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), first_of.cast("int"))).alias("at", "r"))
+    rare = scratch.table(rare.select("node", "n", "c", F.col("r.x").alias("x"), (F.col("alone") + F.col("at")).alias("at")))
+    sizes = rare.groupBy("x", "c").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("x", "main")
+    lists = rare.join(main, "x").withColumn("in_main", F.col("c") == F.col("main")).drop("main")
+    others = lists.where(~F.col("in_main")).select("x", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("at").alias("pat"))
+    overlap = F.ceil((F.col("n") + F.col("pn")) * percent / (100 + percent))
+    within = (F.col("at") <= F.col("n") - overlap) & (F.col("pat") <= F.col("pn") - overlap)
     rest = (
-        open_lists.join(others, "v")
-        .where((F.col("c") != F.col("pc")) & (F.col("in_main") | (F.col("node") > F.col("p"))) & close)
+        lists.join(others, "x")
+        .where((F.col("c") != F.col("pc")) & (F.col("in_main") | (F.col("node") > F.col("p"))) & within & close)
         .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         .distinct()
     )
-    links = links.union(_verified(scratch, docs, nodes, rest, words, percent))
+    rest = scratch.table(_estimated(rest, nodes))
+    links = links.union(_verified(scratch, rest, full, percent))
+    scratch.drop(full, rest)
     final = components(scratch, links)
 
     ids = nodes.join(final, "node", "left").select("s1", "s2", "rep", F.coalesce("root", "node").alias("root"))
