@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold.llm import language, quality_model, toxicity
 from lumenfold.llm.bpe import digests
 from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
@@ -38,16 +39,34 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_documents(spark, sf_dir)).drop("host_rate")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language.identified(docs, language.train(docs))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_model.scored(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
