@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import language, quality_model, toxicity
+from lumenfold.llm import language, lm, quality_model, toxicity
 from lumenfold.llm.bpe import digests
 from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
@@ -27,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_documents(spark, sf_dir))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -61,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op7_language": op7_language,
