@@ -12,9 +12,9 @@ Long lists are not multiplied out. First every member meets a few pivots of its
 lists, those with the fewest values of their own; links found there merge most of
 a group of near copies. Then only members outside the largest component of a list
 meet the list's other components, so every pair that could still join two
-components is looked at. In that round the lists are of whole shingles, of each
-set the rarest that a similar set cannot all miss: rare edits keep the outer
-copies of a large group apart, which leaves few pairs.
+components is looked at. Sets that meet in long lists only are listed anew by
+their whole shingles, of each set the rarest that a similar set cannot all miss:
+rare edits keep the outer copies of a large group apart, which leaves few pairs.
 """
 
 from __future__ import annotations
@@ -35,10 +35,14 @@ SKETCH, LISTED = 64, 32
 #: Listed values that two similar sets are sure to share: at similarity 0.8 fewer than
 #: 12 of 32 come about with a probability of 2e-8.
 SHARED = 0.375
+#: Least part of a sketch's listed values that some other sketch holds, if the set has a similar one: fewer than 14 of 32 come about with 1e-6.
+HELD = 0.4375
 #: Least part of the union's sketch that is common. At 0.8, less than 34 of 64 come about with 1e-7.
 ESTIMATE = 0.53
 #: Listed values that similar sets share: overlap less the unlisted ones. For sketches of 32, fewer than 3 come about with 1e-6.
 IN_COMMON = 3
+#: Members of a list from which on it is long.
+LONG = 64
 #: Pivots of a list, and pivots that one member is compared with, in the first round.
 PIVOTS, TRIED = 8, 4
 
@@ -145,7 +149,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     m = F.size("r")
     listed = m - F.greatest(F.lit(1), F.floor(m * SHARED)).cast("int") + 1
     own = F.size(F.filter("r", lambda x: x["c"] == 1))
-    members = ranked.select("node", "n", own.alias("own"), F.explode(F.slice("r", F.lit(1), listed)).alias("r")).where("r.c > 1").select("node", "n", "own", F.col("r.v").alias("v"))
+    members = ranked.where(m - own >= HELD * m).select("node", "n", own.alias("own"), F.explode(F.slice("r", F.lit(1), listed)).alias("r")).where("r.c > 1").select("node", "n", "own", F.col("r.v").alias("v"))
     members = scratch.table(members)
 
     close = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
@@ -163,8 +167,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     placed = members.join(first, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("c"))
     placed = scratch.table(placed)
-    parted = placed.groupBy("v", "c").agg(F.lit(1).alias("one")).groupBy("v").agg(F.count("*").alias("parts")).where("parts > 1").select("v")
-    open_ = placed.join(parted, "v").groupBy("node", "n", "c").agg(F.count("*").alias("k")).where((F.col("k") >= IN_COMMON) | (F.col("n") < 2 * IN_COMMON)).select("node", "n", "c")
+    listed = placed.groupBy("v", "c").agg(F.count("*").alias("size")).groupBy("v")
+    listed = listed.agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1")
+    listed = placed.join(listed, "v").select("v", "node", "n", "c", (F.col("c") == F.col("main")).alias("in_main"), (F.col("members") > LONG).alias("long"))
+    listed = scratch.table(listed)
+    short = listed.where("not long")
+    others = short.where("not in_main").select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+    meet = (F.col("c") != F.col("pc")) & (F.col("in_main") | (F.col("node") > F.col("p")))
+    by_sketch = short.join(others, "v").where(meet & close).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+    open_ = listed.where("long").groupBy("node", "n", "c").agg(F.count("*").alias("k")).where((F.col("k") >= IN_COMMON) | (F.col("n") < 2 * IN_COMMON)).select("node", "n", "c")
     open_ = scratch.table(open_)
     full = _sets_of(scratch, docs, nodes, open_.select("node"), words)
     shingles = full.select("node", F.explode("full").alias("x"))
@@ -183,11 +195,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     within = (F.col("at") <= F.col("n") - overlap) & (F.col("pat") <= F.col("pn") - overlap)
     rest = (
         lists.join(others, "x")
-        .where((F.col("c") != F.col("pc")) & (F.col("in_main") | (F.col("node") > F.col("p"))) & within & close)
+        .where(meet & within & close)
         .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         .distinct()
     )
-    rest = scratch.table(_estimated(rest, nodes))
+    rest = scratch.table(_estimated(rest.union(by_sketch).distinct(), nodes))
+    scratch.drop(full)
+    full = _sets_of(scratch, docs, nodes, rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
     links = links.union(_verified(scratch, rest, full, percent))
     scratch.drop(full, rest)
     final = components(scratch, links)
