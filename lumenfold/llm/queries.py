@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import language, lm, quality_model, toxicity
+from lumenfold.llm import language, lm, quality_model, toxicity, url_filter
 from lumenfold.llm.bpe import digests
 from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
@@ -23,6 +23,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
 
 
+#: The rules of the url filter: verdict and host/path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judged(pages, URL_RULES, url_filter.train(pages))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -64,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_format": op5_chat_format,
