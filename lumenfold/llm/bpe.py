@@ -199,13 +199,13 @@ def _mapped(docs: DataFrame, path: str, schema: str, row: Callable[[Bpe, str], t
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the decoded text of every row. See digests() for the cases."""
+    """doc_id, n_tokens, ids and the decoded text of every row. See digests() for the cases."""
 
     def row(bpe: Bpe, text: str) -> tuple:
         ids = bpe.encode(text)
-        return ids.astype(np.int32), bpe.decode(ids)
+        return len(ids), ids.astype(np.int32), bpe.decode(ids)
 
-    return _mapped(docs, path, "ids array<int>, decoded string", row, [pa.list_(pa.int32()), pa.string()], ["ids", "decoded"])
+    return _mapped(docs, path, "n_tokens long, ids array<int>, decoded string", row, [pa.int64(), pa.list_(pa.int32()), pa.string()], ["n_tokens", "ids", "decoded"])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
