@@ -42,7 +42,7 @@ ESTIMATE = 0.53
 #: Listed values that similar sets share: overlap less the unlisted ones. For sketches of 32, fewer than 3 come about with 1e-6.
 IN_COMMON = 3
 #: Members of a list from which on it is long.
-LONG = 64
+LONG = 32
 #: Pivots of a list, and pivots that one member is compared with, in the first round.
 PIVOTS, TRIED = 8, 4
 
@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         .distinct()
     )
-    rest = scratch.table(_estimated(rest.union(by_sketch).distinct(), nodes))
+    # Pairs by whole sets are few and close; only those by sketches are worth an estimate first.
+    rest = scratch.table(_estimated(by_sketch, nodes).union(rest).distinct())
     scratch.drop(full)
     full = _sets_of(scratch, docs, nodes, rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
     links = links.union(_verified(scratch, rest, full, percent))
