@@ -115,7 +115,7 @@ def is_icon_word(c: Column) -> Column:
 
 def content_lines(lines: Column) -> Column:
     """An array of lines, each with its spacing fixed, without empty lines and icons."""
-    fixed = F.transform(lines, fix_spacing)
+    fixed = F.transform(lines, lambda x: fix_spacing(x))
     return F.filter(fixed, lambda x: (x != "") & ~is_icon_name(x) & ~is_icon_word(x))
 
 

@@ -59,7 +59,7 @@ def bilingual(lines: Column) -> Column:
 
 def root_lines(root: Column) -> Column:
     """The lines of a state's text, counters in one line, spacing fixed, without empty ones."""
-    lines = F.transform(T.split_lines(T.joined_counters(quiz_decoded(T.plain_spaces(T.without_invisible(F.coalesce(root, F.lit(""))), thin=False)))), T.fix_spacing)
+    lines = F.transform(T.split_lines(T.joined_counters(quiz_decoded(T.plain_spaces(T.without_invisible(F.coalesce(root, F.lit(""))), thin=False)))), lambda x: T.fix_spacing(x))
     return F.filter(lines, lambda x: x != "")
 
 
