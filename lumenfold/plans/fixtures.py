@@ -29,12 +29,12 @@ def bodies(spark: SparkSession) -> DataFrame:
     small = {"name": "root", "children": [{"name": "a"}, {"name": "b"}]}
     tree = {"title": "Root", "nodes": [{"label": "A", "items": [{"text": "A1"}, {"no": 1, "children": [{"name": "lost"}]}]}, {"name": "B"}]}
     rows = [
-        ("x", 1, "u1", ")]}'\n" + json.dumps(small)),
-        ("x", 2, "u2", "noise\n" + json.dumps({"data": json.dumps(tree)}) + "\nmore"),
-        ("y", 1, "u3", json.dumps(small)),
-        ("z", 1, "u4", "no json"),
+        ("x", 1, "u1", "xhr", ")]}'\n" + json.dumps(small)),
+        ("x", 2, "u2", "xhr", "noise\n" + json.dumps({"data": json.dumps(tree)}) + "\nmore"),
+        ("y", 1, "u3", "document", json.dumps(small)),
+        ("z", 1, "u4", "document", "no json"),
     ]
-    return spark.createDataFrame(rows, "capture_id string, seq int, url string, body string")
+    return spark.createDataFrame(rows, "capture_id string, seq int, url string, resource_type string, body string")
 
 
 def fragments_and_links(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
