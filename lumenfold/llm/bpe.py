@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.scratch import small_batches
-from lumenfold.llm.words import chunks
+from lumenfold.llm.words import chunks, tidy
 
-#: Words and pairs that a worker remembers; when full, it starts anew.
-WORDS, PAIRS = 200_000, 500_000
+#: Words, pairs and edges that a worker remembers; when full, it starts anew.
+WORDS, PAIRS, EDGES = 80_000, 150_000, 10_000
 _FAR = 1 << 30
 # Unicode's white space, as the body of a character class.
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -75,8 +75,7 @@ class Bpe:
             if whole not in self.halves:
                 self.halves[whole] = rank, left, right
                 symbols[whole] = symbols[left] + symbols[right]
-        self._right = {t: self._edge(t, 2) for t in symbols}
-        self._left = {t: self._edge(t, 1) for t in symbols}
+        self._edges: dict[int, list[tuple[int, int]]] = {}
         self._machine = ahocorasick.Automaton()
         for t, s in symbols.items():
             if t not in self.halves or self._own(t):
@@ -87,6 +86,15 @@ class Bpe:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens on one edge of a token's tree from the symbol up, each with the rank at which it is merged away."""
+        key = token << 2 | side
+        out = self._edges.get(key)
+        if out is None:
+            if len(self._edges) >= EDGES:
+                self._edges.clear()
+            out = self._edges[key] = self._climb(token, side)
+        return out
+
+    def _climb(self, token: int, side: int) -> list[tuple[int, int]]:
         out, until = [], _FAR
         while True:
             out.append((token, until))
@@ -102,7 +110,7 @@ class Bpe:
 
     def _apart(self, left: int, right: int, before: int = _FAR) -> bool:
         """Whether no merge of a rank below before crosses the border of two tokens."""
-        xs, ys = self._right[left], self._left[right]
+        xs, ys = self._edge(left, 2), self._edge(right, 1)
         i = j = 0
         while True:
             (a, gone_a), (b, gone_b) = xs[i], ys[j]
@@ -194,6 +202,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, row: Callable[[Bpe, str], t
                 rows = [row(bpe, t or "") for t in part.column(1).to_pylist()]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
 

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.scratch import BROADCAST_KEYS, Scratch, small_batches
-from lumenfold.llm.words import Texts, chunks, windows
+from lumenfold.llm.words import Texts, chunks, tidy, windows
 
 #: Characters of benchmark text that one block of items may have; every block is searched in all documents.
 BLOCK_CHARS = 20_000_000
 #: Bits of the filter that each shingle of a document passes first.
 FILTER_BITS = 22
 
-_FOUND = "doc_id long, item long, shared long"
+_FOUND = "doc_id long, item_id long, item_shingles long, shared long"
 
 
 class ItemIndex:
@@ -98,18 +98,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: i
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         index = ItemIndex([r["text"] for r in rows], words, percent)
+        item_ids = [r["item_id"] for r in rows]
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, ids: list[int | None] = item_ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch):
                     found = list(index.search(Texts(part.column(1)), percent))
                     if found:
-                        t, j, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(j), pa.array(n)], names=["doc_id", "item", "shared"])
+                        t, j, n = (list(x) for x in zip(*found, strict=True))
+                        columns = [part.column(0).take(pa.array(t)), pa.array([ids[i] for i in j], pa.int64()), pa.array([len(index.full[i]) for i in j], pa.int64()), pa.array(n, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "item_shingles", "shared"])
+            tidy()
 
-        named = spark.createDataFrame([(i, r["item_id"], len(index.full[i])) for i, r in enumerate(rows)], "item long, item_id long, item_shingles long")
-        found = source.mapInArrow(run, _FOUND).join(F.broadcast(named), "item")
-        found = found.select("doc_id", "item_id", "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment"))
+        found = source.mapInArrow(run, _FOUND).withColumn("containment", F.col("shared") / F.col("item_shingles"))
         out = found if out is None else out.union(found)
     return out
 

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.samples import fold, labelled
 from lumenfold.llm.scratch import small_batches
-from lumenfold.llm.words import chunks
+from lumenfold.llm.words import chunks, tidy
 
 #: Hashed features, the orders of n-grams, and the count added to each feature.
 BUCKETS, ORDERS, SMOOTH = 1 << 15, (1, 2, 3), 0.5
 #: Characters of text looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -122,6 +122,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for part in chunks(batch, size=CHUNK):
                 names, scores = model.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -137,5 +138,6 @@ def in_known_language(docs: DataFrame, model: LanguageModel, score: float = 0.5)
             for part in chunks(batch, size=CHUNK):
                 names, scores = model.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([n != "und" and s >= score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

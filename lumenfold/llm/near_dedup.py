@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components
 from lumenfold.llm.scratch import BROADCAST_KEYS, Scratch, small_batches
-from lumenfold.llm.words import Texts, chunks, mix, shingle_sets, to_lists
+from lumenfold.llm.words import Texts, chunks, mix, shingle_sets, tidy, to_lists
 
 #: Values kept of each set; of these the lowest LISTED go to inverted lists.
 SKETCH, LISTED = 64, 32
@@ -72,6 +72,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), to_lists(sketches, pa.int64())],
                     names=["doc_id", "n_shingles", "s1", "s2", "sketch"],
                 )
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURE)
 
@@ -85,6 +86,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, words: int) ->
                 sets = list(shingle_sets(Texts(part.column(1)), words))
                 s = np.array([_digest(u) for u in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), to_lists(sets, pa.int64())], names=["doc_id", "s1", "s2", "full"])
+        tidy()
 
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if n_wanted <= BROADCAST_KEYS else ids

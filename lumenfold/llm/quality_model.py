@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.samples import fold, labelled
 from lumenfold.llm.scratch import small_batches
-from lumenfold.llm.words import Texts, chunks
+from lumenfold.llm.words import Texts, chunks, tidy
 
 #: Buckets of words, rank of the interactions, bins of each statistic, least passes over the sample and least steps.
 BUCKETS, RANK, BINS, EPOCHS, STEPS = 1 << 14, 4, 16, 8, 2000
@@ -161,6 +161,7 @@ def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             for part in chunks(batch):
                 s = model.scores(Texts(part.column(2)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= GOOD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

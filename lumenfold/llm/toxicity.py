@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.samples import fold, labelled
 from lumenfold.llm.scratch import small_batches
-from lumenfold.llm.words import chunks
+from lumenfold.llm.words import chunks, tidy
 
 #: Characters of text looked at together, words on either side of a hit, most terms of a lexicon.
-CHUNK, WINDOW, TERMS = 1 << 20, 6, 200
+CHUNK, WINDOW, TERMS = 1 << 18, 6, 200
 #: A term tolerates one edit from the first length on and two from the second.
 ONE_EDIT, TWO_EDITS = 5, 10
 
@@ -364,6 +364,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for part in chunks(batch, size=CHUNK):
                 s = model.scores(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -378,5 +379,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, size=CHUNK):
                 yield part.filter(pa.array(model.scores(part.column(at).to_pylist()) < 0.5))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,8 @@ odd base, so every word of a batch is hashed at once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ _TABLE[65:91] = _TABLE[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes hashed at a time, and bytes of text in a chunk of a batch.
-SLICE, CHUNK = 1 << 19, 1 << 21
+SLICE, CHUNK = 1 << 18, 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,6 +40,13 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return got[:n]
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -99,6 +108,8 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iter
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield batch.slice(i, j - i)
+        if offsets[j] - offsets[i] > 8 * size:
+            tidy()  # after a very long text
         i = j
 
 
