@@ -201,9 +201,13 @@ def source_url(url: Column) -> Column:
 
 
 def page_title(title: Column, product: str = "") -> Column:
-    """A title up to the first dash or bar that stands between spaces, without the product's name before it."""
-    cut = F.regexp_replace(title, rf"(?s)[{SPACE}]+[-–—|][{SPACE}].*$", "")
-    return strip(F.regexp_replace(cut, rf"^{product}[{SPACE}]*[:|-]?[{SPACE}]*", "") if product else cut)
+    """A page's title, without the name of the product that may stand before a dash."""
+    return strip(F.regexp_replace(title, rf"^[{SPACE}]*\Q{product}\E[{SPACE}]*[-–][{SPACE}]*", "") if product else title)
+
+
+def title_stem(title: Column) -> Column:
+    """A title up to its first dash or bar."""
+    return F.regexp_replace(title, rf"[{SPACE}]*[-–|].*$", "")
 
 
 def escape_markdown(c: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lumenfold.functions import markdown as M
 from lumenfold.functions import tex
 from lumenfold.functions import text as T
-from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, reconcile, report_blocks, trees
-from lumenfold.plans import fixtures
+from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, quiz_html, reconcile, report_blocks, trees
+from lumenfold.plans import fixtures, reports
+from lumenfold.sources import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -407,3 +408,64 @@ def failed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     captures = docs.join(made, "id", "left").select(F.col("id").cast("string").alias("capture_id"), F.lit("report").alias("kind"), F.lit("").alias("page_url"), "blocks", "chars", *[F.lit(None).cast("int").alias(c) for c in ("nodes", "tree_size", "questions")])
     return reconcile.failures(captures)
+
+
+# From captures to documents.
+
+
+def _pages_as_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages as report captures, four frames a capture; the documents' Markdown of the same number as their network bodies."""
+    pages = _read(spark, sf_dir, "pages")
+    number = F.floor(F.col("page_id") / 4).cast("string")
+    dom = pages.select(number.alias("capture_id"), F.pmod("page_id", F.lit(4)).cast("int").alias("frame_id"), F.lit(0).alias("snap_seq"), "html")
+    own = pages.groupBy(number.alias("capture_id")).agg(F.min_by("url", "page_id").alias("share_url"))
+    caps = own.select("capture_id", F.lit("report").alias("kind"), "share_url", F.lit("report").alias("base"), F.lit("Page - x").alias("page_title"), F.col("share_url").alias("page_url"), F.lit(None).cast("timestamp").alias("captured_at"))
+    docs = _read(spark, sf_dir, "documents").join(own.select(F.col("capture_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    body = F.to_json(F.array(F.concat(F.lit("# T\n\n- "), F.regexp_replace("text", "\n", "\n- "))))
+    net = docs.select(F.col("doc_id").cast("string").alias("capture_id"), F.lit(1).alias("seq"), F.lit("http://h/body?x=1").alias("url"), F.lit("xhr").alias("resource_type"), body.alias("body"))
+    return caps, dom, net
+
+
+@_query()
+def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.best_frames(_pages_as_captures(spark, sf_dir)[1]).select("capture_id", "frame_id", "score", F.md5("html").alias("digest"))
+
+
+@_query()
+def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, meta, _ = reports.reports(*_pages_as_captures(spark, sf_dir))
+    kept = meta.drop("doc_id", "extracted_at", "block_counts", "text_blocks_by_lang", "warnings")
+    return kept.join(meta.select("capture_id", F.to_json("block_counts").alias("block_counts"), F.array_join("warnings", ",").alias("warnings")), "capture_id")
+
+
+@_query()
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime
+
+    blocks, meta, _ = reports.reports(*_pages_as_captures(spark, sf_dir), at=datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC))
+    return reports.report_json(blocks, meta)
+
+
+@_query()
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_summary(reports.reports(*_pages_as_captures(spark, sf_dir))[1])
+
+
+@_query()
+def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime
+
+    flat = reports.maps(*fixtures.fragments_and_links(spark), fixtures.bodies(spark))
+    return reports.map_json(flat, at=datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC))
+
+
+@_query()
+def quiz_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quiz.as_json(reports.quizzes(fixtures.quiz_states(spark))[0])
+
+
+@_query()
+def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as quiz pages: what options a page holds."""
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("capture_id"), F.lit(1).alias("step"), F.lit("pre").alias("phase"), "html")
+    return quiz_html.states_of(pages).select("capture_id", "step", F.length("root").alias("chars"), F.size("options").alias("n_options"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import page_title, source_url
+from lumenfold.functions.text import lang_info, page_title, source_url, title_stem
 from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, reconcile, report_blocks, trees
 from lumenfold.sources.captures import best_frames, bodies_for
 
@@ -16,35 +18,66 @@ def _stamp(at: datetime | None) -> str:
     return (at or datetime.now(UTC)).isoformat(timespec="seconds")
 
 
-def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, drop_rules: bool = True, at: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, drop_rules: bool = True, product: str = "", at: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, meta, failures) of report captures.
 
     Both candidates are built where there is input for them, the choice falls by
     their words, and only the chosen source is kept. Captures with less than 80
     characters go to failures.
     """
-    pages = best_frames(dom_html).groupBy("capture_id").agg(F.max_by("html", F.struct("score", -F.col("snap_seq"))).alias("html"))
+    snapshots = best_frames(dom_html).groupBy("capture_id")
+    last = F.struct("score", -F.col("snap_seq"))
+    pages = snapshots.agg(F.max_by("html", last).alias("html"), F.max("score").alias("visible"))
     mined = json_mining.markdown_of_captures(bodies_for(net_bodies, "report"))
     keyed = captures.where("kind = 'report'").select("capture_id", "share_url", "base", "page_title", "page_url").withColumn("doc_id", F.xxhash64("capture_id"))
     dom = report_blocks.blocks_of(keyed.join(pages, "capture_id"), "doc_id", "html", html_blocks.from_html)
     net = report_blocks.blocks_of(keyed.join(mined, "capture_id"), "doc_id", "markdown", report_blocks.from_markdown)
-    text = lambda b, name: b.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block_text"))), lambda x: x["block_text"]), "\n").alias(name))
-    both = keyed.join(text(dom, "dom_text"), "doc_id", "left").join(text(net, "network_text"), "doc_id", "left")
+    both = keyed.join(_texts(dom, "dom_text"), "doc_id", "left").join(_texts(net, "network_text"), "doc_id", "left")
     choice = reconcile.chosen_method(both.select(F.col("doc_id").alias("capture_id"), "dom_text", "network_text")).withColumnRenamed("capture_id", "doc_id")
     all_blocks = dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network")))
     blocks = all_blocks.join(choice.select("doc_id", "method"), ["doc_id", "method"]).drop("method")
     stats = report_blocks.statistics(blocks)
-    blocks = report_blocks.without_rules(blocks) if drop_rules else blocks
-    meta = keyed.join(stats, "doc_id").join(choice, "doc_id").join(mined.select("capture_id", F.col("url").alias("network_source")), "capture_id", "left")
-    main_dir = F.when(F.col("ar") > F.col("en"), "rtl").otherwise("ltr")
-    meta = meta.select(
-        "capture_id", "doc_id", F.coalesce("title", page_title(F.col("page_title")), "base").alias("title"), source_url(F.col("share_url")).alias("source_url"), "method", F.lit(_stamp(at)).alias("extracted_at"),
-        page_title(F.col("page_title")).alias("page_title"), F.when(F.lit(drop_rules), F.col("rules")).otherwise(0).alias("hr_dropped"), main_dir.alias("primary_dir"), F.when(F.col("ar") > F.col("en"), "ar").otherwise("en").alias("primary_lang"),
-        "block_counts", "ar", "en", "mixed", "chars", "headings", F.concat("warnings", F.filter(F.array("warning"), lambda x: x.isNotNull())).alias("warnings"), source_url(F.col("network_source")).alias("network_source"), F.col("coverage").alias("dom_network_coverage"),
-    )
-    seen = captures.where("kind = 'report'").join(meta.select("capture_id", F.col("chars"), F.lit(1).alias("blocks")), "capture_id", "left")
+    shown = report_blocks.without_rules(blocks) if drop_rules else blocks
+    meta = keyed.join(stats, "doc_id").join(choice, "doc_id").join(_texts(blocks, "all_text"), "doc_id")
+    meta = meta.join(pages.select("capture_id", "visible"), "capture_id", "left").join(mined.select("capture_id", F.col("url").alias("network_url")), "capture_id", "left")
+    by_dom = F.col("method") == "dom"
+    lost = by_dom & (F.col("chars") / F.greatest(F.col("visible"), F.lit(1)) < 0.8)
+    codes = F.concat(F.array(F.col("warning")), "warnings", F.array(F.when(by_dom & F.col("diagrams"), "diagrams"), F.when(lost, "text_lost")))
+    meta = meta.withColumn("all_info", lang_info(F.col("all_text"))).select(
+        "capture_id",
+        "doc_id",
+        F.coalesce("title", F.nullif(title_stem(F.col("page_title")), F.lit("")), "base").alias("title"),
+        source_url(F.col("share_url")).alias("source_url"),
+        "method",
+        F.lit(_stamp(at)).alias("extracted_at"),
+        page_title(F.col("page_title"), product).alias("page_title"),
+        (F.col("rules") if drop_rules else F.lit(0)).alias("hr_dropped"),
+        F.col("all_info.dir").alias("primary_dir"),
+        F.col("all_info.lang").alias("primary_lang"),
+        F.when(F.lit(drop_rules), F.map_filter("block_counts", lambda k, v: k != "hr")).otherwise(F.col("block_counts")).alias("block_counts"),
+        F.struct("ar", "en", "mixed").alias("text_blocks_by_lang"),
+        "chars",
+        "headings",
+        F.filter(codes, lambda x: x.isNotNull()).alias("warnings"),
+        F.when(~by_dom, source_url(F.col("network_url"))).alias("network_source"),
+        F.col("coverage").alias("dom_network_coverage"),
+    )
+    seen = captures.where("kind = 'report'").join(meta.select("capture_id", "chars", F.lit(1).alias("blocks")), "capture_id", "left")
     failed = reconcile.failures(seen.select("capture_id", "kind", "page_url", "blocks", "chars", *[F.lit(None).cast("int").alias(c) for c in ("nodes", "tree_size", "questions")]))
-    return blocks, meta.where("chars >= 80"), failed
+    return shown, meta.where("chars >= 80"), failed
+
+
+def _texts(blocks: DataFrame, name: str) -> DataFrame:
+    """doc_id and the text of its blocks in their order."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("block_text") != "", F.struct("pos", "block_text"))))
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["block_text"]), "\n").alias(name))
+
+
+def report_summary(meta: DataFrame) -> DataFrame:
+    """capture_id, line: a line for people, types in order."""
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("block_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    total = F.aggregate(F.map_values("block_counts"), F.lit(0), lambda a, x: a + x)
+    return meta.select("capture_id", F.concat_ws(" | ", total.cast("string"), counts, F.col("headings").cast("string"), "method", F.col("chars").cast("string")).alias("line"))
 
 
 def report_json(blocks: DataFrame, meta: DataFrame) -> DataFrame:
@@ -70,6 +103,30 @@ def maps(frags: DataFrame, links: DataFrame, net_bodies: DataFrame) -> DataFrame
     return flat.withColumn("n", labels.node_of(F.col("label"))).select("tree_id", "id", "parent", "order", "depth", "is_leaf", "path", F.col("n.text").alias("label"), "n.primary", "n.ar", "n.en", "n.title_ar", "n.title_en", "n.desc_ar", "n.desc_en")
 
 
+def map_json(flat: DataFrame, at: datetime | None = None) -> DataFrame:
+    """capture_id, json: one document for each map, its root nested and its nodes flat, a tree at a time."""
+    stamp = _stamp(at)
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        made: dict[str, dict] = {}
+        order = rows.assign(n=rows["path"].map(list)).sort_values("n")
+        for r in order.to_dict("records"):
+            node = {"id": r["id"], "depth": int(r["depth"]), "text": r["label"], "primary": r["primary"], "ar": r["ar"], "en": r["en"], "bilingual": bool(r["ar"] and r["en"])}
+            node |= {side: {"ar": r[f"{side}_ar"], "en": r[f"{side}_en"]} for side in ("title", "desc")}
+            made[r["id"]] = node | {"parent": r["parent"], "order": int(r["order"]), "is_leaf": bool(r["is_leaf"])}
+        nodes = list(made.values())
+        nested = {i: {k: v for k, v in n.items() if k not in ("parent", "order", "is_leaf")} | {"children": []} for i, n in made.items()}
+        for n in nodes:
+            if n["parent"] in nested:
+                nested[n["parent"]]["children"].append(nested[n["id"]])
+        root = nested[nodes[0]["id"]]
+        meta = {"title": root["text"], "extracted_at": stamp, "node_count": len(nodes), "leaf_count": sum(n["is_leaf"] for n in nodes), "max_depth": max(n["depth"] for n in nodes)}
+        document = {"schema": "mindmap-1.0", "meta": meta, "root": root, "nodes": nodes}
+        return pd.DataFrame({"capture_id": [key[0]], "json": [json.dumps(document, ensure_ascii=False)]})
+
+    return flat.groupBy("tree_id").applyInPandas(build, "capture_id string, json string")
+
+
 def quizzes(states: DataFrame, reveal: bool = True, hints: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(written questions, summary, text) of quiz captures."""
     found = quiz.until_repeated(quiz.questions(states, reveal, hints))

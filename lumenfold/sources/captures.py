@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.html_blocks import score_of
 from lumenfold.operators.json_mining import MAP_SIZE, REPORT_SIZE, usable
 
 #: The schemas of captured tables.
@@ -34,9 +35,8 @@ def bodies_for(bodies: DataFrame, kind: str) -> DataFrame:
 
 
 def best_frames(dom_html: DataFrame) -> DataFrame:
-    """Of each snapshot the frame with the most text outside tags, the first of equal ones; texts are compared by length only."""
-    visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", ""), "(?s)<[^>]*>", "")
-    scored = dom_html.withColumn("score", F.length(F.regexp_replace(visible, r"\s+", "")))
+    """Of each snapshot the frame with the most visible text, the first of equal ones."""
+    scored = dom_html.withColumn("score", score_of(F.col("html")))
     top = F.struct("score", -F.col("frame_id"))
     return scored.groupBy("capture_id", "snap_seq").agg(F.max_by("html", top).alias("html"), F.max_by("frame_id", top).alias("frame_id"), F.max("score").alias("score"))
 

@@ -85,7 +85,7 @@ def test_report_end_to_end(spark):
     blocks, meta, failed = reports.reports(caps, dom, net, at=datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC))
     assert [(r.id, r.type) for r in blocks.where(F.col("doc_id") == meta.first().doc_id).orderBy("pos").collect()] == [("b001", "heading"), ("b002", "paragraph"), ("b003", "paragraph")]
     m = meta.first()
-    assert (m.capture_id, m.title, m.method, m.hr_dropped, m.page_title, m.source_url) == ("c", "Title", "dom", 1, "Page", "http://h/x")
+    assert (m.capture_id, m.title, m.method, m.hr_dropped, m.page_title, m.source_url) == ("c", "Title", "dom", 1, "Page - Site", "http://h/x")
     assert [(f.capture_id, f.reason) for f in failed.collect()] == [("d", "too_short")]
     import json
 
@@ -140,3 +140,49 @@ def test_formats(spark, tmp_path, name):
     _, links = fixtures.fragments_and_links(spark)
     links.write.format(name).save(str(tmp_path / "l"))
     assert captures.read(spark, str(tmp_path / "l"), "links", name).count() == 2
+
+
+PAGE = """<body><header>1 / 9</header><main><div>2<span> / </span>3</div><p>What is <b>x<sup>2</sup></b>?</p>
+<div class="opts"><div class="opt"><button data-state="incorrect"><span>A.</span> <span>one</span></button><i class="mat-icon">close</i></div>
+<div class="opt"><button aria-label="x" aria-checked="true"><span>B.</span> two <span class="sr-only">hidden</span></button><p>ثلاثة</p><i class="mat-icon">check</i></div></div>
+<button>Hint</button></main></body>"""
+
+
+def test_state_of_a_page(spark):
+    from lumenfold.operators import quiz_html
+
+    root, options = quiz_html.state(PAGE)
+    lines = [x.strip() for x in root.split("\n") if x.strip()]
+    assert lines == ["2 / 3", "What is x^{2}?", "@@OPT@@", "@@OPT@@", "Hint"]
+    assert [[x.strip() for x in raw.split("\n") if x.strip()] for _, raw, _ in options] == [["A. one"], ["B. two", "ثلاثة"]]
+    assert "data-state=incorrect" in options[0][2]
+    assert "icon:close" in options[0][2]
+    assert "icon:check" in options[1][2]
+    assert "aria-label" not in options[1][2]
+    assert quiz_html.state(None)[0].strip() == ""
+    assert quiz_html.state(None)[1] == []
+    pages = spark.createDataFrame([("c", 1, "pre", PAGE), ("c", 1, "reveal", PAGE)], "capture_id string, step int, phase string, html string")
+    written, _, _ = reports.quizzes(quiz_html.states_of(pages), hints=False)
+    row = written.first()
+    assert (row.number, row.total, row.question.en) == (2, 3, "What is x²?")
+    assert row.answer["keys"] == ["B"]
+    assert row.options[1].text.ar == "ثلاثة"
+
+
+def test_map_document(spark):
+    import json
+
+    frags, links = fixtures.fragments_and_links(spark)
+    flat = reports.maps(frags, links, fixtures.bodies(spark))
+    documents = {r.capture_id: json.loads(r.json) for r in reports.map_json(flat).collect()}
+    root = documents["m"]["root"]
+    assert [c["text"] for c in root["children"]] == ["Left", "Right"]
+    assert [n["id"] for n in documents["m"]["nodes"]] == ["1", "1.1", "1.1.1", "1.1.2", "1.2", "1.2.1"]
+    assert documents["m"]["meta"]["leaf_count"] == 3
+
+
+def test_titles(spark):
+    from lumenfold.functions import text as T
+
+    rows = spark.createDataFrame([("Maker - A | B",)], "t string")
+    assert tuple(rows.select(T.title_stem(F.col("t")), T.page_title(F.col("t"), "Maker"), T.page_title(F.col("t"))).first()) == ("Maker", "A | B", "Maker - A | B")
