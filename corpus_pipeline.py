@@ -54,6 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each stage reads what the one before it has written."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = scratch.table(stage(spark, docs, sf_dir))
+        if i:
+            scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
