@@ -16,14 +16,17 @@ def paths(spark: SparkSession, nodes: DataFrame, levels: int = 30) -> DataFrame:
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels + 1))
     own = Window.partitionBy("tree_id", "parent_id").orderBy("ord", "node_id")
-    nodes.withColumn("place", F.row_number().over(own)).createOrReplaceTempView("lumenfold_nodes")
-    return spark.sql("""
+    placed = nodes.withColumn("place", F.row_number().over(own))
+    return spark.sql(
+        """
         with recursive walk as (
-          select tree_id, node_id, parent_id, label, place, array(place) as path from lumenfold_nodes where parent_id is null
+          select tree_id, node_id, parent_id, label, place, array(place) as path from {placed} where parent_id is null
           union all
           select n.tree_id, n.node_id, n.parent_id, n.label, n.place, concat(w.path, array(n.place))
-          from walk w join lumenfold_nodes n on n.tree_id = w.tree_id and n.parent_id = w.node_id)
-        select tree_id, node_id, label, path from walk""")
+          from walk w join {placed} n on n.tree_id = w.tree_id and n.parent_id = w.node_id)
+        select tree_id, node_id, label, path from walk""",
+        placed=placed,
+    )
 
 
 def flattened(walked: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ d as (select p.p_brand, p_partkey, island, abs(center - p_retailprice) as d from
 select p_brand, p_partkey, arg_min(island, (d, island))::bigint as island from d group by p_brand, p_partkey""")
 def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
-    return geometry.nearest_island(part, geometry.islands(part, "p_brand", "p_retailprice"), "p_brand", "p_partkey", "p_retailprice")
+    return geometry.nearest_island(part, "p_brand", "p_partkey", "p_retailprice")
 
 
 @_query("""
