@@ -14,7 +14,8 @@ a group of near copies. Then only members outside the largest component of a lis
 meet the list's other components, so every pair that could still join two
 components is looked at. Sets that meet in long lists only are listed anew by
 their whole shingles, of each set the rarest that a similar set cannot all miss:
-rare edits keep the outer copies of a large group apart, which leaves few pairs.
+rare edits keep the outer copies of a large group apart, and parity bitmaps, whose
+distance bounds the sets' difference from below, drop most pairs that are left.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ HELD = 0.4375
 ESTIMATE = 0.53
 #: Listed values that similar sets share: overlap less the unlisted ones. For sketches of 32, fewer than 3 come about with 1e-6.
 IN_COMMON = 3
+#: 64-bit words of a set's parity bitmap: each shingle flips one bit, so two sets differ in at least as many shingles as their bitmaps do in bits.
+PARITY = 16
 #: Members of a list from which on it is long.
 LONG = 32
 #: Pivots of a list, and pivots that one member is compared with, in the first round.
@@ -56,6 +59,11 @@ def _digest(u: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def _parity(u: np.ndarray) -> np.ndarray:
+    flips = np.bincount((u % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, the digest (s1, s2) and the bottom-k sketch of each text."""
 
@@ -78,23 +86,23 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, words: int) -> DataFrame:
-    """(node, full): the full set of each wanted (node, rep, s1, s2)."""
+    """(node, full, bits): the full set and its parity bitmap of each wanted (node, rep, s1, s2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 sets = list(shingle_sets(Texts(part.column(1)), words))
                 s = np.array([_digest(u) for u in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), to_lists(sets, pa.int64())], names=["doc_id", "s1", "s2", "full"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), to_lists(sets, pa.int64()), to_lists([_parity(u) for u in sets], pa.int64())], names=["doc_id", "s1", "s2", "full", "bits"])
         tidy()
 
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if n_wanted <= BROADCAST_KEYS else ids
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s1 long, s2 long, full array<long>")
+    sets = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s1 long, s2 long, full array<long>, bits array<long>")
     keys = wanted.select("node", F.col("rep").alias("doc_id"), "s1", "s2")
     keys = F.broadcast(keys) if n_wanted <= BROADCAST_KEYS else keys
     # A repeated row gives its set twice; links are made distinct later.
-    return sets.join(keys, ["doc_id", "s1", "s2"]).select("node", "full")
+    return sets.join(keys, ["doc_id", "s1", "s2"]).select("node", "full", "bits")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, used: DataFrame, words: int) -> DataFrame:
-    """The full sets (node, full) of the used nodes, written."""
+    """The full sets (node, full, bits) of the used nodes, written."""
     wanted = scratch.table(nodes.select("node", "rep", "s1", "s2").join(used, "node", "left_semi"))
     return scratch.table(_full_sets(docs, wanted, wanted.count(), words))
 
@@ -187,17 +195,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Similar sets share at least t of the larger, and over both sizes 2 t / (1 + t) of their mean.
     alone = F.col("n") - F.size("r")
     first_of = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    rare = held.join(open_, "node").where(first_of > 0).select("node", "n", "c", alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), first_of.cast("int"))).alias("at", "r"))
-    rare = scratch.table(rare.select("node", "n", "c", F.col("r.x").alias("x"), (F.col("alone") + F.col("at")).alias("at")))
+    bits = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)]
+    rare = held.join(open_, "node").join(full.select("node", *bits), "node").where(first_of > 0).select("node", "n", "c", *[f"b{i}" for i in range(PARITY)], alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), first_of.cast("int"))).alias("at", "r"))
+    rare = scratch.table(rare.select("node", "n", "c", F.col("r.x").alias("x"), (F.col("alone") + F.col("at")).alias("at"), *[f"b{i}" for i in range(PARITY)]))
     sizes = rare.groupBy("x", "c").agg(F.count("*").alias("size"))
     main = sizes.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("x", "main")
     lists = rare.join(main, "x").withColumn("in_main", F.col("c") == F.col("main")).drop("main")
-    others = lists.where(~F.col("in_main")).select("x", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("at").alias("pat"))
+    others = lists.where(~F.col("in_main")).select("x", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("at").alias("pat"), *[F.col(f"b{i}").alias(f"pb{i}") for i in range(PARITY)])
     overlap = F.ceil((F.col("n") + F.col("pn")) * percent / (100 + percent))
     within = (F.col("at") <= F.col("n") - overlap) & (F.col("pat") <= F.col("pn") - overlap)
+    apart = F.lit(0)
+    for i in range(PARITY):
+        apart = apart + F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"pb{i}")))
+    alike = apart <= F.col("n") + F.col("pn") - 2 * overlap
     rest = (
         lists.join(others, "x")
-        .where(meet & within & close)
+        .where(meet & within & close & alike)
         .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         .distinct()
     )
