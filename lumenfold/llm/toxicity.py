@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -220,9 +220,14 @@ def _quoted(joined: str, starts: np.ndarray, ends: np.ndarray, w: int, first: in
     return score >= 0.5
 
 
-def _groups_of_copies(texts: list[list[str]]) -> list[int]:
-    """A group for each list of words; lists that share a least hash of their word pairs are in one."""
-    parent = list(range(len(texts)))
+def _words(text: str) -> list[str]:
+    joined, _, starts, ends, _ = split([text])
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _groups_of_copies(texts: Iterable[str]) -> list[int]:
+    """A group for each text: texts that share a least hash of their word pairs are in one."""
+    parent: list[int] = []
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -232,14 +237,23 @@ def _groups_of_copies(texts: list[list[str]]) -> list[int]:
 
     seen: dict[tuple[int, int], int] = {}
     turns = np.random.default_rng(7).integers(1, 2**62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for i, words in enumerate(texts):
+    for i, text in enumerate(texts):
+        parent.append(i)
+        words = _words(text)
         pairs = np.array([crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:] or words, strict=False)], np.uint64)
         if not len(pairs):
             continue
         for j, turn in enumerate(turns):
             key = j, int((pairs * turn >> np.uint64(16)).min())
             parent[find(i)] = find(seen.setdefault(key, i))
-    return [find(i) for i in range(len(texts))]
+    return [find(i) for i in range(len(parent))]
+
+
+def _terms(text: str) -> Iterator[str]:
+    """The distinct words of a text, and their beginnings of four to eight letters with a * after them."""
+    words = {w for w in _words(text) if 3 <= len(w) <= 30}
+    yield from words
+    yield from {w[:k] + "*" for w in words for k in range(4, min(len(w), 9))}
 
 
 def learn_lexicon(rows: list[tuple[str, int]]) -> list[str]:
@@ -250,28 +264,31 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> list[str]:
     that chance would hardly give it. Near copies count as one document, so that
     copies of a toxic document don't make terms of its other words.
     """
-    texts, labels = [], []
-    for text, label in rows:
-        joined, _, starts, ends, _ = split([text])
-        texts.append([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        labels.append(label)
-    groups = _groups_of_copies(texts)
-    toxic, clean = defaultdict(set), defaultdict(set)
-    endings: dict[str, set[str]] = defaultdict(set)
-    for words, label, group in zip(texts, labels, groups, strict=True):
-        words = {w for w in words if 3 <= len(w) <= 30}
-        for w in words:
-            for k in range(4, min(len(w), 9)):
-                begin = w[:k] + "*"
-                (toxic if label else clean)[begin].add(group)
-                if label:
-                    endings[begin].add(w[k:])
-            (toxic if label else clean)[w].add(group)
-    n = [len({g for g, y in zip(groups, labels, strict=True) if bool(y) == t}) for t in (False, True)]
+    groups = _groups_of_copies(text for text, _ in rows)
+    n = [len({g for g, (_, y) in zip(groups, rows, strict=True) if bool(y) == t}) for t in (False, True)]
     if not n[0] or not n[1]:
         return []
-    base, need = math.log(n[1] / sum(n)), math.log(max(len(toxic), 2)) + 2
-    df = {t: len(g) for t, g in toxic.items()}
+    base = math.log(n[1] / sum(n))
+    toxic: dict[str, set[int]] = defaultdict(set)
+    for (text, label), group in zip(rows, groups, strict=True):
+        if label:
+            for t in _terms(text):
+                toxic[t].add(group)
+    need = math.log(max(len(toxic), 2)) + 2
+    df = {t: len(g) for t, g in toxic.items() if -base * len(g) > need}
+    del toxic
+    endings: dict[str, set[str]] = defaultdict(set)
+    clean: dict[str, set[int]] = defaultdict(set)
+    for (text, label), group in zip(rows, groups, strict=True):
+        if label:
+            for w in _words(text):
+                for k in range(4, min(len(w), 9)):
+                    if w[:k] + "*" in df and len(w) <= 30:
+                        endings[w[:k] + "*"].add(w[k:])
+        else:
+            for t in _terms(text):
+                if t in df:
+                    clean[t].add(group)
 
     def told(t: str) -> bool:
         share = df[t] / (df[t] + len(clean.get(t, ())))
@@ -280,8 +297,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> list[str]:
     live = {t for t in df if (not t.endswith("*") or len(endings[t]) >= 3) and told(t)}
     longer = Counter()
     for t in live:  # a beginning that one longer term stands for almost always
-        begin = t[:-2] + "*" if t.endswith("*") else None
-        for p in [begin] if begin else [t[:k] + "*" for k in range(4, len(t))]:
+        for p in [t[:-2] + "*"] if t.endswith("*") else [t[:k] + "*" for k in range(4, len(t))]:
             longer[p] = max(longer[p], df[t])
     begins = {t for t in live if t.endswith("*") and longer[t] < 0.95 * df[t]}
     begins = {t for t in begins if not any(t[:k] + "*" in begins for k in range(4, len(t) - 1))}
