@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import markdown as M
@@ -306,9 +306,15 @@ def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("tree_id", "node_count", "leaf_count", F.col("max_depth").cast("long").alias("max_depth"), "bilingual_nodes", "en_only", F.array_join("untranslated_ids", ",").alias("untranslated_ids"))
 
 
-@_query()
+@_query("""select * from (values
+  ('Cell (خلية): basic unit (وحدة أساسية)', 'en', 'خلية: وحدة أساسية', 'Cell: basic unit'),
+  ('خلية (Living cell): وحدة (the basic unit)', 'ar', 'خلية: وحدة', 'Living cell: the basic unit'),
+  ('Title: text (عنوان: نص)', 'en', 'عنوان: نص', 'Title: text'), ('مستقبل (II)', 'ar', 'مستقبل (II)', ''),
+  ('at 10:30 (a (b', 'en', '', 'at 10:30 (a (b'), ('(نص فقط)', 'en', '(نص فقط)', ''), ('', 'ar', '', ''),
+  ('name: a (b: c) d', 'en', '', 'name: a (b: c) d')) as t(label, primary_lang, ar, en)""")
 def label_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.labels(spark).select("label", labels.node_of(F.col("label")).alias("n")).select("label", "n.*")
+    found = fixtures.labels(spark).where("label is not null").select("label", labels.node_of(F.col("label")).alias("n"))
+    return found.select("label", F.col("n.primary").alias("primary_lang"), "n.ar", "n.en")
 
 
 @_query("""select event_id::varchar as capture_id, json_extract_string(props, '$.k')::bigint as k from events where json_extract(props, '$.k') is not null""")
@@ -318,23 +324,32 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").cast("string").alias("capture_id"), k.alias("k")).where("k is not null")
 
 
-@_query()
+@_query(r"""
+with m as (select source, doc_id, '# ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || '- ' || replace(text, chr(10), chr(10) || '- ') as m from documents),
+l as (select *, string_split(m, chr(10)) as l from m where length(m) > 300),
+s as (select *, case when len(l) < 6 then 0.0 else len(list_filter(l, lambda x: regexp_matches(x, '^\s*(#{1,6}\s|[*\-•]\s|\d+[.)]\s|\|)'))) / len(l) * least(1.0::double, length(m) / 3000) + 0.5::double end as score from l)
+select source as capture_id, source as url, max(score) as score, arg_min(md5(m), (-score, doc_id)) as digest from s group by source having max(score) >= 0.25""")
 def mined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     text = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\n\n- "), F.regexp_replace("text", "\n", "\n- "))
     body = F.concat(F.lit(")]}'\n"), F.to_json(F.struct(F.array(text).alias("answers"))))
-    return json_mining.markdown_of_captures(docs.select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), body.alias("body")))
+    found = json_mining.markdown_of_captures(docs.select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), body.alias("body")))
+    return found.select("capture_id", "url", "score", F.md5("markdown").alias("digest"))
 
 
-@_query()
+def _dotted(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
+
+
+@_query("select * from (values ('x', '1', 'Root'), ('x', '1.1', 'A'), ('x', '1.1.1', 'A1'), ('x', '1.2', 'B')) as t(capture_id, id, label)")
 def mined_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = json_mining.trees_of_captures(fixtures.bodies(spark))
-    return json_mining.nodes_of_trees(found)
+    found = json_mining.nodes_of_trees(json_mining.trees_of_captures(fixtures.bodies(spark)))
+    return found.select("capture_id", _dotted("path").alias("id"), "label")
 
 
-@_query()
+@_query("select 'm' as capture_id, id, label, 1.0::double as confidence from (values ('1', 'Root'), ('1.1', 'Left'), ('1.1.1', 'One'), ('1.1.2', 'Two'), ('1.2', 'Right'), ('1.2.1', 'Three more')) as t(id, label)")
 def map_from_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.maps_of_captures(*fixtures.fragments_and_links(spark))
+    return geometry.maps_of_captures(*fixtures.fragments_and_links(spark)).select("capture_id", _dotted("path").alias("id"), "label", "confidence")
 
 
 @_query()
@@ -373,10 +388,15 @@ def bilingual_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.lines(spark).select("id", quiz.bilingual(F.col("lines")).alias("b")).select("id", "b.en", "b.ar")
 
 
-@_query()
+@_query("""select * from (values
+  ('a', 1, 'q001', 'What is 2 + 2?', 'كم يساوي 2 + 2؟', 'Count your fingers', 2, 'B', 'Four', 'Two and two', ''),
+  ('a', 2, 'q002', '', '', '', 2, 'A', 'x', 'why', 'empty_question,missing_explanation'),
+  ('b', 1, 'q001', 'No options here', '', '', 0, '', '', '', 'options_lt_2,no_correct_answer')) as t(capture_id, step, id, question_en, question_ar, hint_en, n_options, keys, answer_en, explanation_en, warnings)""")
 def quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quiz.checked(quiz.until_repeated(quiz.questions(fixtures.quiz_states(spark))))
-    return found.select("capture_id", "step", "id", "number", "total", *[F.to_json(c).alias(c) for c in ("question", "hint", "options", "answer")], F.array_join("warnings", ",").alias("warnings"))
+    parts = {"question_en": "question.en", "question_ar": "question.ar", "hint_en": "hint.en", "answer_en": "answer.text.en", "explanation_en": "answer.explanation.en"}
+    lists = [F.size("options").alias("n_options"), F.array_join("answer.keys", ",").alias("keys"), F.array_join("warnings", ",").alias("warnings")]
+    return found.select("capture_id", "step", "id", *[F.col(c).alias(name) for name, c in parts.items()], *lists)
 
 
 @_query("select 'a' as capture_id, 3 as total_declared, 2::bigint as total_extracted, 2::bigint as warnings_count")
@@ -426,7 +446,19 @@ def _pages_as_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return caps, dom, net
 
 
-@_query()
+_SCORES = r"""
+with b as (select page_id, regexp_replace(regexp_replace(html, '(?s)^.*<body>', ''), '(?s)<nav>.*?</nav>', '', 'g') as body from pages),
+t as (select page_id, unnest(regexp_split_to_array(body, '<[^>]*>')) as t from b),
+s as (select page_id, sum(length(trim(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' ' || chr(10))))::bigint as score from t group by page_id)
+"""
+
+
+@_query(_SCORES + "select page_id, score from s")
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", html_blocks.score_of(F.col("html")).alias("score"))
+
+
+@_query(_SCORES + "select (page_id // 4)::varchar as capture_id, arg_min(page_id % 4, (-score, page_id))::int as frame_id, max(score) as score, arg_min(md5(html), (-score, page_id)) as digest from s join pages using (page_id) group by 1")
 def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.best_frames(_pages_as_captures(spark, sf_dir)[1]).select("capture_id", "frame_id", "score", F.md5("html").alias("digest"))
 
