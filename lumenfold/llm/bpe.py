@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from lumenfold.llm.scratch import small_batches
 from lumenfold.llm.words import chunks, tidy
 
-#: Words, pairs and edges that a worker remembers; when full, it starts anew.
-WORDS, PAIRS, EDGES = 80_000, 150_000, 10_000
+#: Words of each of two generations that a worker remembers; pairs and edges, which start anew when full.
+WORDS, PAIRS, EDGES = 90_000, 150_000, 10_000
 _FAR = 1 << 30
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 # Unicode's white space, as the body of a character class.
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -83,6 +86,7 @@ class Bpe:
         self._machine.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._words: dict[str, tuple[bytes, str]] = {}
+        self._older: dict[str, tuple[bytes, str]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens on one edge of a token's tree from the symbol up, each with the rank at which it is merged away."""
@@ -153,26 +157,30 @@ class Bpe:
             at = back[at]
         return out[::-1]
 
-    def _cached(self, piece: str) -> tuple[bytes, str]:
-        ids = self.word(piece)
-        got = np.array(ids, "<u4").tobytes(), " ".join([self.text[i] for i in ids])
+    def _looked_up(self, piece: str) -> tuple[bytes, str]:
+        """(ids, decoded) of a piece that a younger generation didn't hold; what is asked for again grows young."""
+        got = self._words.get(piece) or self._older.get(piece)
+        if got is None:
+            ids = self.word(piece)
+            got = array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes(), " ".join([self.text[i] for i in ids])
         if len(piece) <= 40:
             if len(self._words) >= WORDS:
-                self._words.clear()
+                self._older, self._words = self._words, {}
             self._words[piece] = got
         return got
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, their tokens joined by spaces) of each piece of a text."""
-        known = self._words.get
+        out: list[tuple[bytes, str]] = []
         for i, part in enumerate(self._special.split(text)) if self._special else [(0, text)]:
             if i % 2:
-                yield np.array([self.special[part]], "<u4").tobytes(), part
+                out.append((np.array([self.special[part]], "<u4").tobytes(), part))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower-cased letter by letter
-            for piece in self._pieces(part.lower()):
-                yield known(piece) or self._cached(piece)
+            known, other = self._words.get, self._looked_up
+            out += [known(piece) or other(piece) for piece in self._pieces(part.lower())]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join([p[0] for p in self.pieces(text)]), "<u4")
@@ -227,7 +235,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def row(bpe: Bpe, text: str) -> tuple:
-        found = list(bpe.pieces(text))
+        found = bpe.pieces(text)
         ids = b"".join([p[0] for p in found])
         # Each remembered piece carries its own decoding: the same tokens, joined.
         decoded = " ".join([p[1] for p in found])
