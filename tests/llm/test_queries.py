@@ -1,0 +1,17 @@
+import pytest
+
+import __spark_entry__
+from lumenfold.llm.queries import ORACLES, QUERIES
+
+from ..oracles import same
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_like_sql(spark, name):
+    same(spark, QUERIES[name], ORACLES[name])
+
+
+def test_all_are_registered():
+    names = list(__spark_entry__.queries())
+    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert "pipeline" in names
