@@ -78,7 +78,7 @@ class Matcher:
             if sign not in letters and letter in letters:
                 self.classes[ord(sign)] = letters.index(letter) + 1
         children: list[dict[int, int]] = [{}]
-        full, begins, allowed = [False], [False], [0]
+        full, begins, allowed, own = [False], [False], [0], [0]
         for t in self.terms:
             body, node = t.rstrip("*"), 0
             most = 2 if len(body) >= TWO_EDITS else 1 if len(body) >= ONE_EDIT + t.endswith("*") else 0
@@ -91,13 +91,14 @@ class Matcher:
                     full.append(False)
                     begins.append(False)
                     allowed.append(0)
+                    own.append(0)
                 node = children[node][k]
                 path.append(node)
             for n in path:  # a node's automaton allows what the most tolerant term below it does
                 allowed[n] = max(allowed[n], most)
             full[node] = True
             begins[node] |= t.endswith("*")
-        own = self._own_edits(children, full)
+            own[node] = max(own[node], most)
 
         def closed(items: dict[int, int]) -> frozenset[tuple[int, int]]:
             """With letters of a term left out of the word."""
@@ -145,35 +146,6 @@ class Matcher:
             self.accept[i] = min(hits) + 1 if hits else 0
             self.sure[i] = any(begins[n] and e == 0 for n, e in state)
 
-    def _own_edits(self, children: list[dict[int, int]], full: list[bool]) -> list[int]:
-        """The edits that the term ending in each node allows."""
-        own = [0] * len(children)
-        stack = [(0, 0)]
-        ends = {}
-        for t in self.terms:
-            ends.setdefault(t.rstrip("*"), False)
-            ends[t.rstrip("*")] |= t.endswith("*")
-        sizes = {len(b): [] for b in ends}
-        while stack:
-            n, depth = stack.pop()
-            if full[n]:
-                own[n] = 2 if depth >= TWO_EDITS else 1 if depth >= ONE_EDIT else 0
-                sizes.get(depth, []).append(n)
-            stack += [(m, depth + 1) for m in children[n].values()]
-        # Beginnings are shorter evidence than words: they need one letter more.
-        for body, begin in ends.items():
-            if begin and len(body) == ONE_EDIT:
-                node, ok = 0, True
-                for c in body:
-                    step = children[node].get(int(self.classes[ord(c)]))
-                    ok = step is not None
-                    if not ok:
-                        break
-                    node = step
-                if ok:
-                    own[node] = 0
-        return own
-
     def match(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word 0, or one more than the edits of the best term."""
         out = np.zeros(len(starts), np.int8)
