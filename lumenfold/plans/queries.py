@@ -13,6 +13,7 @@ from lumenfold.functions import text as T
 from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, quiz_html, reconcile, report_blocks, trees
 from lumenfold.plans import fixtures, reports
 from lumenfold.sources import captures
+from lumenfold.streaming import captures as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,3 +502,32 @@ def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read as quiz pages: what options a page holds."""
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("capture_id"), F.lit(1).alias("step"), F.lit("pre").alias("phase"), "html")
     return quiz_html.states_of(pages).select("capture_id", "step", F.length("root").alias("chars"), F.size("options").alias("n_options"))
+
+
+# Streams.
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _read(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")  # a pattern, since a stream's path can't be one file
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@_query("select date_trunc('hour', ts) as start, count(*) as n from events group by 1")
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = streams.windowed_counts(_event_stream(spark, sf_dir), "ts")
+    return streams.run_through(counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query("select distinct user_id::varchar as capture_id, length(event_type)::int as number from events")
+def stream_distinct_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("capture_id"), F.length("event_type").alias("number"), "ts")
+    return streams.run_through(streams.distinct_questions(events, "ts"), "append").select("capture_id", "number")
+
+
+@_query("""
+select user_id::varchar as capture_id, event_id as seq, value as score, count(value) over w = 3 and max(value) over w - min(value) over w <= 5 and value >= 40 as stable
+from events window w as (partition by user_id order by event_id rows between 2 preceding and current row)""")
+def stream_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("capture_id"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    return streams.run_through(streams.stable_scores(scores, 5, 40), "update", stateful=True)

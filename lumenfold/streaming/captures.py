@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,3 +57,23 @@ def stable_scores(scores: DataFrame, within: float = 5, least: float = 400) -> D
     """scores (capture_id, seq, score) with stable: whether the last three lie within a range and the present one is large enough."""
     grouped = scores.select("capture_id", "seq", "score").groupBy("capture_id")
     return grouped.transformWithStateInPandas(_Steady(within, least), "capture_id string, seq long, score double, stable boolean", "update", "none")
+
+
+def run_through(df: DataFrame, mode: str, stateful: bool = False) -> DataFrame:
+    """What a stream gives once all files that are there have been read.
+
+    Appended rows go to a table in the folder that spark.checkpoint.dir names, and so
+    do offsets and state; an updated or complete result, which is small, goes to a
+    table in memory. stateful processors keep their state in RocksDB.
+    """
+    spark = df.sparkSession
+    if stateful:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name = f"lumenfold_{uuid.uuid4().hex}"
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")).rstrip("/") + f"/{name}"
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
+    if mode == "append":
+        writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{base}/rows")
+    writer.format("memory").queryName(name).start().awaitTermination()
+    return spark.table(name)
