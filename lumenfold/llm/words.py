@@ -103,7 +103,8 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iter
     column = batch.column(batch.schema.get_field_index(text))
     if not len(column):
         return
-    offsets = np.frombuffer(column.cast(pa.string()).buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    strings = column if pa.types.is_string(column.type) else column.cast(pa.string())
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
