@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import lang_info, page_title, source_url, title_stem
 from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, reconcile, report_blocks, trees
 from lumenfold.sources.captures import best_frames, bodies_for
+from lumenfold.sources.tables import written
 
 
 def _stamp(at: datetime | None) -> str:
@@ -21,8 +22,8 @@ def _stamp(at: datetime | None) -> str:
 def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, drop_rules: bool = True, product: str = "", at: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, meta, failures) of report captures.
 
-    Both candidates are built where there is input for them, the choice falls by
-    their words, and only the chosen source is kept. Captures with less than 80
+    Both candidates are built where there is input for them, and written once, for
+    they are read for the choice, which falls by their words, and for the result. Captures with less than 80
     characters go to failures.
     """
     snapshots = best_frames(dom_html).groupBy("capture_id")
@@ -30,11 +31,13 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     pages = snapshots.agg(F.max_by("html", last).alias("html"), F.max("score").alias("visible"))
     mined = json_mining.markdown_of_captures(bodies_for(net_bodies, "report"))
     keyed = captures.where("kind = 'report'").select("capture_id", "share_url", "base", "page_title", "page_url").withColumn("doc_id", F.xxhash64("capture_id"))
+    pages, mined = written(pages), written(mined)
     dom = report_blocks.blocks_of(keyed.join(pages, "capture_id"), "doc_id", "html", html_blocks.from_html)
     net = report_blocks.blocks_of(keyed.join(mined, "capture_id"), "doc_id", "markdown", report_blocks.from_markdown)
+    all_blocks = written(dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network"))))
+    dom, net = all_blocks.where("method = 'dom'"), all_blocks.where("method = 'network'")
     both = keyed.join(_texts(dom, "dom_text"), "doc_id", "left").join(_texts(net, "network_text"), "doc_id", "left")
     choice = reconcile.chosen_method(both.select(F.col("doc_id").alias("capture_id"), "dom_text", "network_text")).withColumnRenamed("capture_id", "doc_id")
-    all_blocks = dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network")))
     blocks = all_blocks.join(choice.select("doc_id", "method"), ["doc_id", "method"]).drop("method")
     stats = report_blocks.statistics(blocks)
     shown = report_blocks.without_rules(blocks) if drop_rules else blocks
