@@ -7,9 +7,11 @@
    is summed over all blocks, and every block gets its words' corpus counts back.
 3. The most frequent words are the network's own; all others fall into tail
    classes by their count, within which a word's probability is its smoothed share
-   of the class. The network is trained on the training documents of a few blocks by
+   of the class. The network is trained on all training documents by
    truncated backpropagation; a word's count without its own document decides its
-   class there, so that it learns how often words are new.
+   class there, so that it learns how often words are new. In each of EPOCHS rounds
+   every task goes on from the round's network over all of its blocks, and the
+   tasks' networks are averaged by their tokens.
 4. Each block is scored with its counts. Many documents run side by side; their
    states are carried from window to window until a document ends.
 """
@@ -30,11 +32,11 @@ from lumenfold.llm.words import Texts, chunks, tidy
 
 #: Tokens of a block, and bytes of hashes and counts that a range of hashes may have.
 BLOCK, RANGE_BYTES = 500_000, 16_000_000
-#: Tokens that the network is trained on, to the end of a block.
-TRAIN_TOKENS = 300_000
+#: Pieces that the parameters are averaged in.
+PIECES = 64
 #: Words of the network's own, words in each of their classes, hidden units.
 HEAD, CLASS, HIDDEN = 1024, 32, 24
-#: Documents side by side and steps of a window, in scoring and in training; passes over the training block.
+#: Documents side by side and steps of a window, in scoring and in training; passes over the training documents.
 LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 128, 64, 32, 24, 4, 0.01
 #: Classes of the tail: none, 1, 2, 3, 4, 5-6, 7-8, ...: two for each doubling.
 TAIL = 64
@@ -284,26 +286,26 @@ class Network:
             out[here[some]] = self.log_probabilities(states.reshape(-1, HIDDEN)[some], symbols[here[some]])
         return out
 
-    def train(self, symbols: np.ndarray, lens: np.ndarray) -> Network:
-        """Truncated backpropagation through windows; states are carried over, gradients are not. Adam's steps."""
+    def train(self, symbols: np.ndarray, lens: np.ndarray, moments: Moments, epoch: int = 0, done: float = 0.0, share: float = 1.0) -> Network:
+        """One pass of truncated backpropagation through windows; states are carried over, gradients are not. Adam's steps.
+
+        done is the part of the round that was over before, share this block's part of it: the rate falls with both.
+        """
         at, before, begins, _ = _grid(symbols, lens, TRAIN_LANES, self.vocabulary.inputs - 1)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        m, s = moments.m, moments.s
         windows = -(-len(at) // TRAIN_WINDOW)
-        step = 0
-        for epoch in range(EPOCHS):
-            h = np.zeros((at.shape[1], HIDDEN), np.float32)
-            for i in range(windows):
-                rows = slice(i * TRAIN_WINDOW, (i + 1) * TRAIN_WINDOW)
-                grads, h = self._gradients(at[rows], before[rows], begins[rows], symbols, h)
-                step += 1
-                rate = RATE * (1 - (epoch * windows + i) / (EPOCHS * windows)) + 1e-4
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                for k, g in grads.items():
-                    g *= min(1.0, 1.0 / (norm + 1e-12))
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + np.float32(1e-6))
+        h = np.zeros((at.shape[1], HIDDEN), np.float32)
+        for i in range(windows):
+            rows = slice(i * TRAIN_WINDOW, (i + 1) * TRAIN_WINDOW)
+            grads, h = self._gradients(at[rows], before[rows], begins[rows], symbols, h)
+            moments.step += 1
+            rate = RATE * (1 - (epoch + min(1.0, done + share * i / windows)) / EPOCHS) + 1e-4
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            for k, g in grads.items():
+                g *= min(1.0, 1.0 / (norm + 1e-12))
+                m[k] += 0.1 * (g - m[k])
+                s[k] += 0.01 * (g * g - s[k])
+                self.p[k] -= np.float32(rate) * (m[k] / (1 - 0.9**moments.step)) / (np.sqrt(s[k] / (1 - 0.99**moments.step)) + np.float32(1e-6))
         return self
 
     def _gradients(self, at: np.ndarray, before: np.ndarray, begins: np.ndarray, symbols: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -351,27 +353,79 @@ class Network:
         return g, states[-1]
 
 
-def _trained(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> Network:
-    """The network trained on the training documents of the first blocks, up to TRAIN_TOKENS."""
+class Moments:
+    """Adam's moments of a network's parameters, and its steps."""
+
+    def __init__(self, network: Network) -> None:
+        self.m = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.step = 0.0
+
+
+def _flat(network: Network, moments: Moments) -> np.ndarray:
+    """All that training carries on, as one row of numbers."""
+    return np.concatenate([*[v.ravel() for d in (network.p, moments.m, moments.s) for v in d.values()], [moments.step]], dtype=np.float64)
+
+
+def _restored(network: Network, moments: Moments, flat: np.ndarray) -> None:
+    """The opposite of _flat."""
+    at = 0
+    for d in (network.p, moments.m, moments.s):
+        for k, v in d.items():
+            d[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+    moments.step = float(flat[at])
+
+
+def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The symbols of all training documents, a row for each block that has any."""
+
+    def lesson(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = right.sort_by("part").select(["counts"]).to_pylist()
+        out = []
+        for row in left.to_pylist():
+            learnt, lens = np.frombuffer(row["held"], np.int8) == 0, np.frombuffer(row["lens"], np.int64)
+            hashes, counts = np.frombuffer(row["hashes"], np.uint64), _counts(found, row["hashes"])
+            ids = _unpack(row["ids"], int(lens.sum()), np.int32)[np.repeat(learnt, lens)]
+            lens = lens[learnt]
+            owner = np.repeat(np.arange(len(lens)), lens)
+            _, place, times = np.unique(owner * np.int64(len(hashes)) + ids, return_inverse=True, return_counts=True)
+            symbols = vocabulary.symbols(hashes[ids], counts[ids] - times[place])
+            out.append({"symbols": _pack(symbols.astype(np.int16)), "lens": lens.tobytes(), "n": len(ids)})
+        return pa.Table.from_pylist(out, pa.schema([("symbols", pa.binary()), ("lens", pa.binary()), ("n", pa.int64())]))
+
+    wanted = blocks.where("learnt > 0").select("block", "held", "lens", "ids", "hashes")
+    given = answers.where("block >= 0").select("block", "part", "counts")
+    return wanted.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lesson, "symbols binary, lens binary, n long")
+
+
+def _trained(lessons: DataFrame, vocabulary: Vocabulary) -> Network:
+    """The network trained on all lessons, EPOCHS times: each round by all tasks side by side, then averaged."""
     network = Network(vocabulary)
-    sizes = blocks.where("learnt > 0").select("block", "learnt").orderBy("block").limit(1000).collect()
-    symbols, all_lens, total = [], [], 0
-    for size in sizes:
-        if total >= TRAIN_TOKENS:
-            break
-        row = blocks.where(F.col("block") == size["block"]).first()
-        held, lens = np.frombuffer(row["held"], np.int8), np.frombuffer(row["lens"], np.int64)
-        learnt = held == 0
-        ids = _unpack(row["ids"], int(lens.sum()), np.int32)
-        hashes = np.frombuffer(row["hashes"], np.uint64)
-        counts = _counts(answers.where(F.col("block") == row["block"]).orderBy("part").select("counts").collect(), row["hashes"])
-        ids, lens = ids[np.repeat(learnt, lens)], lens[learnt]
-        owner = np.repeat(np.arange(len(lens)), lens)
-        _, place, times = np.unique(owner * np.int64(len(hashes)) + ids, return_inverse=True, return_counts=True)
-        symbols.append(vocabulary.symbols(hashes[ids], counts[ids] - times[place]))
-        all_lens.append(lens)
-        total += len(ids)
-    return network.train(np.concatenate(symbols), np.concatenate(all_lens)) if symbols else network
+    moments = Moments(network)
+    tasks = max(1, lessons.rdd.getNumPartitions())
+    share = (lessons.agg(F.sum("n")).first()[0] or 0) / tasks
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("x").to_pylist())
+        weight = sum(table.column("weight").to_pylist())
+        return pa.table({"piece": table.column("piece")[:1], "x": pa.array([(total / weight).tobytes()], pa.binary())})
+
+    for epoch in range(EPOCHS if share else 0):
+
+        def learn(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            done = 0
+            for batch in batches:
+                for packed, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    network.train(_unpack(packed, n, np.int16).astype(np.int64), np.frombuffer(raw, np.int64), moments, epoch, done / share, n / share)
+                    done += n
+            if done:
+                pieces = [(done * x).tobytes() for x in np.array_split(_flat(network, moments), PIECES)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(done)] * PIECES), pa.array(pieces, pa.binary())], names=["piece", "weight", "x"])
+
+        sums = lessons.select("symbols", "lens", "n").mapInArrow(learn, "piece int, weight double, x binary").groupBy("piece").applyInArrow(add, "piece int, x binary")
+        _restored(network, moments, np.concatenate([np.frombuffer(r["x"], np.float64) for r in sorted(sums.collect(), key=lambda r: r["piece"])]))
+    return network
 
 
 def _counts(rows: list, raw: bytes) -> np.ndarray:
@@ -415,7 +469,9 @@ def scored(docs: DataFrame) -> DataFrame:
     for c, count in zip(tail_class(np.array([r["head_counts"] for r in head], np.int64)), [r["head_counts"] for r in head], strict=True):
         mass[c] -= count + 0.5
     vocabulary = Vocabulary(own, np.array([r["head_counts"] for r in head], float), total["v"] or 0, total["n"] or 0, np.maximum(mass, 0))
-    network = _trained(blocks, answers, vocabulary)
+    lessons = scratch.table(_lessons(blocks, answers, vocabulary))
+    network = _trained(lessons, vocabulary)
+    scratch.drop(lessons)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
