@@ -59,23 +59,45 @@ def merge_snapshots(snapshots: list[list[dict[str, Any]]], size: int | None = SI
     return out
 
 
+def _merged(snaps: list[list[dict[str, Any]]], size: int | None) -> tuple[list[dict[str, Any]], bool]:
+    """The merge of snapshots in the order of time, and whether their blocks were put in that order.
+
+    The largest snapshot comes first and the others in the order of time; with more
+    than three and a merge over 5 % larger than the largest, all come in that order.
+    """
+    length = lambda s: len(json.dumps(s, ensure_ascii=False))
+    sizes = [length(s) for s in snaps]
+    top = sizes.index(max(sizes))
+    merged = merge_snapshots([snaps[top], *snaps[:top], *snaps[top + 1 :]], size)
+    timed = len(snaps) > 3 and length(merged) > 1.05 * sizes[top]
+    return (merge_snapshots(snaps, size) if timed else merged), timed
+
+
+def merged_pages(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
+    """capture_id, blocks (JSON list), visible, reordered: snapshots (capture_id, snap_seq, blocks, score) merged, one capture at a time.
+
+    A snapshot without blocks counts as one; visible is the highest score.
+    """
+    size = None if full_signature else SIGNATURE
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        merged, timed = _merged([json.loads(b) for b in rows.sort_values("snap_seq")["blocks"]], size)
+        return pd.DataFrame({"capture_id": [key[0]], "blocks": [json.dumps(merged, ensure_ascii=False)], "visible": [rows["score"].max()], "reordered": [timed]})
+
+    return snapshots.groupBy("capture_id").applyInPandas(merge, "capture_id string, blocks string, visible long, reordered boolean")
+
+
 def merged_captures(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
     """capture_id, pos, block (JSON), reordered: snapshots (capture_id, snap_seq, ord, block) merged, one capture at a time.
 
-    The largest snapshot comes first; with more than three and a merge over 5 %
-    larger than the largest, they are merged in the order of time instead.
+    See _merged for their order.
     """
     size = None if full_signature else SIGNATURE
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values(["snap_seq", "ord"])
         snaps = [[json.loads(b) for b in g["block"]] for _, g in ordered.groupby("snap_seq", sort=True)]
-        length = lambda s: len(json.dumps(s, ensure_ascii=False))
-        by_size = sorted(snaps, key=length, reverse=True)
-        merged = merge_snapshots(by_size, size)
-        timed = len(snaps) > 3 and length(merged) > 1.05 * length(by_size[0])
-        if timed:
-            merged = merge_snapshots(snaps, size)
+        merged, timed = _merged(snaps, size)
         return pd.DataFrame({"capture_id": [key[0]] * len(merged), "pos": range(1, len(merged) + 1), "block": [json.dumps(b, ensure_ascii=False) for b in merged], "reordered": [timed] * len(merged)})
 
     return snapshots.groupBy("capture_id").applyInPandas(merge, "capture_id string, pos int, block string, reordered boolean")

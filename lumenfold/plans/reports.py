@@ -23,16 +23,15 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     """(blocks, meta, failures) of report captures.
 
     Both candidates are built where there is input for them, and written once, for
-    they are read for the choice, which falls by their words, and for the result. Captures with less than 80
-    characters go to failures.
+    they are read for the choice, which falls by their words, and for the result. The page's candidate holds
+    the raw blocks of all snapshots, merged. Captures with less than 80 characters go to failures.
     """
-    snapshots = best_frames(dom_html).groupBy("capture_id")
-    last = F.struct("score", -F.col("snap_seq"))
-    pages = snapshots.agg(F.max_by("html", last).alias("html"), F.max("score").alias("visible"))
+    snapshots = best_frames(dom_html).select("capture_id", "snap_seq", html_blocks.raw_of(F.col("html")).alias("blocks"), "score")
+    pages = reconcile.merged_pages(snapshots)
     mined = json_mining.markdown_of_captures(bodies_for(net_bodies, "report"))
     keyed = captures.where("kind = 'report'").select("capture_id", "share_url", "base", "page_title", "page_url").withColumn("doc_id", F.xxhash64("capture_id"))
     pages, mined = written(pages), written(mined)
-    dom = report_blocks.blocks_of(keyed.join(pages, "capture_id"), "doc_id", "html", html_blocks.from_html)
+    dom = report_blocks.blocks_of(keyed.join(pages, "capture_id"), "doc_id", "blocks", html_blocks.from_list)
     net = report_blocks.blocks_of(keyed.join(mined, "capture_id"), "doc_id", "markdown", report_blocks.from_markdown)
     all_blocks = written(dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network"))))
     dom, net = all_blocks.where("method = 'dom'"), all_blocks.where("method = 'network'")
@@ -42,10 +41,10 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     stats = report_blocks.statistics(blocks)
     shown = report_blocks.without_rules(blocks) if drop_rules else blocks
     meta = keyed.join(stats, "doc_id").join(choice, "doc_id").join(_texts(blocks, "all_text"), "doc_id")
-    meta = meta.join(pages.select("capture_id", "visible"), "capture_id", "left").join(mined.select("capture_id", F.col("url").alias("network_url")), "capture_id", "left")
+    meta = meta.join(pages.select("capture_id", "visible", "reordered"), "capture_id", "left").join(mined.select("capture_id", F.col("url").alias("network_url")), "capture_id", "left")
     by_dom = F.col("method") == "dom"
     lost = by_dom & (F.col("chars") / F.greatest(F.col("visible"), F.lit(1)) < 0.8)
-    codes = F.concat(F.array(F.col("warning")), "warnings", F.array(F.when(by_dom & F.col("diagrams"), "diagrams"), F.when(lost, "text_lost")))
+    codes = F.concat(F.array(F.when(F.col("reordered"), "lazy_merge"), F.col("warning")), "warnings", F.array(F.when(by_dom & F.col("diagrams"), "diagrams"), F.when(lost, "text_lost")))
     meta = meta.withColumn("all_info", lang_info(F.col("all_text"))).select(
         "capture_id",
         "doc_id",
