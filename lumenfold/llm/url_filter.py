@@ -21,8 +21,6 @@ from lumenfold.llm.scratch import Scratch, small_batches
 
 #: Words of the unigram model and tokens of the naive Bayes model, the most frequent first.
 WORDS, TOKENS = 100_000, 200_000
-#: Letters of a piece that are segmented at once; a longer run is cut into pieces of this size.
-PIECE = 64
 #: A url is blocked by the model from this posterior on.
 BLOCK = 0.5
 
@@ -73,32 +71,32 @@ class Segmenter:
     def __init__(self, counts: dict[str, int]) -> None:
         total = sum(counts.values()) + 1.0
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
-        self.longest = max(map(len, counts), default=1)
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
         self.unknown = math.log(total) + 1.0
 
     def split(self, name: str) -> list[str]:
-        """The words of one run of letters; unknown letters in a row stay together."""
-        out = []
-        for a in range(0, len(name), PIECE):
-            out += self._split(name[a : a + PIECE])
-        return out
+        """The words of one run of letters; unknown letters in a row stay together.
 
-    def _split(self, name: str) -> list[str]:
+        Known words are looked up by their lengths; unknown letters cost the same from
+        their start on, so the best start is carried along.
+        """
         n = len(name)
-        best = [(0.0, 0, True)] + [(math.inf, 0, True)] * n
+        best, back = [0.0] * (n + 1), [0] * (n + 1)
+        opened, low = 0, 0.0
         for end in range(1, n + 1):
-            for start in range(max(0, end - max(self.longest, n)), end):
-                word = name[start:end]
-                cost = self.cost.get(word)
-                known = cost is not None
-                if not known:
-                    cost = self.unknown + 2.5 * len(word)
-                if best[start][0] + cost < best[end][0]:
-                    best[end] = best[start][0] + cost, start, known
+            if best[end - 1] - 2.5 * (end - 1) < low:
+                opened, low = end - 1, best[end - 1] - 2.5 * (end - 1)
+            top, at = low + self.unknown + 2.5 * end, opened
+            for size in self.lengths:
+                if size <= end:
+                    cost = self.cost.get(name[end - size : end])
+                    if cost is not None and best[end - size] + cost < top:
+                        top, at = best[end - size] + cost, end - size
+            best[end], back[end] = top, at
         words, at = [], n
         while at:
-            words.append(name[best[at][1] : at])
-            at = best[at][1]
+            words.append(name[back[at] : at])
+            at = back[at]
         return words[::-1]
 
 
@@ -130,7 +128,7 @@ def train(pages: DataFrame) -> UrlModel:
     scratch = Scratch(pages.sparkSession)
     split = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
     urls = scratch.table(split.groupBy("host", "path").agg(F.count("*").alias("n")))
-    parts = urls.select("host", F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, PIECE))
+    parts = urls.select("host", F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 2)
     counts = parts.distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(WORDS).collect()
     words = {r["w"]: r["n"] for r in counts}
     least = max(2, sum(words.values()) // 2000)
