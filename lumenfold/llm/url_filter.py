@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.scratch import Scratch, small_batches
 
-#: Words of the unigram model and tokens of the naive Bayes model, the most frequent first.
+#: Words of the unigram model and tokens of the naive Bayes model that are held in memory; more are joined by a shuffle.
 WORDS, TOKENS = 100_000, 200_000
 #: A url is blocked by the model from this posterior on.
 BLOCK = 0.5
@@ -68,8 +68,9 @@ class Rules:
 class Segmenter:
     """Viterbi over a unigram model; a run of letters that no word covers costs by its length."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1.0
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        """counts: of all words, or of those that the names to split hold, with the total of all."""
+        total = (sum(counts.values()) if total is None else total) + 1.0
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
         self.lengths = sorted({len(w) for w in counts}, reverse=True)
         self.unknown = math.log(total) + 1.0
@@ -100,13 +101,20 @@ class Segmenter:
         return words[::-1]
 
 
+def runs_of(host: str, path: str) -> list[tuple[str, str | None]]:
+    """The parts of a url: a token (the host's suffix as t:, numbers as #) and None, or a mark (h:, p:) and letters to split."""
+    names, _, suffix = host.rpartition(".")
+    out: list[tuple[str, str | None]] = [(f"t:{suffix}", None)] if suffix else []
+    for mark, part in (("h:", names), ("p:", path.lower())):
+        out += [(f"{mark}#", None) if run.isdigit() else (mark, run) for run in _RUN.findall(part)]
+    return out
+
+
 def tokens_of(segmenter: Segmenter, host: str, path: str) -> list[str]:
     """Words of the host (h:), its suffix (t:) and words of the path (p:); numbers count as #."""
-    names, _, suffix = host.rpartition(".")
-    out = [f"t:{suffix}"] if suffix else []
-    for mark, part in (("h", names), ("p", path.lower())):
-        for run in _RUN.findall(part):
-            out += [f"{mark}:#"] if run.isdigit() else [f"{mark}:{w}" for w in segmenter.split(run)]
+    out = []
+    for mark, run in runs_of(host, path):
+        out += [mark] if run is None else [mark + w for w in segmenter.split(run)]
     return out
 
 
@@ -118,22 +126,70 @@ class UrlModel:
 
     def score(self, host: str, path: str) -> float:
         """The posterior of block."""
-        x = self.prior + sum(self.odds.get(t, 0.0) for t in tokens_of(self.segmenter, host, path))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        return posterior(self.prior + sum(self.odds.get(t, 0.0) for t in tokens_of(self.segmenter, host, path)))
+
+
+class UrlTables:
+    """The same beyond what memory holds: words (w, n) with their sum, and odds (t, odds), as tables."""
+
+    def __init__(self, words: DataFrame, total: int, odds: DataFrame, prior: float, scratch: Scratch) -> None:
+        self.words, self.total, self.odds, self.prior, self.scratch = words, total, odds, prior, scratch
+
+    def scores(self, urls: DataFrame) -> DataFrame:
+        """host, path and the sum of the tokens' odds (null without any) of distinct urls."""
+        tokens = _tokens(urls, self.words, self.total, self.scratch)
+        return tokens.join(self.odds, "t").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+
+
+def posterior(x: float) -> float:
+    """The probability that log-odds stand for."""
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def _tokens(urls: DataFrame, words: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """host, path, t: the tokens of distinct urls, by joins with words (w, n), of which a run of letters takes those that it holds."""
+    lengths = sorted(r[0] for r in words.select(F.length("w")).distinct().collect())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, p, *x) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in runs_of(h, p)]
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "path", "mark", "run"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                own = sorted({run[a : a + n] for n in lengths for a in range(len(run) - n + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(own), pa.string()), pa.array(own, pa.string())], names=["run", "w"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Segmenter({x["w"]: x["n"] for x in known or ()}, total).split(run) for run, known in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["run", "words"])
+
+    parts = scratch.table(urls.select("host", "path").mapInArrow(cut, "host string, path string, mark string, run string"))
+    runs = scratch.table(parts.where("run is not null").select("run").distinct())
+    held = runs.mapInArrow(pieces, "run string, w string").join(words, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    splits = scratch.table(runs.join(held, "run", "left").mapInArrow(split, "run string, words array<string>"))
+    whole = parts.where("run is null").select("host", "path", F.col("mark").alias("t"))
+    made = parts.join(splits, "run").select("host", "path", "mark", F.explode("words").alias("w")).select("host", "path", F.concat("mark", "w").alias("t"))
+    return whole.unionByName(made)
 
 
-def train(pages: DataFrame) -> UrlModel:
+def train(pages: DataFrame) -> UrlModel | UrlTables:
     """Learn words from all hosts and paths, and tokens from all urls: those with an unwanted word in the host count as blocked."""
     small_batches(pages.sparkSession)
     scratch = Scratch(pages.sparkSession)
     split = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
     urls = scratch.table(split.groupBy("host", "path").agg(F.count("*").alias("n")))
     parts = urls.select("host", F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 2)
-    counts = parts.distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(WORDS).collect()
-    words = {r["w"]: r["n"] for r in counts}
-    least = max(2, sum(words.values()) // 2000)
-    for w in UNWANTED + COMMON:
-        words[w] = max(words.get(w, 0), least)
+    counts = scratch.table(parts.distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    least = max(2, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
+    seeds = pages.sparkSession.createDataFrame([(w, least) for w in UNWANTED + COMMON], "w string, n long")
+    known = scratch.table(counts.unionByName(seeds).groupBy("w").agg(F.max("n").alias("n")))
+    size, letters = known.agg(F.count("*"), F.sum("n")).first()
+    small = size <= WORDS
+    words = {r["w"]: r["n"] for r in known.collect()} if small else {}
     segmenter = Segmenter(words)
     unwanted = {f"h:{w}" for w in UNWANTED}
 
@@ -147,19 +203,30 @@ def train(pages: DataFrame) -> UrlModel:
                 times += [n] * (len(own) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(bad, pa.bool_()), pa.array(times, pa.int64())], names=["t", "bad", "n"])
 
-    tokens = urls.mapInArrow(cut, "t string, bad boolean, n long").groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
+    if small:
+        marked = urls.mapInArrow(cut, "t string, bad boolean, n long")
+    else:
+        own = scratch.table(_tokens(urls, known, letters, scratch))
+        seen = own.where(F.col("t").isin(*unwanted)).select("host", "path").distinct().withColumn("bad", F.lit(True))
+        judged_urls = scratch.table(urls.join(seen, ["host", "path"], "left").withColumn("bad", F.coalesce("bad", F.lit(False))))
+        each = own.join(judged_urls, ["host", "path"])
+        marked = each.select("t", "bad", "n").unionByName(judged_urls.select(F.lit("").alias("t"), "bad", "n"))
+    tokens = marked.groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     tokens = scratch.table(tokens)
     total = tokens.where("t <> ''").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("v")).first()
     whole = tokens.where("t = ''").first()
     if whole is None:
         return UrlModel(words, {}, -1.0)
     bad, good, v = total["bad"] or 0, (total["n"] or 0) - (total["bad"] or 0), total["v"]
-    top = tokens.where("t <> ''").orderBy(F.desc("n"), "t").limit(TOKENS).collect()
-    odds = {r["t"]: math.log((r["bad"] + 0.5) / (bad + 0.5 * v)) - math.log((r["n"] - r["bad"] + 0.5) / (good + 0.5 * v)) for r in top}
-    return UrlModel(words, odds, math.log((whole["bad"] + 0.5) / (whole["n"] - whole["bad"] + 0.5)))
+    prior = math.log((whole["bad"] + 0.5) / (whole["n"] - whole["bad"] + 0.5))
+    if not small or v > TOKENS:
+        odds = F.log((F.col("bad") + 0.5) / (bad + 0.5 * v)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 0.5 * v))
+        return UrlTables(known, letters, tokens.where("t <> ''").select("t", odds.alias("odds")), prior, scratch)
+    found = tokens.where("t <> ''").collect()
+    return UrlModel(words, {r["t"]: math.log((r["bad"] + 0.5) / (bad + 0.5 * v)) - math.log((r["n"] - r["bad"] + 0.5) / (good + 0.5 * v)) for r in found}, prior)
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel | UrlTables) -> DataFrame:
     """page_id, host, path, rule, verdict and score for every row of pages (page_id, url).
 
     The longest rule that fits the url gives the verdict; without one, the model's
@@ -169,15 +236,20 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel) -> D
     """
     small_batches(pages.sparkSession)
     known = Rules(rules)
+    tables = model if isinstance(model, UrlTables) else None
+    prior, scorer = model.prior, None if tables else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found, score = known.find(host, path), model.score(host, path)
+            given = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for host, path, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), given, strict=True):
+                found, score = known.find(host, path), scorer.score(host, path) if scorer else posterior(prior + (x or 0.0))
                 rows.append((found[0], found[1], score) if found else (None, "block" if score >= BLOCK else "allow", score))
             rule, verdict, score = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
     rows = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if tables:
+        rows = rows.join(tables.scores(rows.select("host", "path").distinct()), ["host", "path"], "left").select("page_id", "host", "path", "odds")
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
