@@ -117,6 +117,13 @@ def markdown_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), M.plain(F.col("t")).alias("plain"))
 
 
+@_query()
+def markdown_plain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, also those that the SQL of markdown_plain leaves out."""
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), M.plain(F.col("t")).alias("plain"))
+
+
 _TABLE_ROWS = r"""
 with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')) as l from documents),
 c as (select doc_id, list_transform(l, lambda x: list_transform(string_split(regexp_replace(regexp_replace(trim(x), '^\|', ''), '\|$', ''), '|'), lambda y: trim(y))) as r from l where len(l) > 0)
@@ -174,6 +181,13 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_blocks"), F.sum(F.length("block_text")).alias("chars"))
 
 
+@_query()
+def markdown_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, also those that the SQL of markdown_report leaves out."""
+    blocks = report_blocks.blocks_of(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_blocks"), F.sum(F.length("block_text")).alias("chars"))
+
+
 @_query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = report_blocks.blocks_of(_read(spark, sf_dir, "documents"), "doc_id", "text")
