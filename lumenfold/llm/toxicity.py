@@ -24,7 +24,7 @@ from lumenfold.llm.samples import fold, labelled
 from lumenfold.llm.scratch import small_batches
 from lumenfold.llm.words import chunks, tidy
 
-#: Characters of text looked at together, words on either side of a hit, most terms of a lexicon.
+#: Characters of text looked at together, words on either side of a hit, most terms of one automaton.
 CHUNK, WINDOW, TERMS = 1 << 18, 6, 200
 #: A term tolerates one edit from the first length on and two from the second.
 ONE_EDIT, TWO_EDITS = 5, 10
@@ -161,10 +161,26 @@ class Matcher:
         return out
 
 
+class Matchers:
+    """A lexicon of more than TERMS terms as several automata; the best of their matches counts."""
+
+    def __init__(self, terms: list[str]) -> None:
+        terms = sorted(set(terms))
+        self.parts = [Matcher(terms[a : a + TERMS]) for a in range(0, len(terms), TERMS)]
+
+    def match(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each word 0, or one more than the edits of the best term."""
+        out = np.zeros(len(starts), np.int8)
+        for part in self.parts:
+            found = part.match(points, starts, ends)
+            out = np.where((out == 0) | ((found > 0) & (found < out)), found, out)
+        return out
+
+
 FEATURES = 6
 
 
-def hit_features(matcher: Matcher, texts: list[str | None]) -> np.ndarray:
+def hit_features(matcher: Matcher | Matchers, texts: list[str | None]) -> np.ndarray:
     """For each text the logarithms of counts of hits: exact and misspelled, in abuse and in quotation, and their share of words."""
     joined, points, starts, ends, at = split(texts)
     found = matcher.match(points, starts, ends)
@@ -274,7 +290,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> list[str]:
     begins = {t for t in live if t.endswith("*") and longer[t] < 0.95 * df[t]}
     begins = {t for t in begins if not any(t[:k] + "*" in begins for k in range(4, len(t) - 1))}
     words = {t for t in live if not t.endswith("*") and not any(t[:k] + "*" in begins for k in range(4, len(t)))}
-    return sorted(sorted(begins | words, key=lambda t: (-df[t], t))[:TERMS])
+    return sorted(begins | words)
 
 
 class ToxicityModel:
@@ -282,7 +298,7 @@ class ToxicityModel:
 
     def __init__(self, lexicon: list[str], weights: np.ndarray) -> None:
         self.lexicon, self.weights = lexicon, weights
-        self._matcher: Matcher | None = None
+        self._matcher: Matcher | Matchers | None = None
 
     def __getstate__(self) -> tuple:
         return self.lexicon, self.weights
@@ -292,11 +308,11 @@ class ToxicityModel:
         self._matcher = None
 
     @property
-    def matcher(self) -> Matcher:
+    def matcher(self) -> Matcher | Matchers:
         if self._matcher is None:
             key = tuple(self.lexicon)
             if key not in _matchers:
-                _matchers[key] = Matcher(self.lexicon)
+                _matchers[key] = (Matcher if len(key) <= TERMS else Matchers)(self.lexicon)
             self._matcher = _matchers[key]
         return self._matcher
 
@@ -329,7 +345,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-_matchers: dict[tuple[str, ...], Matcher] = {}
+_matchers: dict[tuple[str, ...], Matcher | Matchers] = {}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
