@@ -4,8 +4,8 @@ Items are partitioned by the number n of their shingles into classes between
 powers of two. Of an item the s = n - ceil(t * n) + 1 lowest hashes are kept, its
 MinHash sketch: a document with a share t of the shingles misses fewer than s, so
 it holds at least one of the sketch, however long it is, and no leak is lost. The
-class bounds the sketches, and so the size of the table that is searched. Exact
-containment in the document's shingles then verifies each candidate.
+class bounds the sketches, and each class has a table of its own that is searched
+by itself. Exact containment in the document's shingles then verifies each candidate.
 """
 
 from __future__ import annotations
@@ -35,9 +35,7 @@ class ItemIndex:
     def __init__(self, texts: list[str | None], words: int, percent: int) -> None:
         self.words = words
         self.full: list[np.ndarray] = []
-        sketches: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        self.lengths: dict[int, int] = {}
-        self.classes: dict[int, int] = defaultdict(int)
+        sketches: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = defaultdict(list)
         parsed = Texts(pa.array([t or "" for t in texts], pa.string()))
         hashes = parsed.hashes()
         for i in range(len(texts)):
@@ -48,22 +46,24 @@ class ItemIndex:
             if k:
                 n = len(full)
                 s = n + (-n * percent // 100) + 1
-                self.classes[n.bit_length()] = max(s, self.classes[n.bit_length()])
-                sketches[k].append((full[:s], i))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k, parts in sketches.items():
+                sketches[k, n.bit_length()].append((full[:s], i))
+        #: By the words of a shingle and the size class.
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for key, parts in sorted(sketches.items()):
             values = np.concatenate([v for v, _ in parts])
             items = np.concatenate([np.full(len(v), i, np.int64) for v, i in parts])
             order = np.argsort(values, kind="stable")
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[values & np.uint64((1 << FILTER_BITS) - 1)] = True
-            self.tables[k] = values[order], items[order], bits
+            self.tables[key] = values[order], items[order], bits
 
     def search(self, texts: Texts, percent: int) -> Iterator[tuple[int, int, int]]:
         """(text, item, shared shingles) of each item that a text contains."""
         hashes = texts.hashes()
-        for k, (values, items, bits) in self.tables.items():
-            all_windows = windows(hashes, k) >> np.uint64(1)
+        last = 0
+        for (k, _), (values, items, bits) in self.tables.items():
+            if k != last:
+                all_windows, last = windows(hashes, k) >> np.uint64(1), k
             at = np.flatnonzero(bits[all_windows & np.uint64((1 << FILTER_BITS) - 1)])
             lo, hi = np.searchsorted(values, all_windows[at], "left"), np.searchsorted(values, all_windows[at], "right")
             at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
