@@ -50,9 +50,13 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more, and let Spark's cleaner find the shuffle files of finished plans.
+
+        The cleaner only sees what the driver's collector has found; by itself that may take as long as the driver has memory left.
+        """
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             p.getFileSystem(conf).delete(p, True)
+        jvm.System.gc()
