@@ -7,11 +7,11 @@
    is summed over all blocks, and every block gets its words' corpus counts back.
 3. The most frequent words are the network's own; all others fall into tail
    classes by their count, within which a word's probability is its smoothed share
-   of the class. The network is trained on all training documents by
+   of the class. The network is trained on all training documents, each once, by
    truncated backpropagation; a word's count without its own document decides its
-   class there, so that it learns how often words are new. In each of EPOCHS rounds
-   every task goes on from the round's network over all of its blocks, and the
-   tasks' networks are averaged by their tokens.
+   class there, so that it learns how often words are new. The blocks are dealt to
+   ROUNDS rounds by their numbers' hash; in each, every task goes on from the round's
+   network over its blocks, and the tasks' networks are averaged by their tokens.
 4. Each block is scored with its counts. Many documents run side by side; their
    states are carried from window to window until a document ends.
 """
@@ -36,9 +36,11 @@ BLOCK, RANGE_BYTES = 500_000, 16_000_000
 PIECES = 64
 #: Words of the network's own, words in each of their classes, hidden units.
 HEAD, CLASS, HIDDEN = 1024, 32, 24
-#: Documents side by side and steps of a window, in scoring and in training; passes over the training documents.
-LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 128, 64, 32, 24, 4, 0.01
-#: Classes of the tail: none, 1, 2, 3, 4, 5-6, 7-8, ...: two for each doubling.
+#: Documents side by side and steps of a window, in scoring and in training; tokens after which training starts a state afresh.
+LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, TRAIN_LONGEST = 128, 64, 64, 32, 2048
+#: Rounds that training's blocks are dealt to, the learning rate, and what keeps its divisor from zero.
+ROUNDS, RATE, TINY = 4, np.float32(0.1), np.float32(1e-10)
+#: Most classes of the tail: none, 1, 2, 3, 4, 5-6, 7-8, ...: two for each doubling, up to the least count of the network's own words.
 TAIL = 64
 #: The hash that stands for the end of a document.
 END = np.uint64(1)
@@ -154,7 +156,8 @@ class Vocabulary:
         self.order = np.argsort(head)
         self.sorted = head[self.order]
         self.classes = max(1, -(-len(head) // CLASS))
-        self.inputs = len(head) + TAIL + 1  # the last is the start of a document
+        self.tails = int(tail_class(head_counts[-1:])[0]) + 1 if len(head) == HEAD else 1
+        self.inputs = len(head) + self.tails + 1  # the last is the start of a document
         self.size = len(head)
 
     def symbols(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -179,7 +182,7 @@ class Vocabulary:
         tail = self.mass.copy()
         for c in range(4):
             tail[c] = (c + 1) * self.mass[c + 1] / (c + 1.5)
-        share = np.concatenate([own.sum(1), tail]) + 0.5
+        share = np.concatenate([own.sum(1), tail[: self.tails]]) + 0.5
         words = (own + 1e-6) / (own.sum(1, keepdims=True) + 1e-6 * CLASS)
         return np.log(share / share.sum()), np.log(words)
 
@@ -203,31 +206,40 @@ def _lanes(lens: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda own: -int(lens[own].sum()) if own else 0)
 
 
-def _grid(symbols: np.ndarray, lens: np.ndarray, lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lanes as columns: positions of tokens (-1 beyond the end), the symbol before each, where documents begin, and lengths."""
+def _grid(symbols: np.ndarray, lens: np.ndarray, lanes: int, start: int, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes as columns: positions of tokens (-1 beyond the end), the symbol before each, where states begin, and lengths.
+
+    States begin with documents; with longest, also within them after so many tokens.
+    """
     first = np.cumsum(lens) - lens
+    before = np.concatenate([[start], symbols[:-1]])
+    before[first] = start
+    if longest and len(lens) and lens.max() > longest:
+        lens = np.concatenate([np.full(-(-n // longest), longest) - np.append(np.zeros(-(-n // longest) - 1, np.int64), -n % longest) for n in lens])
+        first = np.cumsum(lens) - lens
     dealt = _lanes(lens, lanes)
     sizes = np.array([int(lens[own].sum()) if own else 0 for own in dealt])
     at = np.full((int(sizes.max()), len(dealt)), -1, np.int64)
     for i, own in enumerate(dealt):
         if own:
             at[: sizes[i], i] = np.concatenate([np.arange(first[d], first[d] + lens[d]) for d in own])
-    before = np.concatenate([[start], symbols[:-1]])
-    before[first] = start
     begins = np.zeros(len(symbols), bool)
     begins[first] = True
-    return at, np.where(at >= 0, before[at], start), (at >= 0) & begins[at], sizes
+    return at, np.where(at >= 0, before[at], start).astype(np.int16), (at >= 0) & begins[at], sizes
 
 
 class Network:
-    """A gated recurrent unit over symbols; the softmax is factored into classes and words of a class."""
+    """A gated recurrent unit over symbols; the softmax is factored into classes and words of a class.
+
+    Arrays of a window have units before lanes, so that every step works on whole rows.
+    """
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         h, k = HIDDEN, vocabulary.classes
         f = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.vocabulary = vocabulary
-        self.p = {"x": f(vocabulary.inputs, 3 * h), "u": f(h, 3 * h), "c": f(h, k + TAIL), "w": f(k, h, CLASS)}
+        self.p = {"x": f(vocabulary.inputs, 3 * h), "u": f(h, 3 * h), "c": f(h, k + vocabulary.tails), "w": f(k, h, CLASS)}
         classes, words = vocabulary.prior()  # training starts from the corpus's shares
         self.p |= {"cb": classes.astype(np.float32), "wb": words.astype(np.float32)}
         used = np.arange(k * CLASS).reshape(k, CLASS) < vocabulary.size
@@ -238,143 +250,173 @@ class Network:
         return np.where(symbols < size, symbols // CLASS, self.vocabulary.classes + symbols - size)
 
     def run(self, before: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The states of a window (steps x lanes), from the state h that is carried in."""
+        """The states of a window (steps x units x lanes), from the state h (units x lanes) that is carried in.
+
+        keep gets the gates (reset, update, new), the states before each step, and the
+        recurrent part of new before its gate.
+        """
         k = HIDDEN
-        x, u = self.p["x"][before], self.p["u"]
-        out = np.empty((*before.shape, k), np.float32)
+        x, u = np.ascontiguousarray(self.p["x"][before].transpose(0, 2, 1)), np.ascontiguousarray(self.p["u"].T)
+        out = np.empty((len(before), k, before.shape[1]), x.dtype)
+        prev, inner = (np.empty_like(out), np.empty_like(out)) if keep is not None else (None, None)
         fresh = begins.any(1)
         for t in range(len(before)):
             if fresh[t]:
-                h = np.where(begins[t][:, None], np.float32(0), h)
-            a = h @ u
-            g = 0.5 * np.tanh(0.5 * (x[t, :, : 2 * k] + a[:, : 2 * k])) + 0.5
-            r, z = g[:, :k], g[:, k:]
-            n = np.tanh(x[t, :, 2 * k :] + r * a[:, 2 * k :])
-            new = n + z * (h - n)
+                h = np.where(begins[t], x.dtype.type(0), h)
+            a = u @ h
+            gates, new, d = x[t, : 2 * k], x[t, 2 * k :], out[t]
+            gates += a[: 2 * k]
+            gates *= 0.5
+            np.tanh(gates, gates)
+            gates *= 0.5
+            gates += 0.5
             if keep is not None:
-                keep.append((h, a[:, 2 * k :], r, z, n))
-            out[t] = h = new
+                prev[t], inner[t] = h, a[2 * k :]
+            a[2 * k :] *= gates[:k]
+            new += a[2 * k :]
+            np.tanh(new, new)
+            np.subtract(h, new, d)
+            d *= gates[k:]
+            d += new
+            h = d
+        if keep is not None:
+            keep += [x, prev, inner, fresh]
         return out
 
+    def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of tokens by class, and where each of the classes of the network's own words begins in it."""
+        order = np.argsort(classes.astype(np.int16), kind="stable")
+        return order, np.searchsorted(classes[order], np.arange(self.vocabulary.classes + 1))
+
     def log_probabilities(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The natural logarithm of each symbol's probability in its state."""
-        logits = states @ self.p["c"] + self.p["cb"]
-        top = logits.max(1, keepdims=True)
-        classes = self.classes(symbols)
-        out = logits[np.arange(len(symbols)), classes] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.vocabulary.classes + 1))
+        """The natural logarithm of each symbol's probability in its state (a column of states)."""
+        classes, n = self.classes(symbols), np.arange(len(symbols))
+        logits = _shifted(self.p["c"].T @ states, self.p["cb"])
+        out = logits[classes, n]
+        out -= np.log(np.exp(logits, logits).sum(0))
+        order, cuts = self._by_class(classes)
+        head = order[: cuts[-1]]
+        own, word = states[:, head], symbols[head] % CLASS
         for c in range(self.vocabulary.classes):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                inner = states[own] @ self.p["w"][c] + self.p["wb"][c]
-                top = inner.max(1, keepdims=True)
-                out[own] += inner[np.arange(len(own)), symbols[own] % CLASS] - top[:, 0] - np.log(np.exp(inner - top).sum(1))
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                inner = _shifted(self.p["w"][c].T @ own[:, a:b], self.p["wb"][c])
+                out[head[a:b]] += inner[word[a:b], n[: b - a]] - np.log(np.exp(inner).sum(0))
         return out
 
     def score(self, symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """The natural logarithm of the probability of each token's symbol, documents one after another."""
         at, before, begins, sizes = _grid(symbols, lens, LANES, self.vocabulary.inputs - 1)
         out = np.zeros(len(symbols))
-        h = np.zeros((at.shape[1], HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, at.shape[1]), np.float32)
         for t in range(0, len(at), WINDOW):
             live = int((sizes > t).sum())  # lanes are sorted by length
-            states = self.run(before[t : t + WINDOW, :live], begins[t : t + WINDOW, :live], h[:live])
+            states = self.run(before[t : t + WINDOW, :live], begins[t : t + WINDOW, :live], h[:, :live])
             h = states[-1]
             here = at[t : t + WINDOW, :live].ravel()
-            some = here >= 0
-            out[here[some]] = self.log_probabilities(states.reshape(-1, HIDDEN)[some], symbols[here[some]])
+            flat, some = states.transpose(1, 0, 2).reshape(HIDDEN, -1), here >= 0
+            if not some.all():
+                flat, here = flat[:, some], here[some]
+            out[here] = self.log_probabilities(flat, symbols[here])
         return out
 
-    def train(self, symbols: np.ndarray, lens: np.ndarray, moments: Moments, epoch: int = 0, done: float = 0.0, share: float = 1.0) -> Network:
-        """One pass of truncated backpropagation through windows; states are carried over, gradients are not. Adam's steps.
+    def train(self, symbols: np.ndarray, lens: np.ndarray, squares: dict[str, np.ndarray]) -> Network:
+        """Truncated backpropagation through windows, once over documents; states are carried over, gradients are not.
 
-        done is the part of the round that was over before, share this block's part of it: the rate falls with both.
+        Every parameter's rate falls with the sum of its gradient's squares so far. Of
+        the symbols' parameters only those of symbols in the window change.
         """
-        at, before, begins, _ = _grid(symbols, lens, TRAIN_LANES, self.vocabulary.inputs - 1)
-        m, s = moments.m, moments.s
-        windows = -(-len(at) // TRAIN_WINDOW)
-        h = np.zeros((at.shape[1], HIDDEN), np.float32)
-        for i in range(windows):
-            rows = slice(i * TRAIN_WINDOW, (i + 1) * TRAIN_WINDOW)
-            grads, h = self._gradients(at[rows], before[rows], begins[rows], symbols, h)
-            moments.step += 1
-            rate = RATE * (1 - (epoch + min(1.0, done + share * i / windows)) / EPOCHS) + 1e-4
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            for k, g in grads.items():
-                g *= min(1.0, 1.0 / (norm + 1e-12))
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.01 * (g * g - s[k])
-                self.p[k] -= np.float32(rate) * (m[k] / (1 - 0.9**moments.step)) / (np.sqrt(s[k] / (1 - 0.99**moments.step)) + np.float32(1e-6))
+        at, before, begins, sizes = _grid(symbols, lens, TRAIN_LANES, self.vocabulary.inputs - 1, TRAIN_LONGEST)
+        h = np.zeros((HIDDEN, at.shape[1]), np.float32)
+        for t in range(0, len(at), TRAIN_WINDOW):
+            live = int((sizes > t).sum())
+            rows = slice(t, t + TRAIN_WINDOW)
+            grads, h = self._gradients(at[rows, :live], before[rows, :live], begins[rows, :live], symbols, h[:, :live])
+            seen, g = grads.pop("x")
+            grads = {k: (..., v) for k, v in grads.items()} | {"x": (seen, g)}
+            for k, (where, g) in grads.items():
+                total = squares[k][where]
+                total += g * g
+                squares[k][where] = total
+                g /= np.sqrt(total + TINY)
+                g *= RATE
+                self.p[k][where] -= g
         return self
 
-    def _gradients(self, at: np.ndarray, before: np.ndarray, begins: np.ndarray, symbols: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        k = HIDDEN
-        kept: list = []
+    def _gradients(self, at: np.ndarray, before: np.ndarray, begins: np.ndarray, symbols: np.ndarray, h: np.ndarray) -> tuple[dict[str, Any], np.ndarray]:
+        """Gradients of a window's mean loss, those of x as (symbols, rows), and the state that is carried on."""
+        k, p, kept = HIDDEN, self.p, []
         states = self.run(before, begins, h, kept)
-        flat = states.reshape(-1, k)
-        here = np.flatnonzero(at.ravel() >= 0)
-        own, goal = flat[here], symbols[at.ravel()[here]]
-        classes = self.classes(goal)
-        g = {name: np.zeros_like(v) for name, v in self.p.items()}
-        logits = own @ self.p["c"] + self.p["cb"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        e[np.arange(len(goal)), classes] -= 1
-        e /= np.float32(max(len(here), 1))
-        g["c"], g["cb"] = own.T @ e, e.sum(0)
-        d_own = e @ self.p["c"].T
-        for c in np.unique(classes[classes < self.vocabulary.classes]):
-            rows = np.flatnonzero(classes == c)
-            inner = own[rows] @ self.p["w"][c] + self.p["wb"][c]
-            f = np.exp(inner - inner.max(1, keepdims=True))
-            f /= f.sum(1, keepdims=True)
-            f[np.arange(len(rows)), goal[rows] % CLASS] -= 1
-            f /= np.float32(len(here))
-            g["w"][c], g["wb"][c] = own[rows].T @ f, f.sum(0)
-            d_own[rows] += f @ self.p["w"][c].T
+        x, prev, inner, fresh = kept
+        flat, here = states.transpose(1, 0, 2).reshape(k, -1), at.ravel()
+        some = np.flatnonzero(here >= 0)
+        own, goal = flat[:, some], symbols[here[some]]
+        classes, n, scale = self.classes(goal), np.arange(len(goal)), own.dtype.type(1 / max(len(goal), 1))
+
+        def errors(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+            e = np.exp(logits, logits)
+            e /= e.sum(0)
+            e[right, n[: len(right)]] -= 1
+            e *= scale
+            return e
+
+        e = errors(_shifted(p["c"].T @ own, p["cb"]), classes)
+        g: dict[str, Any] = {"c": own @ e.T, "cb": e.sum(1), "u": np.zeros_like(p["u"]), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        d_own = p["c"] @ e
+        order, cuts = self._by_class(classes)
+        head = order[: cuts[-1]]
+        of_head, word, d_head = own[:, head], goal[head] % CLASS, np.empty((k, len(head)), own.dtype)
+        for c in range(self.vocabulary.classes):
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                f = errors(_shifted(p["w"][c].T @ of_head[:, a:b], p["wb"][c]), word[a:b])
+                g["w"][c], g["wb"][c], d_head[:, a:b] = of_head[:, a:b] @ f.T, f.sum(1), p["w"][c] @ f
+        d_own[:, head] += d_head
         d_states = np.zeros_like(flat)
-        d_states[here] = d_own
-        d_states = d_states.reshape(states.shape)
-        dx = np.zeros((*before.shape, 3 * k), np.float32)
-        dh = np.zeros_like(h)
+        d_states[:, some] = d_own
+        d_states = d_states.reshape(k, len(before), -1)
+        dx, da, back = np.empty_like(x), np.empty((3 * k, before.shape[1]), x.dtype), np.zeros_like(h)
         for t in range(len(before) - 1, -1, -1):
-            prev, an, r, z, n = kept[t]
-            d = d_states[t] + dh
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (prev - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dr, dz, dn
-            da = np.concatenate([dr, dz, dn * r], 1)
-            g["u"] += prev.T @ da
-            dh = d * z + da @ self.p["u"].T
-            dh = np.where(begins[t][:, None], np.float32(0), dh)
-        np.add.at(g["x"], before.ravel(), dx.reshape(-1, 3 * k))
+            back += d_states[:, t]
+            r, z, new = x[t, :k], x[t, k : 2 * k], x[t, 2 * k :]
+            dr, dz, dn = dx[t, :k], dx[t, k : 2 * k], dx[t, 2 * k :]
+            rest = 1 - z
+            np.multiply(back * rest, 1 - new * new, dn)
+            np.multiply(back * (prev[t] - new), z * rest, dz)
+            np.multiply(dn * inner[t], r * (1 - r), dr)
+            da[: 2 * k] = dx[t, : 2 * k]
+            np.multiply(dn, r, da[2 * k :])
+            g["u"] += prev[t] @ da.T
+            back *= z
+            back += p["u"] @ da
+            if fresh[t]:
+                back = np.where(begins[t], x.dtype.type(0), back)
+        rows, seen = dx.transpose(0, 2, 1).reshape(-1, 3 * k), before.ravel()
+        order = np.argsort(seen, kind="stable")
+        starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
+        g["x"] = seen[order[starts]], np.add.reduceat(rows[order], starts, axis=0)
         return g, states[-1]
 
 
-class Moments:
-    """Adam's moments of a network's parameters, and its steps."""
-
-    def __init__(self, network: Network) -> None:
-        self.m = {k: np.zeros_like(v) for k, v in network.p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in network.p.items()}
-        self.step = 0.0
+def _shifted(products: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits whose largest in every column is 0."""
+    products += bias[:, None]
+    products -= products.max(0)
+    return products
 
 
-def _flat(network: Network, moments: Moments) -> np.ndarray:
+def _flat(network: Network, squares: dict[str, np.ndarray]) -> np.ndarray:
     """All that training carries on, as one row of numbers."""
-    return np.concatenate([*[v.ravel() for d in (network.p, moments.m, moments.s) for v in d.values()], [moments.step]], dtype=np.float64)
+    return np.concatenate([v.ravel() for d in (network.p, squares) for v in d.values()], dtype=np.float64)
 
 
-def _restored(network: Network, moments: Moments, flat: np.ndarray) -> None:
+def _restored(network: Network, squares: dict[str, np.ndarray], flat: np.ndarray) -> None:
     """The opposite of _flat."""
     at = 0
-    for d in (network.p, moments.m, moments.s):
+    for d in (network.p, squares):
         for k, v in d.items():
             d[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
-    moments.step = float(flat[at])
 
 
 def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -391,40 +433,39 @@ def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> D
             owner = np.repeat(np.arange(len(lens)), lens)
             _, place, times = np.unique(owner * np.int64(len(hashes)) + ids, return_inverse=True, return_counts=True)
             symbols = vocabulary.symbols(hashes[ids], counts[ids] - times[place])
-            out.append({"symbols": _pack(symbols.astype(np.int16)), "lens": lens.tobytes(), "n": len(ids)})
-        return pa.Table.from_pylist(out, pa.schema([("symbols", pa.binary()), ("lens", pa.binary()), ("n", pa.int64())]))
+            out.append({"block": row["block"], "symbols": _pack(symbols.astype(np.int16)), "lens": lens.tobytes(), "n": len(ids)})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("symbols", pa.binary()), ("lens", pa.binary()), ("n", pa.int64())]))
 
     wanted = blocks.where("learnt > 0").select("block", "held", "lens", "ids", "hashes")
     given = answers.where("block >= 0").select("block", "part", "counts")
-    return wanted.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lesson, "symbols binary, lens binary, n long")
+    return wanted.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lesson, "block long, symbols binary, lens binary, n long")
 
 
 def _trained(lessons: DataFrame, vocabulary: Vocabulary) -> Network:
-    """The network trained on all lessons, EPOCHS times: each round by all tasks side by side, then averaged."""
+    """The network trained once on all lessons, in rounds: each by all tasks side by side, then averaged by their tokens."""
     network = Network(vocabulary)
-    moments = Moments(network)
-    tasks = max(1, lessons.rdd.getNumPartitions())
-    share = (lessons.agg(F.sum("n")).first()[0] or 0) / tasks
+    squares = {k: np.zeros_like(v) for k, v in network.p.items()}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            for packed, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                network.train(_unpack(packed, n, np.int16).astype(np.int64), np.frombuffer(raw, np.int64), squares)
+                done += n
+        if done:
+            pieces = [(done * x).tobytes() for x in np.array_split(_flat(network, squares), PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(done)] * PIECES), pa.array(pieces, pa.binary())], names=["piece", "weight", "x"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.float64) for x in table.column("x").to_pylist())
         weight = sum(table.column("weight").to_pylist())
         return pa.table({"piece": table.column("piece")[:1], "x": pa.array([(total / weight).tobytes()], pa.binary())})
 
-    for epoch in range(EPOCHS if share else 0):
-
-        def learn(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
-            done = 0
-            for batch in batches:
-                for packed, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    network.train(_unpack(packed, n, np.int16).astype(np.int64), np.frombuffer(raw, np.int64), moments, epoch, done / share, n / share)
-                    done += n
-            if done:
-                pieces = [(done * x).tobytes() for x in np.array_split(_flat(network, moments), PIECES)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(done)] * PIECES), pa.array(pieces, pa.binary())], names=["piece", "weight", "x"])
-
-        sums = lessons.select("symbols", "lens", "n").mapInArrow(learn, "piece int, weight double, x binary").groupBy("piece").applyInArrow(add, "piece int, x binary")
-        _restored(network, moments, np.concatenate([np.frombuffer(r["x"], np.float64) for r in sorted(sums.collect(), key=lambda r: r["piece"])]))
+    for turn in range(ROUNDS):
+        own = lessons.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn).select("symbols", "lens", "n")
+        sums = own.mapInArrow(learn, "piece int, weight double, x binary").groupBy("piece").applyInArrow(add, "piece int, x binary").collect()
+        if sums:
+            _restored(network, squares, np.concatenate([np.frombuffer(r["x"], np.float64) for r in sorted(sums, key=lambda r: r["piece"])]))
     return network
 
 

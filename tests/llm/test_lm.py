@@ -68,9 +68,9 @@ def small():
 def test_probabilities_sum_to_one(small):
     vocabulary, _, _ = small
     network = lm.Network(vocabulary)
-    state = np.random.default_rng(2).normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    every = np.arange(vocabulary.size + lm.TAIL)
-    p = network.log_probabilities(np.repeat(state, len(every), 0), every)
+    state = np.random.default_rng(2).normal(size=(lm.HIDDEN, 1)).astype(np.float32)
+    every = np.arange(vocabulary.size + vocabulary.tails)
+    p = network.log_probabilities(np.repeat(state, len(every), 1), every)
     assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -90,14 +90,17 @@ def test_gradients(small):
     vocabulary, symbols, lens = small
     network = lm.Network(vocabulary)
     at, before, begins, _ = lm._grid(symbols, lens, 3, vocabulary.inputs - 1)
-    h = np.zeros((at.shape[1], lm.HIDDEN), np.float32)
+    h = np.zeros((lm.HIDDEN, at.shape[1]))
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
-    grads, _ = network._gradients(at, before, begins, symbols, h.astype(np.float64))
+    grads, _ = network._gradients(at, before, begins, symbols, h)
+    seen, rows = grads["x"]
+    grads["x"] = np.zeros_like(network.p["x"])
+    grads["x"][seen] = rows
 
     def loss():
-        states = network.run(before, begins, h.astype(np.float64)).reshape(-1, lm.HIDDEN)
+        states = network.run(before, begins, h).transpose(1, 0, 2).reshape(lm.HIDDEN, -1)
         here = np.flatnonzero(at.ravel() >= 0)
-        return -network.log_probabilities(states[here], symbols[at.ravel()[here]]).mean()
+        return -network.log_probabilities(states[:, here], symbols[at.ravel()[here]]).mean()
 
     rng = np.random.default_rng(3)
     for name, g in grads.items():
@@ -112,6 +115,31 @@ def test_gradients(small):
             assert (up - down) / 2e-2 == pytest.approx(g.reshape(-1)[i], rel=0.08, abs=3e-5)
 
 
+def test_long_documents_are_cut_for_training_only(small):
+    vocabulary, symbols, lens = small
+    start = vocabulary.inputs - 1
+    at, before, begins, sizes = lm._grid(symbols, lens, 3, start, 4)
+    assert sorted(at[at >= 0]) == list(range(lens.sum()))
+    first = np.cumsum(lens) - lens
+    assert {int(i) for i in at[begins]} == {int(a + k) for a, n in zip(first, lens, strict=True) for k in range(0, n, 4)}
+    for i, b in zip(at[at >= 0], before[at >= 0], strict=True):
+        assert b == (start if i in first else symbols[i - 1])
+    assert sizes.sum() == lens.sum()
+
+
+def test_sorted_tables_teach_as_well(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 10_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+
+    def gain(df):
+        out = [r for r in lm.scored(df).collect() if r.held_out]
+        return sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+
+    mixed, by_lang = gain(docs.orderBy("doc_id").coalesce(1)), gain(docs.orderBy("lang", "doc_id").coalesce(1))
+    assert by_lang > 0
+    assert by_lang > mixed - 0.05
+
+
 def test_tail_classes_grow():
     c = lm.tail_class(np.arange(5000))
     assert list(c[:5]) == [0, 1, 2, 3, 4]
