@@ -433,6 +433,7 @@ def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> D
             owner = np.repeat(np.arange(len(lens)), lens)
             _, place, times = np.unique(owner * np.int64(len(hashes)) + ids, return_inverse=True, return_counts=True)
             symbols = vocabulary.symbols(hashes[ids], counts[ids] - times[place])
+            tidy()
             out.append({"block": row["block"], "symbols": _pack(symbols.astype(np.int16)), "lens": lens.tobytes(), "n": len(ids)})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("symbols", pa.binary()), ("lens", pa.binary()), ("n", pa.int64())]))
 
@@ -524,6 +525,7 @@ def scored(docs: DataFrame) -> DataFrame:
             ids = _unpack(row["ids"], int(lens.sum()), np.int32)
             of_word = vocabulary.symbols(hashes, counts)
             inner = vocabulary.within(of_word, counts)[ids] + network.score(of_word[ids], lens)
+            tidy()
             first = np.cumsum(lens) - lens
             doc_ids = np.frombuffer(row["doc_ids"], np.int64)
             out.append(
