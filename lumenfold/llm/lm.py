@@ -37,7 +37,7 @@ PIECES = 64
 #: Words of the network's own, words in each of their classes, hidden units.
 HEAD, CLASS, HIDDEN = 1024, 32, 24
 #: Documents side by side and steps of a window, in scoring and in training; tokens after which training starts a state afresh.
-LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, TRAIN_LONGEST = 128, 64, 64, 32, 2048
+LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, TRAIN_LONGEST = 128, 64, 128, 24, 2048
 #: Rounds that training's blocks are dealt to, the learning rate, and what keeps its divisor from zero.
 ROUNDS, RATE, TINY = 4, np.float32(0.1), np.float32(1e-10)
 #: Most classes of the tail: none, 1, 2, 3, 4, 5-6, 7-8, ...: two for each doubling, up to the least count of the network's own words.
@@ -375,22 +375,25 @@ class Network:
         d_states = np.zeros_like(flat)
         d_states[:, some] = d_own
         d_states = d_states.reshape(k, len(before), -1)
-        dx, da, back = np.empty_like(x), np.empty((3 * k, before.shape[1]), x.dtype), np.zeros_like(h)
+        r, z, new = x[:, :k], x[:, k : 2 * k], x[:, 2 * k :]
+        rest = 1 - z
+        to_new, to_update, to_reset = rest * (1 - new * new), (prev - new) * z * rest, inner * r * (1 - r)
+        dx, inner_errors, back = np.empty_like(x), np.empty_like(inner), np.zeros_like(h)
+        gates, cells = np.ascontiguousarray(p["u"][:, : 2 * k]), np.ascontiguousarray(p["u"][:, 2 * k :])
         for t in range(len(before) - 1, -1, -1):
             back += d_states[:, t]
-            r, z, new = x[t, :k], x[t, k : 2 * k], x[t, 2 * k :]
             dr, dz, dn = dx[t, :k], dx[t, k : 2 * k], dx[t, 2 * k :]
-            rest = 1 - z
-            np.multiply(back * rest, 1 - new * new, dn)
-            np.multiply(back * (prev[t] - new), z * rest, dz)
-            np.multiply(dn * inner[t], r * (1 - r), dr)
-            da[: 2 * k] = dx[t, : 2 * k]
-            np.multiply(dn, r, da[2 * k :])
-            g["u"] += prev[t] @ da.T
-            back *= z
-            back += p["u"] @ da
+            np.multiply(back, to_new[t], dn)
+            np.multiply(back, to_update[t], dz)
+            np.multiply(dn, to_reset[t], dr)
+            np.multiply(dn, r[t], inner_errors[t])
+            back *= z[t]
+            back += gates @ dx[t, : 2 * k]
+            back += cells @ inner_errors[t]
             if fresh[t]:
                 back = np.where(begins[t], x.dtype.type(0), back)
+        g["u"][:, : 2 * k] = np.matmul(prev, dx[:, : 2 * k].transpose(0, 2, 1)).sum(0)
+        g["u"][:, 2 * k :] = np.matmul(prev, inner_errors.transpose(0, 2, 1)).sum(0)
         rows, seen = dx.transpose(0, 2, 1).reshape(-1, 3 * k), before.ravel()
         order = np.argsort(seen, kind="stable")
         starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
