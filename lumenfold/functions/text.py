@@ -1,8 +1,7 @@
 """Cleaning of mixed Arabic and English text as Column expressions.
 
 All functions map Column to Column and stay in the JVM. Presentation forms and TeX
-need Unicode tables or functions of a match; those steps are Arrow functions in
-lumenfold.functions.unicode and lumenfold.functions.tex.
+need Unicode tables or functions of a match; those steps are in lumenfold.functions.tex.
 """
 
 from __future__ import annotations
@@ -11,19 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _span(a: int, b: int) -> str:
-    return f"{chr(a)}-{chr(b)}"
-
-
 # Classes of characters, as bodies of regular-expression classes.
-SPACE = "\\t-\\r" + _span(0x1C, 0x20) + chr(0x85) + chr(0xA0) + chr(0x1680) + _span(0x2000, 0x200A) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000)
-INVISIBLE = _span(0x200B, 0x200F) + _span(0x202A, 0x202E) + _span(0x2066, 0x2069) + chr(0xFEFF) + chr(0xAD)
-ARABIC = _span(0x600, 0x6FF) + _span(0x750, 0x77F) + _span(0x8A0, 0x8FF) + _span(0xFB50, 0xFDFF) + _span(0xFE70, 0xFEFF)
-ARABIC_LETTER = _span(0x621, 0x64A)
-LINE_ENDS = "\\n\\x0b\\x0c" + _span(0x1C, 0x1E) + chr(0x85) + chr(0x2028) + chr(0x2029)
+SPACE = "\\t-\\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+INVISIBLE = "\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff\xad"
+ARABIC = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
+ARABIC_LETTER = "\u0621-\u064a"
+LINE_ENDS = "\\n\\x0b\\x0c\x1c-\x1e\x85\u2028\u2029"
 
-_ARABIC_INDIC = "".join(chr(0x660 + i) for i in range(10))
-_PERSIAN = "".join(chr(0x6F0 + i) for i in range(10))
+# Digits of Arabic texts, in order.
+_ARABIC_INDIC = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
+_PERSIAN = "\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9"
 
 # Fixed value: words that come apart in some sources, and how they are written.
 WORD_FIXES = {"محلو ل": "محلول"}
@@ -46,7 +42,7 @@ def without_invisible(c: Column) -> Column:
 
 def plain_spaces(c: Column, thin: bool = True) -> Column:
     """No-break spaces, and thin ones too, as spaces."""
-    return F.translate(c, chr(0xA0) + (chr(0x2009) if thin else ""), "  "[: 1 + thin])
+    return F.translate(c, "\xa0" + ("\u2009" if thin else ""), "  "[: 1 + thin])
 
 
 def latin_digits(c: Column, persian: bool = True) -> Column:
@@ -88,12 +84,12 @@ def clean_label(c: Column, digits: str = "keep") -> Column:
     return collapse(latin_digits(c, persian=False) if digits == "latin" else c)
 
 
-def fix_spacing(c: Column, digits: str = "keep") -> Column:
-    """Quiz text: spaces as they belong around punctuation and between Arabic and Latin, split words joined."""
+def fix_spacing(c: Column, digits: str = "keep", fixes: dict[str, str] | None = None) -> Column:
+    """Quiz text: spaces as they belong around punctuation and between Arabic and Latin, split words joined (WORD_FIXES, or others)."""
     c = strip(F.regexp_replace(c, r"[ \t]+", " "))
-    c = F.translate(c, chr(0x2212) + chr(0x2009), "- ")
+    c = F.translate(c, "\u2212\u2009", "- ")
     c = latin_digits(c) if digits == "latin" else c
-    for apart, whole in WORD_FIXES.items():
+    for apart, whole in (WORD_FIXES if fixes is None else fixes).items():
         c = F.replace(c, F.lit(apart), F.lit(whole))
     closing, a = "؟،؛.,;:!?)\\]", ARABIC_LETTER
     c = F.regexp_replace(c, f"([{a}]{{2,}})[{SPACE}]+([لة])(?![{a}])", "$1$2")
@@ -134,7 +130,7 @@ def main_language(c: Column) -> Column:
 
 def word_set(c: Column) -> Column:
     """The distinct lower-cased words of two characters or more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_" + _span(0x600, 0x6FF) + "]{2,})"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}_\u0600-\u06ff]{2,})"), F.lit(1)))
 
 
 def coverage(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
-from lumenfold.functions.tex import quiz_decoded
+from lumenfold.functions.tex import quiz_marks, without_forms
 
 OPTION_MARK = "@@OPT@@"
 _CAPTIONS = "(?i)^[ \\t]*(Hint|تلميح|Next|التالي|Previous|السابق)[ \\t]*$"
@@ -59,7 +59,7 @@ def bilingual(lines: Column) -> Column:
 
 def root_lines(root: Column) -> Column:
     """The lines of a state's text, counters in one line, spacing fixed, without empty ones."""
-    lines = F.transform(T.split_lines(T.joined_counters(quiz_decoded(T.plain_spaces(T.without_invisible(F.coalesce(root, F.lit(""))), thin=False)))), lambda x: T.fix_spacing(x))
+    lines = F.transform(T.split_lines(T.joined_counters(quiz_marks(T.plain_spaces(T.without_invisible(F.coalesce(root, F.lit(""))), thin=False)))), lambda x: T.fix_spacing(x))
     return F.filter(lines, lambda x: x != "")
 
 
@@ -85,10 +85,10 @@ def counter_of(lines: Column) -> Column:
 
 
 def parsed_states(states: DataFrame) -> DataFrame:
-    """States with their lines, and options as struct(i, lines, attrs). TeX is decoded by one Arrow function on each text."""
-    raw = states.withColumn("lines", root_lines(F.col("root")))
+    """States with their lines, and options as struct(i, lines, attrs)."""
+    raw = states.withColumn("root", without_forms(F.col("root"))).withColumn("lines", root_lines(F.col("root")))
     one = raw.select("capture_id", "step", "phase", "lines", F.posexplode_outer("options").alias("k", "o"))
-    one = one.withColumn("text", quiz_decoded(F.coalesce(F.col("o.raw"), F.lit(""))))
+    one = one.withColumn("raw", without_forms(F.coalesce(F.col("o.raw"), F.lit("")))).withColumn("text", quiz_marks(F.col("raw")))
     option = F.struct(F.col("o.i").alias("i"), option_lines(F.col("text")).alias("lines"), F.coalesce(F.col("o.attrs"), F.lit("")).alias("attrs"))
     options = F.array_sort(F.collect_list(F.when(F.col("o").isNotNull(), F.struct(F.col("k"), option.alias("o")))))
     return one.groupBy("capture_id", "step", "phase").agg(F.first("lines").alias("lines"), F.transform(options, lambda x: x["o"]).alias("options"))

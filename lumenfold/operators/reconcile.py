@@ -74,29 +74,31 @@ def _merged(snaps: list[list[dict[str, Any]]], size: int | None) -> tuple[list[d
 
 
 def merged_pages(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
-    """capture_id, blocks (JSON list), visible, reordered: snapshots (capture_id, snap_seq, blocks, score) merged, one capture at a time.
+    """capture_id, blocks (JSON list), visible, reordered, unread: snapshots (capture_id, snap_seq, blocks, score) merged, one capture at a time.
 
-    A snapshot without blocks counts as one; visible is the highest score.
+    A snapshot without blocks counts as one; null blocks are those of a page that
+    couldn't be read, which unread tells; visible is the highest score.
     """
     size = None if full_signature else SIGNATURE
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        merged, timed = _merged([json.loads(b) for b in rows.sort_values("snap_seq")["blocks"]], size)
-        return pd.DataFrame({"capture_id": [key[0]], "blocks": [json.dumps(merged, ensure_ascii=False)], "visible": [rows["score"].max()], "reordered": [timed]})
+        merged, timed = _merged([json.loads(b or "[]") for b in rows.sort_values("snap_seq")["blocks"]], size)
+        return pd.DataFrame({"capture_id": [key[0]], "blocks": [json.dumps(merged, ensure_ascii=False)], "visible": [rows["score"].max()], "reordered": [timed], "unread": [rows["blocks"].isna().any()]})
 
-    return snapshots.groupBy("capture_id").applyInPandas(merge, "capture_id string, blocks string, visible long, reordered boolean")
+    return snapshots.groupBy("capture_id").applyInPandas(merge, "capture_id string, blocks string, visible long, reordered boolean, unread boolean")
 
 
 def merged_captures(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
     """capture_id, pos, block (JSON), reordered: snapshots (capture_id, snap_seq, ord, block) merged, one capture at a time.
 
-    See _merged for their order.
+    See _merged for their order. Null blocks are none; rows that repeat count once for
+    their signature; captures without rows have no blocks.
     """
     size = None if full_signature else SIGNATURE
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values(["snap_seq", "ord"])
-        snaps = [[json.loads(b) for b in g["block"]] for _, g in ordered.groupby("snap_seq", sort=True)]
+        snaps = [[json.loads(b) for b in g["block"] if b] for _, g in ordered.groupby("snap_seq", sort=True)]
         merged, timed = _merged(snaps, size)
         return pd.DataFrame({"capture_id": [key[0]] * len(merged), "pos": range(1, len(merged) + 1), "block": [json.dumps(b, ensure_ascii=False) for b in merged], "reordered": [timed] * len(merged)})
 
@@ -107,7 +109,8 @@ def chosen_method(candidates: DataFrame) -> DataFrame:
     """capture_id, method, coverage, warning from the text of two candidates (capture_id, dom_text, network_text).
 
     The network's is taken if there is no other, or if it has 90 % of the other's
-    words and no fewer than 90 % as many; null texts are missing candidates.
+    words and no fewer than 90 % as many; null texts are missing candidates. Repeated
+    rows are judged each.
     """
     words = candidates.withColumn("d", word_set(F.coalesce("dom_text", F.lit("")))).withColumn("n", word_set(F.coalesce("network_text", F.lit(""))))
     has_d, has_n = F.size("d") > 0, F.col("network_text").isNotNull()

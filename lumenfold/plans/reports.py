@@ -6,12 +6,12 @@ import json
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import lang_info, page_title, source_url, title_stem
 from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, reconcile, report_blocks, trees
-from lumenfold.sources.captures import best_frames, bodies_for
+from lumenfold.sources.captures import best_frames, best_read, bodies_for
 from lumenfold.sources.tables import written
 
 
@@ -23,28 +23,31 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     """(blocks, meta, failures) of report captures.
 
     Both candidates are built where there is input for them, and written once, for
-    they are read for the choice, which falls by their words, and for the result. The page's candidate holds
-    the raw blocks of all snapshots, merged. Captures with less than 80 characters go to failures.
+    they are read for the choice, which falls by their words, and for the result. The
+    page's candidate holds the raw blocks of all snapshots, merged; each page is parsed
+    once. Captures with less than 80 characters go to failures. A page or a Markdown
+    that can't be read has no blocks, which a warning tells; null pages and bodies are
+    empty ones. Repeated rows of dom_html or net_bodies change nothing; captures are
+    expected once.
     """
-    snapshots = best_frames(dom_html).select("capture_id", "snap_seq", html_blocks.raw_of(F.col("html")).alias("blocks"), "score")
-    pages = reconcile.merged_pages(snapshots)
+    pages = reconcile.merged_pages(best_read(dom_html).select("capture_id", "snap_seq", "blocks", "score"))
     mined = json_mining.markdown_of_captures(bodies_for(net_bodies, "report"))
     keyed = captures.where("kind = 'report'").select("capture_id", "share_url", "base", "page_title", "page_url").withColumn("doc_id", F.xxhash64("capture_id"))
     pages, mined = written(pages), written(mined)
     dom = report_blocks.blocks_of(keyed.join(pages, "capture_id"), "doc_id", "blocks", html_blocks.from_list)
     net = report_blocks.blocks_of(keyed.join(mined, "capture_id"), "doc_id", "markdown", report_blocks.from_markdown)
     all_blocks = written(dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network"))))
-    dom, net = all_blocks.where("method = 'dom'"), all_blocks.where("method = 'network'")
-    both = keyed.join(_texts(dom, "dom_text"), "doc_id", "left").join(_texts(net, "network_text"), "doc_id", "left")
-    choice = reconcile.chosen_method(both.select(F.col("doc_id").alias("capture_id"), "dom_text", "network_text")).withColumnRenamed("capture_id", "doc_id")
+    texts = written(keyed.select("doc_id").join(_texts(all_blocks), "doc_id", "left"))
+    choice = reconcile.chosen_method(texts.select(F.col("doc_id").alias("capture_id"), "dom_text", "network_text")).withColumnRenamed("capture_id", "doc_id")
     blocks = all_blocks.join(choice.select("doc_id", "method"), ["doc_id", "method"]).drop("method")
     stats = report_blocks.statistics(blocks)
     shown = report_blocks.without_rules(blocks) if drop_rules else blocks
-    meta = keyed.join(stats, "doc_id").join(choice, "doc_id").join(_texts(blocks, "all_text"), "doc_id")
-    meta = meta.join(pages.select("capture_id", "visible", "reordered"), "capture_id", "left").join(mined.select("capture_id", F.col("url").alias("network_url")), "capture_id", "left")
     by_dom = F.col("method") == "dom"
+    meta = keyed.join(stats, "doc_id").join(choice, "doc_id").join(texts, "doc_id").withColumn("all_text", F.when(by_dom, F.col("dom_text")).otherwise(F.col("network_text")))
+    meta = meta.join(pages.select("capture_id", "visible", "reordered", "unread"), "capture_id", "left").join(mined.select("capture_id", F.col("url").alias("network_url")), "capture_id", "left")
     lost = by_dom & (F.col("chars") / F.greatest(F.col("visible"), F.lit(1)) < 0.8)
-    codes = F.concat(F.array(F.when(F.col("reordered"), "lazy_merge"), F.col("warning")), "warnings", F.array(F.when(by_dom & F.col("diagrams"), "diagrams"), F.when(lost, "text_lost")))
+    unread = F.col("network_url").isNotNull() & F.col("network_text").isNull()
+    codes = F.concat(F.array(F.when(F.col("unread"), "dom_failed"), F.when(F.col("reordered"), "lazy_merge"), F.when(unread, "markdown_failed"), F.col("warning")), "warnings", F.array(F.when(by_dom & F.col("diagrams"), "diagrams"), F.when(lost, "text_lost")))
     meta = meta.withColumn("all_info", lang_info(F.col("all_text"))).select(
         "capture_id",
         "doc_id",
@@ -69,10 +72,15 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     return shown, meta.where("chars >= 80"), failed
 
 
-def _texts(blocks: DataFrame, name: str) -> DataFrame:
-    """doc_id and the text of its blocks in their order."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col("block_text") != "", F.struct("pos", "block_text"))))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["block_text"]), "\n").alias(name))
+def _texts(blocks: DataFrame) -> DataFrame:
+    """doc_id, dom_text, network_text: the text of each candidate's blocks in their order, null without blocks."""
+
+    def text(method: str) -> Column:
+        own = F.col("method") == method
+        ordered = F.array_sort(F.collect_list(F.when(own & (F.col("block_text") != ""), F.struct("pos", "block_text"))))
+        return F.when(F.count_if(own) > 0, F.array_join(F.transform(ordered, lambda x: x["block_text"]), "\n"))
+
+    return blocks.groupBy("doc_id").agg(text("dom").alias("dom_text"), text("network").alias("network_text"))
 
 
 def report_summary(meta: DataFrame) -> DataFrame:
@@ -82,6 +90,35 @@ def report_summary(meta: DataFrame) -> DataFrame:
     return meta.select("capture_id", F.concat_ws(" | ", total.cast("string"), counts, F.col("headings").cast("string"), "method", F.col("chars").cast("string")).alias("line"))
 
 
+def map_summary(flat: DataFrame) -> DataFrame:
+    """capture_id, line: a line for people about each map: nodes, depth, nodes in both languages."""
+    counts = trees.quality(flat)
+    return counts.select(F.col("tree_id").alias("capture_id"), F.concat_ws(" | ", *[F.col(c).cast("string") for c in ("node_count", "max_depth", "bilingual_nodes")]).alias("line"))
+
+
+def quiz_summary(summary: DataFrame) -> DataFrame:
+    """capture_id, line: a line for people about each quiz: questions, how many there should be, and warnings."""
+    declared = F.coalesce(F.col("total_declared").cast("string"), F.lit("?"))
+    told = F.when(F.col("total_extracted") < F.col("total_declared"), "incomplete").otherwise("complete")
+    return summary.select("capture_id", F.concat_ws(" | ", F.col("total_extracted").cast("string"), declared, told, F.col("warnings_count").cast("string")).alias("line"))
+
+
+#: Characters of a body's url, and of the page's text, that diagnostics keep.
+URL_CHARS, TEXT_CHARS = 150, 2500
+
+
+def diagnostics(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame) -> DataFrame:
+    """capture_id, part, ord, size, detail of every capture: its page url, its frames with their scores, its bodies with their sizes, and how its text begins."""
+    ids = captures.select("capture_id").distinct()
+    page = captures.select("capture_id", F.lit("page").alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("long").alias("size"), F.col("page_url").alias("detail"))
+    frames = dom_html.join(ids, "capture_id", "left_semi").select("capture_id", F.lit("frame").alias("part"), F.col("frame_id").cast("long").alias("ord"), html_blocks.score_of(F.col("html")).alias("size"), F.concat(F.lit("snapshot "), F.col("snap_seq").cast("string")).alias("detail"))
+    bodies = net_bodies.join(ids, "capture_id", "left_semi").select("capture_id", F.lit("body").alias("part"), F.col("seq").cast("long").alias("ord"), F.length("body").cast("long").alias("size"), F.substring("url", 1, URL_CHARS).alias("detail"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1>|<[^>]*>", " "), r"\s+", " "))
+    best = best_frames(dom_html.join(ids, "capture_id", "left_semi"))
+    shown = best.select("capture_id", F.lit("text").alias("part"), F.col("snap_seq").cast("long").alias("ord"), F.col("score").alias("size"), F.substring(text, 1, TEXT_CHARS).alias("detail"))
+    return page.unionByName(frames).unionByName(bodies).unionByName(shown)
+
+
 def report_json(blocks: DataFrame, meta: DataFrame) -> DataFrame:
     """capture_id, json: one document for each report."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "id", "type", "level", "text", "payload")))

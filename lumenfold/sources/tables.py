@@ -5,12 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share. A single machine may use its own; a cluster without one fails."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lumenfold-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table under spark.checkpoint.dir (a local folder only where that is unset): lineage ends there."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")
-    path = f"{base.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
+    """df as a table under spark.checkpoint.dir: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/lumenfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

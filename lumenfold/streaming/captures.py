@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lumenfold.operators import json_mining
+from lumenfold.operators import json_mining, reconcile
 from lumenfold.sources.captures import bodies_for
+from lumenfold.sources.tables import shared_dir
 
 
 def distinct_questions(questions: DataFrame, time: str, late: str = "10 minutes") -> DataFrame:
@@ -25,11 +26,49 @@ def best_markdown(bodies: DataFrame) -> DataFrame:
     return json_mining.markdown_of_captures(bodies_for(bodies, "report"))
 
 
+def best_tree(bodies: DataFrame) -> DataFrame:
+    """The largest tree of each capture so far; for output mode update or complete."""
+    return json_mining.trees_of_captures(bodies_for(bodies, "map"))
+
+
 def windowed_counts(events: DataFrame, time: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows of each window of time; rows later than the watermark are dropped."""
     return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+#: Rows of a batch's result that are made at a time. The rows of one capture in one batch are few numbers each and are sorted in memory.
+CHUNK = 10_000
+
+
+class _Merged(StatefulProcessor):
+    """Keeps the merged blocks of a capture's snapshots."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "blocks string, snapshots int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        known, n = self.known.get() if self.known.exists() else ("[]", 0)
+        merged = json.loads(known)
+        new = sorted((int(s), b) for part in rows for s, b in zip(part["snap_seq"], part["blocks"], strict=True))
+        for _, blocks in new:
+            merged = reconcile.merge_snapshots([merged, json.loads(blocks or "[]")])
+        known, n = json.dumps(merged, ensure_ascii=False), n + len(new)
+        self.known.update((known, n))
+        yield pd.DataFrame({"capture_id": [key[0]], "blocks": [known], "snapshots": [n]})
+
+    def close(self) -> None:
+        return
+
+
+def late_content(snapshots: DataFrame) -> DataFrame:
+    """capture_id, blocks, snapshots: the blocks of each capture's snapshots (capture_id, snap_seq, blocks as a JSON list) so far, as they arrive.
+
+    A snapshot is merged into what is known; a null one adds nothing. For output mode update.
+    """
+    grouped = snapshots.select("capture_id", "snap_seq", "blocks").groupBy("capture_id")
+    return grouped.transformWithStateInPandas(_Merged(), "capture_id string, blocks string, snapshots int", "update", "none")
+
+
 class _Steady(StatefulProcessor):
     """Keeps the last three values of a capture."""
 
@@ -41,13 +80,18 @@ class _Steady(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         values = list(self.last.get()[0]) if self.last.exists() else []
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            values = [*values, float(r.score)][-3:]
-            steady = len(values) == 3 and max(values) - min(values) <= self.within and values[-1] >= self.least
-            out.append((key[0], int(r.seq), float(r.score), steady))
+        waiting: list[tuple[int, float]] = []
+        for part in rows:
+            waiting += zip(part["seq"].tolist(), part["score"].tolist(), strict=True)
+        waiting.sort()
+        for begin in range(0, len(waiting), CHUNK):
+            out = []
+            for seq, score in waiting[begin : begin + CHUNK]:
+                values = [*values, score][-3:]
+                steady = len(values) == 3 and max(values) - min(values) <= self.within and values[-1] >= self.least
+                out.append((key[0], seq, score, steady))
+            yield pd.DataFrame(out, columns=["capture_id", "seq", "score", "stable"])
         self.last.update((values,))
-        yield pd.DataFrame(out, columns=["capture_id", "seq", "score", "stable"])
 
     def close(self) -> None:
         return
@@ -62,18 +106,27 @@ def stable_scores(scores: DataFrame, within: float = 5, least: float = 400) -> D
 def run_through(df: DataFrame, mode: str, stateful: bool = False) -> DataFrame:
     """What a stream gives once all files that are there have been read.
 
-    Appended rows go to a table in the folder that spark.checkpoint.dir names, and so
-    do offsets and state; an updated or complete result, which is small, goes to a
-    table in memory. stateful processors keep their state in RocksDB.
+    All rows go to a table in the folder that spark.checkpoint.dir names, and so do
+    offsets and state: appended rows by the file sink, those of an update batch by batch
+    (a batch that is done again replaces itself); of a complete result the last batch
+    counts. stateful processors keep their state in RocksDB while the stream runs.
     """
     spark = df.sparkSession
-    if stateful:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    name = f"lumenfold_{uuid.uuid4().hex}"
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")).rstrip("/") + f"/{name}"
+    base = f"{shared_dir(spark)}/lumenfold-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
-        writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{base}/rows")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer = writer.format("parquet").option("path", f"{base}/rows")
+    else:
+        writer = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/rows/{'' if mode == 'complete' else f'batch={batch}'}"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if stateful:
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer.start().awaitTermination()
+    finally:
+        if stateful and before is None:
+            spark.conf.unset(key)
+        elif stateful:
+            spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(f"{base}/rows").select(df.columns)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,13 +59,17 @@ def test_markdown_plain(spark, line, plain):
     assert values(spark, M.plain, [line]) == [plain] == [markdown_parser.inline(line)[0]]
 
 
+def _score(text):
+    lines = text.split("\n")
+    marked = sum(bool(re.match(r"\s*(#{1,6}\s|[*\-•]\s|\d+[.)]\s|\|)", x)) for x in lines)
+    return 0.0 if len(lines) < 6 else marked / len(lines) * min(1, len(text) / 3000) + 0.5 * bool(re.search(r"(?m)^#{1,3}\s", text))
+
+
 def test_cells_and_score(spark):
     rows = ["| a | b |", "a|b|", "|", "x", "| a \\| b |"]
     assert [list(x) for x in values(spark, M.row_cells, rows)] == [markdown_parser.cells(x) for x in rows]
-    from lumenfold.operators.json_mining import markdown_score
-
     texts = ["# h\n" + "- x\n" * 10, "a\n" * 9, "short", "| a\n" * 2000]
-    assert values(spark, M.score, texts) == pytest.approx([markdown_score(x) for x in texts])
+    assert values(spark, M.score, texts) == pytest.approx([_score(x) for x in texts])
 
 
 def test_presentation_forms():
@@ -86,14 +92,20 @@ def test_presentation_forms():
         (r"\foo{1}", "foo1", "foo1"),
     ],
 )
-def test_tex(formula, plain, short):
+def test_tex(spark, formula, plain, short):
     assert tex.tex_to_text(formula) == plain
-    assert tex.tex_to_text(formula, short_fractions=True) == short
+    assert values(spark, tex.quiz_tex, [formula, None]) == [short, None]
 
 
-def test_marks():
+def test_marks(spark):
     assert tex.decode_marks("a\x01x^2\x02 b\x032\x04 c\x05q\x06") == "ax² b² c_(q)"
-    assert tex.quiz_marks("10^{-3} H_{2}O") == "10⁻³ H₂O"
+    assert values(spark, tex.quiz_marks, ["10^{-3} H_{2}O", "a\x01\\frac{1}{2}\n\x02b", "plain", "", None]) == ["10⁻³ H₂O", "a1/2b", "plain", "", None]
+    assert values(spark, tex.without_forms, [chr(0xFEFC), "x", None]) == ["لا", "x", None]
+
+
+def test_other_commands(spark):
+    assert tex.tex_to_text(r"a\half b", {r"\half": "½"}) == "a½ b"
+    assert values(spark, lambda c: tex.quiz_tex(c, {r"\half": "½"}), [r"\half\times"]) == ["½times"]
 
 
 @settings(max_examples=100, deadline=None)

@@ -17,20 +17,47 @@ def test_documents():
     assert json_mining.documents('{"a": 1, "a": 2}')[0] == {"a": 2}
 
 
-def test_strings_inside_strings():
+def test_strings_inside_strings(spark):
     text = "# T\n" + "- item of a list\n" * 30
-    body = json.dumps({"x": json.dumps([text])})
-    assert json_mining.best_markdown(body)[0] == text
-    assert json_mining.best_markdown("plain\n" * 200) is None
     raw = "# T\n" + "- item of a list\n" * 40
-    assert json_mining.best_markdown(raw)[0] == raw
-    assert json_mining.best_markdown(raw[:600]) is None
+    bodies = {"inside": json.dumps({"x": json.dumps([text])}), "plain": "plain\n" * 200, "bare": raw, "short": raw[:600], "null": None}
+    rows = spark.createDataFrame([(c, 1, "u", b) for c, b in bodies.items()], "capture_id string, seq long, url string, body string")
+    got = {r.capture_id: r.markdown for r in json_mining.markdown_of_captures(rows).collect()}
+    assert got == {"inside": text, "bare": raw}
+    assert json_mining.markdown_of_captures(rows.where("false")).collect() == []
 
 
 def test_labels_and_kids():
-    assert json_mining.label_of({"name": ["x"], "title": " ", "text": "t"}) == "t"
-    assert json_mining.kids_of({"children": [], "nodes": [{}]}) == []
-    assert json_mining.kids_of({"children": {}, "nodes": [{}, 1]}) == [{}]
+    keys = json_mining.KEYS
+    assert keys.label({"name": ["x"], "title": " ", "text": "t"}) == "t"
+    assert keys.kids({"children": [], "nodes": [{}]}) == []
+    assert keys.kids({"children": {}, "nodes": [{}, 1]}) == [{}]
+    own = json_mining.Keys(labels=("caption",), children=("parts",))
+    body = json.dumps({"name": "a", "children": [{"name": "b"}] * 9, "x": {"caption": "t", "parts": [{}, {"caption": "u"}]}})
+    assert json_mining.best_tree(body, own)[1] == 3
+    assert json_mining.best_tree(body)[1] == 10
+
+
+def test_trees_deeper_than_counted():
+    def size(d, level=0):
+        return 1 + (sum(size(k, level + 1) for k in d["children"]) if level < 30 else 0)
+
+    for depth in (1, 29, 30, 31, 45):
+        tree = {"name": "leaf", "children": []}
+        for _ in range(depth):
+            tree = {"name": "n", "children": [tree, {"name": "w", "children": []}]}
+        assert json_mining.tree_sizes([tree]) == [size(tree)]
+    deep = '{"name":"a","children":[' * 3000 + "]}" * 3000
+    assert json_mining.best_tree(deep)[1] == 31
+    assert json_mining.texts_of("[" * 100_000 + "\n") == ["[" * 100_000 + "\n"]
+
+
+def test_a_deep_tree_ends_no_job(spark):
+    deep = '{"name":"a","children":[' * 3000 + "]}" * 3000
+    rows = spark.createDataFrame([("deep", 1, "u", deep)], "capture_id string, seq long, url string, body string")
+    found = json_mining.trees_of_captures(rows)
+    assert [r.capture_id for r in found.collect()] == ["deep"]
+    assert json_mining.nodes_of_trees(found).count() == 3000
 
 
 def test_trees_of_captures(spark):
@@ -56,8 +83,9 @@ def test_label_parts(text, primary, ar, en):
 
 
 def test_unmatched_parentheses():
-    assert labels.split_title("a) b: c") == ("a) b: c", "")
-    assert list(labels.outer_groups("a) (b (c)) (d")) == [(3, 9)]
+    assert labels.Scan("a) b: c").halves() == ("a) b: c", "")
+    assert labels.Scan("a (b: c) d: e").halves() == ("a (b: c) d", "e")
+    assert [(g.begin, g.end) for g in labels.Scan("a) (b (c)) (d").groups] == [(3, 10)]
 
 
 def cost(parents, children, cuts):
@@ -105,20 +133,35 @@ def test_clusters_against_all_pairs():
         assert got == boxes_by_all_pairs(fr)
 
 
-def test_levels_reverse():
-    box = lambda x: {"x0": x, "x1": x + 10.5, "yc": 0}
-    boxes = [box(0), box(1), box(100)]
-    assert geometry.levels(boxes) == 2
-    assert [b["depth"] for b in boxes] == [1, 1, 0]
+def test_depths_from_either_side(spark):
+    rows = [("m", i, x, x + 10.5) for i, x in enumerate((0.0, 1.0, 100.0))] + [("k", i, x, 500.0) for i, x in enumerate((0.0, 50.0, 51.0, 200.0))]
+    got = geometry.depths(spark.createDataFrame(rows, "capture_id string, box int, x0 double, x1 double")).collect()
+    assert {(r.capture_id, r.box): (r.depth, r.columns) for r in got if r.capture_id == "m"} == {("m", 0): (1, 2), ("m", 1): (1, 2), ("m", 2): (0, 2)}
+    assert {r.depth for r in got if r.capture_id == "k"} == {0}
 
 
-def test_map_without_links_and_with_several_roots():
-    f = lambda t, x, y: {"t": t, "x0": x, "y0": y, "x1": x + 50, "y1": y + 20, "sz": 12.0, "ui": False}
-    nodes, confidence, warnings = geometry.map_nodes([f("r1", 0, 0), f("r2", 0, 200), f("a", 200, 0), f("b", 200, 210)], [])
-    assert [n["label"] for n in nodes] == ["Mind Map", "r1", "a", "r2", "b"]
-    assert warnings == ["several_roots", "low_confidence"]
-    assert confidence == pytest.approx(2 / 3)
-    assert geometry.map_nodes([f("x", 0, 0)], [])[0] == []
+FRAGMENT = "capture_id string, ord int, t string, x0 double, y0 double, x1 double, y1 double, sz double, ui boolean"
+LINK = "capture_id string, ord int, ax double, ay double, bx double, by double"
+
+
+def test_map_without_links_and_with_several_roots(spark):
+    f = lambda c, i, t, x, y: (c, i, t, float(x), float(y), float(x + 50), float(y + 20), 12.0, False)
+    rows = [f("s", 0, "r1", 0, 0), f("s", 1, "r2", 0, 200), f("s", 2, "a", 200, 0), f("s", 3, "b", 200, 210), f("one", 0, "x", 0, 0), f("null", 0, None, 0, 0), f(None, 0, "n", 0, 0)]
+    got = geometry.maps_of_captures(spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame([], LINK)).collect()
+    got.sort(key=lambda r: r.path)
+    assert [(r.capture_id, r.label) for r in got] == [("s", x) for x in ("Mind Map", "r1", "a", "r2", "b")]
+    assert {tuple(r.warnings) for r in got} == {("several_roots", "low_confidence")}
+    assert got[0].confidence == pytest.approx(2 / 3)
+    none = spark.createDataFrame([], FRAGMENT)
+    assert geometry.maps_of_captures(none, spark.createDataFrame([("z", 0, 0.0, 0.0, 1.0, 1.0)], LINK)).collect() == []
+
+
+def test_links_choose_boxes_and_parents(spark):
+    f = lambda i, t, x, y: ("c", i, t, float(x), float(y), float(x + 50), float(y + 20), 12.0, False)
+    rows = [f(0, "root", 0, 100), f(1, "up", 200, 0), f(2, "mid", 200, 90), f(3, "down", 200, 300), f(4, "aside", 900, 600)]
+    links = [("c", i, 50.0, 110.0, 200.0, y) for i, y in enumerate((10.0, 100.0, 310.0))]
+    got = geometry.maps_of_captures(spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame(links, LINK)).collect()
+    assert sorted((tuple(r.path), r.label, r.confidence) for r in got) == [((1,), "root", 1.0), ((1, 1), "up", 1.0), ((1, 2), "mid", 1.0), ((1, 3), "down", 1.0)]
 
 
 def test_maps_flattened(spark):
