@@ -29,7 +29,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_filter.judged(pages, URL_RULES, url_filter.train(pages))
+    return url_filter.judged(pages, URL_RULES, url_filter.train(pages, URL_RULES))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,8 @@
 
 A unigram model of words splits concatenated names by Viterbi's algorithm; the
 words of host and path, marked by where they stand, are scored by multinomial
-naive Bayes. Both are learnt from the urls themselves: words are those that stand
-alone in two hosts or more, and the classes start from hosts that hold a word of a
-fixed list.
+naive Bayes. Words are those that stand alone in two hosts or more, of all urls; the
+classes of naive Bayes are the verdicts of the rules, on all urls that a rule fits.
 """
 
 from __future__ import annotations
@@ -24,10 +23,6 @@ WORDS, TOKENS = 100_000, 200_000
 #: A url is blocked by the model from this posterior on.
 BLOCK = 0.5
 
-# Words of hosts that a corpus does without, and words of names in urls.
-UNWANTED = ["adult", "bet", "bonus", "casino", "cheap", "click", "dating", "escort", "farm", "gambling", "jackpot", "loan", "loans", "lottery", "nude", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "win", "xxx"]
-COMMON = ["about", "article", "blog", "book", "city", "forum", "free", "games", "health", "help", "home", "info", "mail", "media", "music", "net", "news", "online", "shop", "site", "store", "travel", "web", "wiki", "world"]
-
 _RUN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -176,49 +171,56 @@ def _tokens(urls: DataFrame, words: DataFrame, total: int, scratch: Scratch) ->
     return whole.unionByName(made)
 
 
-def train(pages: DataFrame) -> UrlModel | UrlTables:
-    """Learn words from all hosts and paths, and tokens from all urls: those with an unwanted word in the host count as blocked."""
+def _ruled(urls: DataFrame, rules: Rules) -> DataFrame:
+    """host, path, n, bad of the distinct urls (host, path, n): whether the rule that fits blocks, null without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rules.find(h, p) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f and f[1] == "block" for f in found], pa.bool_())], names=["host", "path", "n", "bad"])
+
+    return urls.select("host", "path", "n").mapInArrow(run, "host string, path string, n long, bad boolean")
+
+
+def train(pages: DataFrame, rules: list[tuple[str, str]]) -> UrlModel | UrlTables:
+    """Learn words from all hosts and paths of pages (url), and tokens from all urls that a rule (verdict, rule) fits.
+
+    Null urls, and those without a host, teach nothing; repeated rows count each. Where
+    no rule fits any url, all are allowed.
+    """
     small_batches(pages.sparkSession)
     scratch = Scratch(pages.sparkSession)
     split = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
-    urls = scratch.table(split.groupBy("host", "path").agg(F.count("*").alias("n")))
+    urls = scratch.table(_ruled(split.groupBy("host", "path").agg(F.count("*").alias("n")), Rules(rules)))
     parts = urls.select("host", F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 2)
-    counts = scratch.table(parts.distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
-    least = max(2, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
-    seeds = pages.sparkSession.createDataFrame([(w, least) for w in UNWANTED + COMMON], "w string, n long")
-    known = scratch.table(counts.unionByName(seeds).groupBy("w").agg(F.max("n").alias("n")))
-    size, letters = known.agg(F.count("*"), F.sum("n")).first()
+    known = scratch.table(parts.distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    size, letters = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     small = size <= WORDS
     words = {r["w"]: r["n"] for r in known.collect()} if small else {}
     segmenter = Segmenter(words)
-    unwanted = {f"h:{w}" for w in UNWANTED}
+    taught = urls.where("bad is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, bad, times = [], [], []
-            for host, path, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, path, n, is_bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = tokens_of(segmenter, host, path)
                 found += ["", *own]
-                bad += [not unwanted.isdisjoint(own)] * (len(own) + 1)
+                bad += [is_bad] * (len(own) + 1)
                 times += [n] * (len(own) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(bad, pa.bool_()), pa.array(times, pa.int64())], names=["t", "bad", "n"])
 
     if small:
-        marked = urls.mapInArrow(cut, "t string, bad boolean, n long")
+        marked = taught.mapInArrow(cut, "t string, bad boolean, n long")
     else:
-        own = scratch.table(_tokens(urls, known, letters, scratch))
-        seen = own.where(F.col("t").isin(*unwanted)).select("host", "path").distinct().withColumn("bad", F.lit(True))
-        judged_urls = scratch.table(urls.join(seen, ["host", "path"], "left").withColumn("bad", F.coalesce("bad", F.lit(False))))
-        each = own.join(judged_urls, ["host", "path"])
-        marked = each.select("t", "bad", "n").unionByName(judged_urls.select(F.lit("").alias("t"), "bad", "n"))
+        each = _tokens(taught, known, letters, scratch).join(taught, ["host", "path"])
+        marked = each.select("t", "bad", "n").unionByName(taught.select(F.lit("").alias("t"), "bad", "n"))
     tokens = marked.groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     tokens = scratch.table(tokens)
     total = tokens.where("t <> ''").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("v")).first()
     whole = tokens.where("t = ''").first()
-    if whole is None:
-        return UrlModel(words, {}, -1.0)
     bad, good, v = total["bad"] or 0, (total["n"] or 0) - (total["bad"] or 0), total["v"]
-    prior = math.log((whole["bad"] + 0.5) / (whole["n"] - whole["bad"] + 0.5))
+    prior = math.log((whole["bad"] + 0.5) / (whole["n"] - whole["bad"] + 0.5)) if whole else -1.0
     if not small or v > TOKENS:
         odds = F.log((F.col("bad") + 0.5) / (bad + 0.5 * v)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 0.5 * v))
         return UrlTables(known, letters, tokens.where("t <> ''").select("t", odds.alias("odds")), prior, scratch)

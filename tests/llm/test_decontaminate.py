@@ -1,5 +1,6 @@
 import random
 
+from lumenfold.llm import decontaminate
 from lumenfold.llm.decontaminate import find_leaks, without_leaks
 
 from .test_near_dedup import WORD, shingles
@@ -56,15 +57,41 @@ def test_empty_tables(spark):
     assert find_leaks(d.where("false"), b).collect() == []
 
 
-def test_each_size_class_has_its_table():
+def test_each_size_class_has_its_sketch_and_bitmap(spark):
+    import numpy as np
     import pyarrow as pa
 
-    from lumenfold.llm.decontaminate import ItemIndex
-    from lumenfold.llm.words import Texts
-
     texts = [" ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 6), ("b", 7), ("c", 40), ("d", 300), ("e", 3))]
-    index = ItemIndex(texts, 5, 80)
-    sizes = {key: {len(index.full[i]).bit_length() for i in items} for key, (_, items, _) in index.tables.items()}
-    assert sizes == {(3, 1): {1}, (5, 2): {2}, (5, 6): {6}, (5, 9): {9}}
-    held = Texts(pa.array([" ".join(texts), "x"], pa.string()))
-    assert sorted(index.search(held, 80)) == [(0, i, len(index.full[i])) for i in range(5)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = {r.item_id: r for r in decontaminate._items(items, 5, 80).collect()}
+    assert {(r.k, r["class"], r.n, len(r.sketch)) for r in rows.values()} == {(5, 2, 2, 1), (5, 2, 3, 1), (5, 6, 36, 8), (5, 9, 296, 60), (3, 1, 1, 1)}
+    sketches = decontaminate._items(items, 5, 80).selectExpr("k", "class", "explode(sketch) as v")
+    bitmaps = decontaminate._bitmaps(sketches)
+    assert set(bitmaps) == {(5, 2), (5, 6), (5, 9), (3, 1)}
+    held = decontaminate.Texts(pa.array([" ".join(texts), "x", texts[2]], pa.string()))
+    found = {key: {(int(t), int(v)) for t, v in zip(owner, hashes, strict=True)} for key, owner, hashes in decontaminate.hits(held, bitmaps, 80)}
+    for r in rows.values():
+        assert {(0, v) for v in r.sketch} <= found[r.k, r["class"]]
+    # the third text is too short for the largest class
+    assert {t for t, _ in found[5, 9]} == {0}
+    assert {(2, v) for v in rows[2].sketch} <= found[5, 6]
+    assert np.unpackbits(bitmaps[5, 9]).sum() == 60
+
+
+def test_bitmaps_have_a_largest_size():
+    many = {(5, c): 10**9 for c in range(1, 12)} | {(1, 1): 3}
+    sizes = decontaminate.bitmap_sizes(many)
+    assert sum(1 << b for b in sizes.values()) <= 1 << decontaminate.ALL_BITS
+    assert sizes[1, 1] == decontaminate.PIECE_BITS
+    assert decontaminate.bitmap_sizes({(5, 3): 100_000}) == {(5, 3): 23}
+
+
+def test_full_bitmaps_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ALL_BITS", 10)
+    monkeypatch.setattr(decontaminate, "PIECE_BITS", 5)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([3, 6, 30])))) for i in range(60)]
+    docs = [(d, " ".join([*(r.choice(words) for _ in range(50)), r.choice(items)[1]])) for d in range(40)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.item_id, x.item_shingles, x.shared) for x in got), key=str) == found_by_brute_force(docs, items)

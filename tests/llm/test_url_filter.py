@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -32,7 +34,7 @@ def test_rules_and_parts(spark):
     urls += [f"http://{r.choice(['', 'www.', 'blog.'])}{r.choice(['example', 'cheap-pills', 'net'])}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'es', 'fr', 'EN'])}/{i}" for i in range(60)]
     rows = [(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[4], "h"), (3, urls[3], "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    got = judged(pages, URL_RULES, train(pages)).collect()
+    got = judged(pages, URL_RULES, train(pages, URL_RULES)).collect()
     assert len(got) == len(rows)
     by_url = {i: u for i, u, _ in rows}
     for g in got:
@@ -44,7 +46,7 @@ def test_rules_and_parts(spark):
         if want:
             assert g.verdict == want[1]
     none = pages.where("false")
-    assert judged(none, URL_RULES, train(none)).collect() == []
+    assert judged(none, URL_RULES, train(none, URL_RULES)).collect() == []
 
 
 def test_longest_rule_wins():
@@ -72,11 +74,51 @@ def test_viterbi_against_every_split():
         assert "".join(s.split(name)) == name
 
 
+NAMES = [("block", "pills.org/"), ("allow", "shoes.org/")]
+
+
 def test_segmented_names(spark):
-    rows = [(i, f"http://{h}/en/{i}") for i, h in enumerate(["cheap-pills.org", "best-pills.org", "cheap-shoes.org", "red-shoes.org", "blue-sky.org", "red-sky.org"] * 5)]
-    model = train(spark.createDataFrame(rows, "page_id long, url string"))
+    hosts = ["cheap-pills.org", "best.pills.org", "cheap.pills.org", "red.shoes.org", "red-shoes.org", "blue.shoes.org", "blue-sky.net", "red-sky.net"]
+    rows = [(i, f"http://{h}/en/{i}") for i, h in enumerate(hosts * 5)]
+    model = train(spark.createDataFrame(rows, "page_id long, url string"), NAMES)
     assert model.segmenter.split("cheappills") == ["cheap", "pills"]
-    assert model.score("cheappills.org", "/en/1") > 0.5 > model.score("redsky.org", "/en/1")
+    assert model.score("cheappills.net", "/en/1") > 0.5 > model.score("redshoes.net", "/en/1")
+
+
+def test_naive_bayes_against_brute_force(spark):
+    r = random.Random(6)
+    words = ["red", "blue", "pills", "shoes", "sky", "cheap", "best"]
+    urls = [f"http://{r.choice(words)}{r.choice(['.', '-', ''])}{r.choice(words)}.{r.choice(['org', 'net', 'com'])}/{r.choice(['en', 'fr', '12'])}/{r.choice(words)}?q" for _ in range(300)] + [None, "no url", "http:///x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "com/"), ("allow", "org/"), ("allow", "red.com/"), ("block", "sky.org/fr/")]
+    model = train(pages, rules)
+    known = Rules(rules)
+    counts = {"block": Counter(), "allow": Counter()}
+    times = Counter()
+    for url in urls:
+        host, path = parts(url)
+        found = known.find(host, path) if host else None
+        if found:
+            counts[found[1]].update(url_filter.tokens_of(model.segmenter, host, path))
+            times[found[1]] += 1
+    v = len(counts["block"] | counts["allow"])
+
+    def log_share(side, t):
+        return math.log((counts[side][t] + 0.5) / (sum(counts[side].values()) + 0.5 * v))
+
+    got = {g.page_id: g for g in judged(pages, rules, model).collect()}
+    for i, url in enumerate(urls):
+        host, path = parts(url)
+        x = math.log((times["block"] + 0.5) / (times["allow"] + 0.5))
+        x += sum(log_share("block", t) - log_share("allow", t) for t in url_filter.tokens_of(model.segmenter, host, path) if t in counts["block"] or t in counts["allow"])
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-x)))
+        found = known.find(host, path) if host else None
+        assert got[i].verdict == (found[1] if found else "block" if got[i].score >= 0.5 else "allow")
+
+
+def test_no_rule_teaches_nothing(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id long, url string")
+    assert [r.verdict for r in judged(pages, [], train(pages, [])).collect()] == ["allow", "allow"]
 
 
 def test_words_in_and_of_long_runs(spark):
@@ -86,17 +128,17 @@ def test_words_in_and_of_long_runs(spark):
     assert s.split("q" * 100_000) == ["q" * 100_000]
     long = "verylong" * 10
     rows = [(i, f"http://host{'xyz'[i]}.org/{long}/") for i in range(3)]
-    assert train(spark.createDataFrame(rows, "page_id long, url string")).segmenter.split(long) == [long]
+    assert train(spark.createDataFrame(rows, "page_id long, url string"), []).segmenter.split(long) == [long]
 
 
 def test_rare_tokens_count_beyond_what_memory_holds(spark, monkeypatch):
-    hosts = ["viagra.example-one.org", "red-shoes.org", "blue-shoes.org", "red-sky.org", "bluesky.net"]
-    rows = [(i, f"http://{hosts[i % 5] if i % 40 else hosts[0]}/{'abcdefg'[i % 7] * 3}/redsky/{i}") for i in range(1, 201)] + [(None, None), (7, "x"), (7, "x")]
+    hosts = ["pills.example-one.org", "red.shoes.org", "blue.shoes.org", "red-sky.org", "bluesky.net", "cheap.pills.org"]
+    rows = [(i, f"http://{hosts[i % 6] if i % 40 else hosts[0]}/{'abcdefg'[i % 7] * 3}/redsky/{i}") for i in range(1, 201)] + [(None, None), (7, "x"), (7, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     key = lambda r: (r.page_id is None, r.page_id, r.host, r.path, r.rule, r.verdict, round(r.score, 9))
-    want = sorted(map(key, judged(pages, [], train(pages)).collect()))
-    assert {k[5] for k in want if "viagra" in k[2]} == {"block"}
+    want = sorted(map(key, judged(pages, NAMES, train(pages, NAMES)).collect()), key=str)
+    assert {k[5] for k in want if k[2].startswith("pills")} == {"block"}
     for name in ("TOKENS", "WORDS"):
         with monkeypatch.context() as m:
             m.setattr(url_filter, name, 3)
-            assert sorted(map(key, judged(pages, [], train(pages)).collect())) == want
+            assert sorted(map(key, judged(pages, NAMES, train(pages, NAMES)).collect()), key=str) == want
