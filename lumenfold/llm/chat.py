@@ -41,11 +41,12 @@ _ESCAPED = regex.compile(r"\\(\\?)")
 
 def escape(text: str) -> str:
     """text with no control string in it."""
-    return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
+    text = text.replace("\\", "\\\\")
+    return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 class Encoder:
@@ -67,6 +68,10 @@ class Encoder:
         ends = np.cumsum([len(s) for s in segments])
         return np.concatenate([np.asarray(s, np.int32) for s in segments]), int(ends[-3]), int(ends[-2])
 
+    def words(self, ids: np.ndarray) -> str:
+        """The text of ordinary ids."""
+        return self.encoding.decode(ids.tolist()) if len(ids) else ""
+
     def text(self, ids: np.ndarray) -> str:
         """The rendering of ids, reserved ones as their control strings."""
         return "".join(CONTROL[s[0] - self.size] if s[0] >= self.size else self.encoding.decode(s.tolist()) for s in self.split(ids))
@@ -78,6 +83,12 @@ class Encoder:
         return [s for s in np.split(ids, cuts) if len(s)]
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists one after another, and where each list begins, with the end."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -111,24 +122,34 @@ def formatted(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path, pattern)
-        now, seq, at = object(), 0, 0
+        opening, learnt = encoder.reserved["<s>"], encoder.reserved[MARKS["assistant"][0]]
+        now: tuple | None = None  # the conversation that is open, its turns and tokens so far
+        seq = at = 0
         for batch in batches:
-            seqs, starts, all_ids, losses = [], [], [], []
-            for conv, ids, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if conv != now:
-                    now, seq, at = conv, 0, 0
-                row = np.asarray(ids, np.int32)
-                loss = np.zeros(len(row), bool)
-                if row[0] == encoder.reserved[MARKS["assistant"][0]]:
-                    loss[first:last] = True
-                if not seq:
-                    row, loss = np.append(np.int32(encoder.reserved["<s>"]), row), np.append(False, loss)
-                seqs.append(seq)
-                starts.append(at)
-                all_ids.append(row)
-                losses.append(loss)
-                seq, at = seq + 1, at + len(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.int64()), pa.array(starts, pa.int64()), pa.array(all_ids, pa.list_(pa.int32())), pa.array(losses, pa.list_(pa.bool_()))], names=["conv_id", "seq", "start", "ids", "loss"])
+            n = batch.num_rows
+            if not n:
+                continue
+            conv, null = batch.column(0).fill_null(0).to_numpy(), np.array(batch.column(0).is_null())
+            new = np.ones(n, bool)
+            new[1:] = (conv[1:] != conv[:-1]) | (null[1:] != null[:-1])
+            new[0] = (conv[0], null[0]) != now
+            flat, offsets = _lists(batch.column(1))
+            begins = np.flatnonzero(new)
+            group = np.cumsum(new) - 1  # -1: goes on from the batch before
+            sizes = np.diff(offsets) + new
+            ends = np.cumsum(sizes)
+            places = ends - sizes
+            seqs = np.arange(n) - np.where(group >= 0, begins[group] if len(begins) else 0, -seq)
+            starts = places - np.where(group >= 0, places[begins][group] if len(begins) else 0, -at)
+            change = np.zeros(ends[-1] + 1, np.int8)  # prefix sums of which are the mask
+            told = flat[offsets[:-1]] == learnt
+            np.add.at(change, (places + new + batch.column(2).to_numpy())[told], 1)
+            np.add.at(change, (places + new + batch.column(3).to_numpy())[told], -1)
+            bounds = pa.array(np.append(0, ends), pa.int32())
+            ids = pa.ListArray.from_arrays(bounds, pa.array(np.insert(flat, offsets[:-1][new], opening), pa.int32()))
+            loss = pa.ListArray.from_arrays(bounds, pa.array(np.cumsum(change[:-1]).astype(bool)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.int64()), pa.array(starts, pa.int64()), ids, loss], names=["conv_id", "seq", "start", "ids", "loss"])
+            now, seq, at = (conv[-1], null[-1]), int(seqs[-1]) + 1, int(starts[-1] + sizes[-1])
 
     empty = F.lit("")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
@@ -150,7 +171,6 @@ def read_back(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path, pattern)
-        plain = encoder.encoding.decode
         done: list[tuple] = []
         now, open_ = None, False
         turns, loss, counts = hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
@@ -166,31 +186,33 @@ def read_back(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
                 done.append((now, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2]))
 
         for batch in batches:
-            for conv, seq, ids, mask in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+            (ids, offsets), (mask, _) = _lists(batch.column(3)), _lists(batch.column(4))
+            marks = np.flatnonzero(ids >= encoder.size)
+            of_turn = np.searchsorted(marks, offsets)
+            under = np.append(0, np.cumsum(mask))
+            for i, (conv, seq) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if not seq:
                     close()
                     now, open_ = conv, True
                     turns, loss, counts = hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
-                row = np.asarray(ids, np.int32)
+                at = marks[of_turn[i] : of_turn[i + 1]].tolist()
                 texts = {}
-                mark = None
-                for s in encoder.split(row):
-                    if s[0] >= encoder.size:
-                        mark = CONTROL[s[0] - encoder.size]
-                        texts.setdefault(mark, "")
-                        counts[2] += len(mark)
-                    else:
-                        shown = plain(s.tolist())
-                        counts[2] += len(shown)
-                        texts[mark] = unescape(shown)
+                for here, after in zip(at, [*at[1:], int(offsets[i + 1])], strict=True):
+                    mark, shown = CONTROL[ids[here] - encoder.size], encoder.words(ids[here + 1 : after])
+                    texts[mark] = unescape(shown), here + 1, after
+                    counts[2] += len(mark) + len(shown)
                 before = next(m for m in texts if m != "<s>")
-                role = roles.get(before, texts.get("[ROLE]", ""))
-                text = texts[before if before in roles else "[/ROLE]"]
+                text, begin, end = texts[before if before in roles else "[/ROLE]"]
+                role = roles[before] if before in roles else texts["[ROLE]"][0]
                 turns.update(f"{role}\n{text}\n".encode())
-                learnt = unescape(plain(row[np.asarray(mask, bool)].tolist()))
-                loss.update(learnt.encode())
+                a, b = offsets[i], offsets[i + 1]
+                if under[b] > under[a]:
+                    # the tokens under the mask, which are decoded anew unless they are just the turn's text
+                    whole = under[end] - under[begin] == under[b] - under[a] == end - begin
+                    learnt = text if whole else unescape(encoder.words(ids[a:b][mask[a:b]]))
+                    loss.update(learnt.encode())
+                    counts[1] += len(learnt)
                 counts[0] += 1
-                counts[1] += len(learnt)
             if len(done) >= 1000:
                 yield out()
         close()
