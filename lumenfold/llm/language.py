@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +128,13 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def in_known_language(docs: DataFrame, model: LanguageModel, score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is found with at least this score, all columns as they were. No row is matched by its id."""
+def in_languages(docs: DataFrame, model: LanguageModel, languages: Collection[str], score: float = 0.5) -> DataFrame:
+    """The rows of docs that are found to be in one of the languages with at least this score, all columns as they were.
+
+    Each row is judged by its own text, none is matched by its id. Null texts, and those
+    without a letter, are in no language; of equally likely ones the first by name counts;
+    repeated rows are judged each.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -137,7 +142,7 @@ def in_known_language(docs: DataFrame, model: LanguageModel, score: float = 0.5)
         for batch in batches:
             for part in chunks(batch, size=CHUNK):
                 names, scores = model.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([n != "und" and s >= score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([n in languages and s >= score for n, s in zip(names, scores, strict=True)], pa.bool_()))
         tidy()
 
     return docs.mapInArrow(run, docs.schema)

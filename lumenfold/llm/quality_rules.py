@@ -11,6 +11,8 @@ from lumenfold.llm.scratch import BROADCAST_KEYS, Scratch
 
 #: A host is rejected when its shrunken rate of documents that fail a rule is above this.
 HOST_RATE = 0.5
+#: Parts that a host's rows are dealt to where hosts are too many to broadcast.
+PARTS = 32
 #: Least and most documents' worth of the beta prior.
 PRIOR = (2.0, 1e6)
 
@@ -87,8 +89,12 @@ def judged(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     alpha, beta = prior(total["hosts"], total["n"] or 0, total["f"] or 0, total["q"] or 0.0)
     rate = (F.col("f") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
     rates = hosts.select("source", rate.alias("host_rate"))
-    rates = F.broadcast(rates) if total["hosts"] <= BROADCAST_KEYS // 10 else rates
-    out = rows.join(rates, "source", "left")
+    if total["hosts"] <= BROADCAST_KEYS // 10:
+        out = rows.join(F.broadcast(rates), "source", "left")
+    else:  # one host may have a third of all rows: its rows are dealt to parts
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(PARTS)).cast("int"))
+        out = dealt.join(rates.select("*", parts.alias("part")), ["source", "part"], "left")
     kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= host_rate)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate")
 

@@ -3,8 +3,9 @@
 The lexicon's trie is intersected with Levenshtein automata of its terms and the
 product is made deterministic, so that one table walks all words of a batch at
 once. Windows of words around each hit tell quotation from abuse, and a logistic
-model of the kinds of hits gives the score. The lexicon and the model are learnt
-from labelled documents: terms are words, or beginnings that many words share.
+model of the kinds of hits gives the score. The lexicon, the weights of words in
+windows and the model are learnt from labelled documents: terms are words, or
+beginnings that many words share.
 """
 
 from __future__ import annotations
@@ -31,9 +32,7 @@ ONE_EDIT, TWO_EDITS = 5, 10
 
 # Digits and signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-# Words that introduce a quotation, and words that address a person.
-CUES = {"quote", "quoted", "quotes", "said", "says", "wrote", "word", "words", "term", "called", "dit", "mot", "cite", "citation", "sagte", "wort", "zitat", "dijo", "palabra", "cita"}
-ADDRESS = {"you", "your", "u", "du", "dein", "deine", "ihr", "tu", "vous", "ton", "eres", "tú", "usted", "ustedes"}
+# Marks of quotation.
 QUOTES = set("\"'«»„“”‘’‹›`")
 
 _kinds: np.ndarray | None = None
@@ -180,7 +179,11 @@ class Matchers:
 FEATURES = 6
 
 
-def hit_features(matcher: Matcher | Matchers, texts: list[str | None]) -> np.ndarray:
+#: What the words of a window say of a hit: positive where it is quoted.
+Context = dict[str, float]
+
+
+def hit_features(matcher: Matcher | Matchers, texts: list[str | None], context: Context) -> np.ndarray:
     """For each text the logarithms of counts of hits: exact and misspelled, in abuse and in quotation, and their share of words."""
     joined, points, starts, ends, at = split(texts)
     found = matcher.match(points, starts, ends)
@@ -188,7 +191,7 @@ def hit_features(matcher: Matcher | Matchers, texts: list[str | None]) -> np.nda
     hits = np.flatnonzero(found)
     owner = np.searchsorted(at, hits, "right") - 1
     for w, i in zip(hits.tolist(), owner.tolist(), strict=True):
-        out[i, 2 * _quoted(joined, starts, ends, w, int(at[i]), int(at[i + 1])) + (found[w] > 1)] += 1
+        out[i, 2 * _quoted(joined, starts, ends, w, int(at[i]), int(at[i + 1]), context) + (found[w] > 1)] += 1
     n = np.maximum(np.diff(at), 1)
     abuse = out[:, :2].sum(1)
     out[:, 4] = abuse / n * 20
@@ -197,15 +200,45 @@ def hit_features(matcher: Matcher | Matchers, texts: list[str | None]) -> np.nda
     return out
 
 
-def _quoted(joined: str, starts: np.ndarray, ends: np.ndarray, w: int, first: int, last: int) -> bool:
-    """Whether the window around a hit speaks for quotation: marks on both sides or a cue before, and nobody addressed."""
+def _window(joined: str, starts: np.ndarray, ends: np.ndarray, w: int, first: int, last: int) -> set[str]:
+    """The other words up to WINDOW before and after a word of a text, whose words go from first to last."""
+    near = range(max(first, w - WINDOW), min(last, w + WINDOW + 1))
+    return {joined[starts[i] : ends[i]] for i in near if i != w}
+
+
+def _quoted(joined: str, starts: np.ndarray, ends: np.ndarray, w: int, first: int, last: int, context: Context) -> bool:
+    """Whether the window around a hit speaks for quotation: marks on both sides count 1, the weights of its words half, up to 1."""
     a, b = max(first, w - WINDOW), min(last, w + WINDOW + 1)
     left, right = joined[starts[a] : starts[w]], joined[ends[w] : ends[b - 1]]
     beyond = joined[ends[b - 1] : ends[b - 1] + 2]
-    score = 1.0 * (any(c in QUOTES for c in left) and any(c in QUOTES for c in right + beyond))
-    words = [joined[starts[i] : ends[i]] for i in range(a, b) if i != w]
-    score += 0.5 * any(x in CUES for x in words[: w - a]) - 0.5 * any(x in ADDRESS for x in words)
-    return score >= 0.5
+    marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right + beyond)
+    told = sum(context.get(x, 0.0) for x in _window(joined, starts, ends, w, first, last)) if context else 0.0
+    return marks + min(1.0, max(-1.0, told / 2)) >= 0.5
+
+
+def learn_context(rows: list[tuple[str, int]], matcher: Matcher | Matchers) -> Context:
+    """Weights of the words around hits: the log-odds of windows in documents that aren't toxic against those in toxic ones.
+
+    Near copies count as one document. Words whose log-odds are less than two standard
+    errors from none have no weight.
+    """
+    groups = _groups_of_copies(text for text, _ in rows)
+    seen: dict[str, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+    with_hits: tuple[set[int], set[int]] = (set(), set())
+    for (text, label), group in zip(rows, groups, strict=True):
+        joined, points, starts, ends, at = split([text])
+        for w in np.flatnonzero(matcher.match(points, starts, ends)).tolist():
+            with_hits[bool(label)].add(group)
+            for x in _window(joined, starts, ends, w, 0, int(at[1])):
+                seen[x][bool(label)].add(group)
+    n = [len(g) for g in with_hits]
+    out = {}
+    for word, own in seen.items():
+        quoted, abusive = (len(g) + 0.5 for g in own)
+        weight = math.log(quoted / (n[0] + 1)) - math.log(abusive / (n[1] + 1))
+        if min(n) and abs(weight) > 2 * math.sqrt(1 / quoted + 1 / abusive):
+            out[word] = weight
+    return out
 
 
 def _words(text: str) -> list[str]:
@@ -294,17 +327,17 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> list[str]:
 
 
 class ToxicityModel:
-    """A matcher and the weights of a logistic model of hits."""
+    """A matcher, the weights of words in windows, and those of a logistic model of hits."""
 
-    def __init__(self, lexicon: list[str], weights: np.ndarray) -> None:
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: list[str], weights: np.ndarray, context: Context) -> None:
+        self.lexicon, self.weights, self.context = lexicon, weights, context
         self._matcher: Matcher | Matchers | None = None
 
     def __getstate__(self) -> tuple:
-        return self.lexicon, self.weights
+        return self.lexicon, self.weights, self.context
 
     def __setstate__(self, state: tuple) -> None:
-        self.lexicon, self.weights = state
+        self.lexicon, self.weights, self.context = state
         self._matcher = None
 
     @property
@@ -318,15 +351,17 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], extra: list[str] = ()) -> ToxicityModel:
-        """Learn the lexicon, to which extra terms may be added, and the weights by ridge-penalised Newton steps."""
-        model = cls(sorted({*learn_lexicon(rows), *extra}), np.zeros(FEATURES + 1))
+        """Learn the lexicon, to which extra terms may be added, its context, and the weights by ridge-penalised Newton steps."""
+        model = cls(sorted({*learn_lexicon(rows), *extra}), np.zeros(FEATURES + 1), {})
         model.weights[0] = -3.0
         if model.lexicon:
             model.weights[1:] = [2.0, 1.0, 0.0, 0.0, 1.0, 3.0]
         y = np.array([t for _, t in rows], float)
         if not len(rows) or y.min() == y.max():
             return model
-        x = np.concatenate([hit_features(model.matcher, [t for t, _ in rows[a : a + 200]]) for a in range(0, len(rows), 200)])
+        if model.lexicon:
+            model.context = learn_context(rows, model.matcher)
+        x = np.concatenate([hit_features(model.matcher, [t for t, _ in rows[a : a + 200]], model.context) for a in range(0, len(rows), 200)])
         x = np.hstack([np.ones((len(x), 1)), x])
         w = np.zeros(x.shape[1])
         ridge = np.full(x.shape[1], 0.5)
@@ -341,7 +376,7 @@ class ToxicityModel:
         return model
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = hit_features(self.matcher, texts)
+        x = hit_features(self.matcher, texts, self.context)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
@@ -375,7 +410,11 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of docs that are not predicted toxic, all columns as they were."""
+    """The rows of docs that are not predicted toxic, all columns as they were.
+
+    Each row is judged by its own text: null and empty texts, repeated rows and rows
+    without an id as any others. Equal texts have equal scores; one of exactly a half is toxic.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 

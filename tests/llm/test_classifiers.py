@@ -34,7 +34,7 @@ def test_language(spark, tables):
     assert [r.lang_pred for r in got[:4]] == ["und"] * 4
     assert got[0].held_out is False
     assert all(0 <= r.score <= 1 for r in got)
-    kept = language.in_known_language(odd, model)
+    kept = language.in_languages(odd, model, model.names)
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} <= {3, 4}
     empty = docs.where("false")
@@ -42,6 +42,51 @@ def test_language(spark, tables):
     assert {r.lang_pred for r in language.identified(odd, language.train(empty)).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    """Every n-gram of every text by itself: buckets, counts, and posteriors in plain Python."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def buckets(text):
+        low = "  " + text.lower()
+        points = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in low]
+        for i, p in enumerate(points):
+            code = p
+            for order in (1, 2, 3) if p else ():
+                if order > 1:
+                    code = (code * 0x100000001B3 + points[i - order + 1]) % 2**64
+                yield ((code + order) * 0x9E3779B97F4A7C15 % 2**64) >> 49
+
+    sample = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text][:60]
+    rows, asked = sample[:40], [t for t, _ in sample[40:]] + ["Ünï cödé 日本 x1y", "q", ""]
+    model = language.LanguageModel.fit(rows)
+    names = sorted({y for _, y in rows})
+    counts = {n: Counter(b for t, y in rows if y == n for b in buckets(t)) for n in names}
+    prior = {n: math.log((1 + sum(y == n for _, y in rows)) / (len(names) + len(rows))) for n in names}
+    found, scores = model.predict(asked)
+    for text, name, score in zip(asked, found, scores, strict=True):
+        own = list(buckets(text))
+        total = {n: prior[n] + sum(math.log((counts[n][b] + 0.5) / (sum(counts[n].values()) + 0.5 * language.BUCKETS)) for b in own) for n in names}
+        best = max(names, key=total.get)
+        if not own:
+            assert (name, score) == ("und", 0.0)
+            continue
+        assert name == best
+        assert score == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total.values()), abs=1e-3)
+
+
+def test_only_configured_languages_stay(spark):
+    rows = [("aaa aba", "x"), ("bbb bcb", "y"), ("ddd ded", "z")]
+    model = language.LanguageModel.fit(rows)
+    docs = spark.createDataFrame([(1, "aab", 0), (2, "bbc", 0), (2, "bbc", 0), (3, "dde", 0), (4, None, 0), (5, "123", 0), (None, "aba", 0)], "doc_id long, text string, lang int")
+    left = language.in_languages(docs, model, ["x", "y"])
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "2", "None"]
+    assert language.in_languages(docs, model, ["x"], score=1.1).collect() == []
+    assert language.in_languages(docs.where("false"), model, ["x"]).collect() == []
+
+
 def test_language_counts_by_hand():
     model = language.LanguageModel.fit([("aaa", "x"), ("bbb", "y")])
     assert model.predict(["a", "b", "ab", ""])[0][:2] == ["x", "y"]
@@ -100,9 +145,45 @@ def test_automaton_against_edit_distance():
 def test_beginnings_lookalikes_and_quotation():
     matcher = toxicity.Matcher(["vequ*", "idiot"])
     assert matches(matcher, ["vequille", "vequ", "veq", "idi0t", "1diot", "idiots", "xvequ"]) == [1, 1, 0, 1, 1, 2, 0]
-    quoted = lambda t: toxicity.hit_features(matcher, [t])[0]
-    assert quoted("the word “idiot” is old")[2] > 0
-    assert quoted("you are an idiot, truly")[0] > 0
+    quoted = lambda t, context: toxicity.hit_features(matcher, [t], context)[0]
+    assert quoted("the word “idiot” is old", {})[2] > 0
+    assert quoted("you are an idiot, truly", {})[0] > 0
+    assert quoted("the word idiot is old", {"word": 1.5})[2] > 0
+    assert quoted("the word “idiot” you", {"you": -2.0})[0] > 0
+
+
+def test_context_is_learnt_from_windows():
+    r = random.Random(3)
+    filler = lambda n: " ".join("".join(r.choice("klmnop") for _ in range(7)) for _ in range(n))
+    rows = [(f"{filler(15)} you idiot {filler(15)}", 1) for _ in range(200)]
+    rows += [(f"{filler(15)} she wrote idiot {filler(15)}", 0) for _ in range(15)]
+    rows += [(filler(30), 0) for _ in range(400)]
+    model = toxicity.ToxicityModel.fit(rows)
+    assert model.lexicon == ["idiot"]
+    assert model.context["wrote"] > 1 > -1 > model.context["you"]
+    abuse, quotation = model.scores([f"{filler(9)} you idiot {filler(9)}", f"{filler(9)} they wrote idiot {filler(9)}"])
+    assert abuse > 0.5 > quotation
+    # by hand: 15 of 15 clean windows and none of 200 toxic ones have it
+    assert model.context["wrote"] == pytest.approx(np.log(15.5 / 16) - np.log(0.5 / 201))
+
+
+def test_logistic_model_is_at_its_optimum():
+    r = random.Random(8)
+    words = [f"w{chr(97 + i)}rd" for i in range(20)]
+    rows = [(" ".join([*r.sample(words, 12), *(["idiot"] * r.randrange(1, 4))]), 1) for _ in range(60)] + [(" ".join(r.sample(words, 15)), 0) for _ in range(120)]
+    model = toxicity.ToxicityModel.fit(rows)
+    x = np.hstack([np.ones((len(rows), 1)), toxicity.hit_features(model.matcher, [t for t, _ in rows], model.context)])
+    y = np.array([t for _, t in rows])
+    ridge = np.array([1e-3] + [0.5] * toxicity.FEATURES)
+
+    def loss(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * w * w).sum()
+
+    best = loss(model.weights)
+    for _ in range(200):
+        assert loss(model.weights + np.array([r.gauss(0, 0.05) for _ in model.weights])) >= best - 1e-9
+    assert model.scores([t for t, _ in rows]) == pytest.approx(1 / (1 + np.exp(-x @ model.weights)))
 
 
 def test_toxic_rows_go(spark):
