@@ -18,9 +18,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found with a posterior of a half or more; those without a letter go."""
-    return language.in_known_language(docs, language.train(docs))
+#: The languages that the corpus is made for; documents in others go.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def in_its_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are found to be in one of LANGUAGES with a posterior of a half or more; those without a letter go."""
+    return language.in_languages(docs, language.train(docs), LANGUAGES)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", not_toxic),
-    ("language_id", known_language),
+    ("language_id", in_its_languages),
     ("near_dedup", one_of_each_group),
     ("decontamination", without_benchmark),
     ("bpe", encoded),
