@@ -157,7 +157,7 @@ def test_context_is_learnt_from_windows():
     filler = lambda n: " ".join("".join(r.choice("klmnop") for _ in range(7)) for _ in range(n))
     rows = [(f"{filler(15)} you idiot {filler(15)}", 1) for _ in range(200)]
     rows += [(f"{filler(15)} she wrote idiot {filler(15)}", 0) for _ in range(15)]
-    rows += [(filler(30), 0) for _ in range(400)]
+    rows += [(f"{filler(15)} you {filler(15)}", 0) for _ in range(400)]
     model = toxicity.ToxicityModel.fit(rows)
     assert model.lexicon == ["idiot"]
     assert model.context["wrote"] > 1 > -1 > model.context["you"]
