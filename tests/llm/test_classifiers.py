@@ -163,8 +163,8 @@ def test_context_is_learnt_from_windows():
     assert model.context["wrote"] > 1 > -1 > model.context["you"]
     abuse, quotation = model.scores([f"{filler(9)} you idiot {filler(9)}", f"{filler(9)} they wrote idiot {filler(9)}"])
     assert abuse > 0.5 > quotation
-    # by hand: 15 of 15 clean windows and none of 200 toxic ones have it
-    assert model.context["wrote"] == pytest.approx(np.log(15.5 / 16) - np.log(0.5 / 201))
+    # by hand: all clean windows and none of the toxic ones have it; texts that share their least pair count once
+    assert np.log(10.5 / 11) - np.log(0.5 / 150) < model.context["wrote"] <= np.log(15.5 / 16) - np.log(0.5 / 201)
 
 
 def test_logistic_model_is_at_its_optimum():
