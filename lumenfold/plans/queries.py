@@ -2,125 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import markdown as M
-from lumenfold.functions import tex
 from lumenfold.functions import text as T
-from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, quiz_html, reconcile, report_blocks, trees
-from lumenfold.plans import fixtures, reports
+from lumenfold.operators import geometry, html_blocks, json_mining, quiz, reconcile, report_blocks, trees
+from lumenfold.plans import table_queries  # noqa: F401  (registers its queries)
+from lumenfold.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 from lumenfold.sources import captures
 from lumenfold.streaming import captures as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 # Text.
 
 
-@_query(r"select doc_id, length(c) as chars, md5(c) as digest from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as c from documents)")
+@query(r"select doc_id, length(c) as chars, md5(c) as digest from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as c from documents)")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.clean_text(F.col("text"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.md5(c).alias("digest"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.md5(c).alias("digest"))
 
 
-@_query(r"""
+@query(r"""
 select doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) as digest from documents""")
 def text_clean_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_block(F.col("text"))).alias("digest"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_block(F.col("text"))).alias("digest"))
 
 
-@_query(r"""
+@query(r"""
 with t as (select doc_id, len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) as a, len(regexp_extract_all(text, '[A-Za-z]')) as e, regexp_extract(text, '[\x{0600}-\x{06FF}A-Za-z]') as f from documents)
 select doc_id, case when a >= 3 and e >= 3 then 'mixed' when a > e then 'ar' when e > 0 then 'en' else 'none' end as lang, case when regexp_matches(f, '[\x{0600}-\x{06FF}]') then 'rtl' else 'ltr' end as dir from t""")
 def text_lang_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", T.lang_info(F.col("text")).alias("i")).select("doc_id", "i.lang", "i.dir")
+    return read(spark, sf_dir, "documents").select("doc_id", T.lang_info(F.col("text")).alias("i")).select("doc_id", "i.lang", "i.dir")
 
 
-@_query(r"""
+@query(r"""
 select conv_id, turn, md5(c) as digest from (select conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ' || chr(10)), '\s+([.,;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), ' {2,}', ' ', 'g')) as c from conversations)""")
 def text_fix_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.fix_spacing(F.col("text"))).alias("digest"))
-
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.fix_spacing(F.col("text"))).alias("digest"))
 
-@_query(r"""
-with u as (select conv_id, list_distinct(list_sort(flatten(list(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) filter (role = 'user')))) as u, list_distinct(list_sort(flatten(list(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) filter (role = 'assistant')))) as a from conversations group by conv_id)
-select conv_id, len(u)::bigint as n_words, len(list_intersect(u, a))::bigint as n_shared, case when len(u) > 0 then round_even(len(list_intersect(u, a)) / len(u), 3) end as coverage from (select conv_id, coalesce(u, []) as u, coalesce(a, []) as a from u)""")
-def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _read(spark, sf_dir, "conversations").withColumn("w", F.explode(T.word_set(F.col("text")))).where("role in ('user', 'assistant')")
-    side = words.groupBy("conv_id", "w").agg(F.bool_or(F.col("role") == "user").alias("u"), F.bool_or(F.col("role") == "assistant").alias("a"))
-    counts = side.groupBy("conv_id").agg(F.count_if("u").alias("n_words"), F.count_if(F.col("u") & F.col("a")).alias("n_shared"))
-    all_ids = _read(spark, sf_dir, "conversations").select("conv_id").distinct()
-    joined = all_ids.join(counts, "conv_id", "left").na.fill(0, ["n_words", "n_shared"])
-    return joined.select("conv_id", "n_words", "n_shared", F.when(F.col("n_words") > 0, F.bround(F.col("n_shared") / F.col("n_words"), 3)).alias("coverage"))
 
-
-@_query(r"select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')))::bigint as n_words from documents")
+@query(r"select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')))::bigint as n_words from documents")
 def word_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.word_set(F.col("text"))).cast("long").alias("n_words"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.word_set(F.col("text"))).cast("long").alias("n_words"))
 
 
-@_query(r"select page_id, substr(split_part(url, '?', 1), 1, 200) as source_url, 'b' || lpad((page_id + 1)::varchar, greatest(3, length((page_id + 1)::varchar))::int, '0') as id from pages")
+@query(r"select page_id, substr(split_part(url, '?', 1), 1, 200) as source_url, 'b' || lpad((page_id + 1)::varchar, greatest(3, length((page_id + 1)::varchar))::int, '0') as id from pages")
 def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", T.source_url(F.col("url")).alias("source_url"), T.padded_id("b", F.col("page_id") + 1).alias("id"))
+    return read(spark, sf_dir, "pages").select("page_id", T.source_url(F.col("url")).alias("source_url"), T.padded_id("b", F.col("page_id") + 1).alias("id"))
 
 
-@_query(r"select page_id, length(html)::bigint as chars from pages where length(html) > 200 and length(html) < 12000000")
+@query(r"select page_id, length(html)::bigint as chars from pages where length(html) > 200 and length(html) < 12000000")
 def usable_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages")
+    pages = read(spark, sf_dir, "pages")
     return pages.where(json_mining.usable(F.lit("document"), F.col("html"), json_mining.REPORT_SIZE)).select("page_id", F.length("html").cast("long").alias("chars"))
 
 
 # Markdown by lines.
 
 
-@_query(r"""
+@query(r"""
 with l as (select doc_id, text, string_split(text, chr(10)) as l from documents)
 select doc_id, case when len(l) < 6 then 0.0 else len(list_filter(l, lambda x: regexp_matches(x, '^\s*(#{1,6}\s|[*\-•]\s|\d+[.)]\s|\|)'))) / len(l) * least(1.0::double, length(text) / 3000) + case when regexp_matches(text, '(?m)^#{1,3}\s') then 0.5::double else 0.0::double end end as score from l""")
 def markdown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", M.score(F.col("text")).alias("score"))
+    return read(spark, sf_dir, "documents").select("doc_id", M.score(F.col("text")).alias("score"))
 
 
-@_query(r"""
+@query(r"""
 with l as (select source, doc_id, length(text) as n from documents)
 select source, arg_min(doc_id, doc_id) filter (n = m) as doc_id, m::bigint as score from (select *, max(n) over (partition by source) as m from l) group by source, m""")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("score"))
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("score"))
     return reconcile.best_by(rows.withColumn("order", F.col("doc_id")), "source", "score", "order", "doc_id")
 
 
-@_query(r"""
-with l as (select doc_id, generate_subscripts(l, 1) as line, unnest(l) as t from (select doc_id, string_split(text, chr(10)) as l from documents) where true)
-select doc_id, line::bigint as line, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(trim(t), '\[([^\]]+)\]\(([^)]+)\)', '\1', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '*', ''), '\s+', ' ', 'g')) as plain from l where (contains(t, '*') or contains(t, '`')) and not regexp_matches(t, '(^|[^\p{L}\p{N}_*])\*[^\s*]')""")
+@query()
 def markdown_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    marked = lines.where((F.contains("t", F.lit("*")) | F.contains("t", F.lit("`"))) & ~F.col("t").rlike(r"(^|[^\p{L}\p{N}_*])\*[^\s*]"))
-    return marked.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), M.plain(F.col("t")).alias("plain"))
-
-
-@_query()
-def markdown_plain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines, also those that the SQL of markdown_plain leaves out."""
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    """All lines; compared with a version by hand in the tests, since SQL knows no look-around."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), M.plain(F.col("t")).alias("plain"))
 
 
@@ -130,88 +88,53 @@ c as (select doc_id, list_transform(l, lambda x: list_transform(string_split(reg
 """
 
 
-@_query(_TABLE_ROWS + "select doc_id, len(r)::bigint as n_rows, list_max(list_transform(r, lambda x: len(x)))::bigint as width, list_max(list_transform(r, lambda x: len(x))) <> list_min(list_transform(r, lambda x: len(x))) as ragged, md5(array_to_string(list_transform(r, lambda x: array_to_string(x, '¦') || repeat('¦', list_max(list_transform(r, lambda y: len(y))) - len(x))), chr(10))) as digest from c")
+@query(_TABLE_ROWS + "select doc_id, len(r)::bigint as n_rows, list_max(list_transform(r, lambda x: len(x)))::bigint as width, list_max(list_transform(r, lambda x: len(x))) <> list_min(list_transform(r, lambda x: len(x))) as ragged, md5(array_to_string(list_transform(r, lambda x: array_to_string(x, '¦') || repeat('¦', list_max(list_transform(r, lambda y: len(y))) - len(x))), chr(10))) as digest from c")
 def table_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("|"))).alias("l")).where(F.size("l") > 0)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("|"))).alias("l")).where(F.size("l") > 0)
     rows = docs.select("doc_id", F.transform("l", M.row_cells).alias("r"))
     full = rows.select("doc_id", "r", M.padded(F.col("r")).alias("p"))
     digest = F.md5(F.array_join(F.transform("p", lambda x: F.array_join(x, "¦")), "\n"))
     return full.select("doc_id", F.size("r").cast("long").alias("n_rows"), F.size(F.get("p", F.lit(0))).cast("long").alias("width"), M.is_ragged(F.col("r")).alias("ragged"), digest.alias("digest"))
 
 
-@_query(r"""
-with l as (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as t from (select doc_id, string_split(text, chr(10)) as l from documents)),
-k as (select *, contains(t, '|') as bar, row_number() over (partition by doc_id order by i) - row_number() over (partition by doc_id, contains(t, '|') order by i) as g from l)
-select doc_id, min(i)::bigint as first_line, bar as is_table, count(*) as n_lines, md5(string_agg(t, chr(10) order by i)) as digest from k group by doc_id, bar, g""")
-def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).withColumn("is_table", F.contains("t", F.lit("|")))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    opened = F.when(F.col("is_table") == F.lag("is_table").over(order), 0).otherwise(1)
-    grouped = lines.withColumn("o", opened).withColumn("g", F.sum("o").over(order))
-    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "\n")
-    out = grouped.groupBy("doc_id", "g").agg((F.min("i") + 1).cast("long").alias("first_line"), F.first("is_table").alias("is_table"), F.count("*").alias("n_lines"), F.md5(merged).alias("digest"))
-    return out.drop("g")
-
-
 # Report blocks.
 
 
 _H1 = r"replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')".replace('\\"', '"')
 
 
-@_query(f"""select page_id as doc_id, 1 as level, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) as text from pages where regexp_matches(html, '<h1>')""")
+@query(f"""select page_id as doc_id, 1 as level, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) as text from pages where regexp_matches(html, '<h1>')""")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _read(spark, sf_dir, "pages")
+    found = read(spark, sf_dir, "pages")
     blocks = report_blocks.blocks_of(found, "page_id", "html", html_blocks.all_blocks)
     return report_blocks.outline(blocks).select("doc_id", "level", "text")
 
 
-@_query()
+@query()
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = report_blocks.blocks_of(_read(spark, sf_dir, "pages"), "page_id", "html", html_blocks.from_html)
+    blocks = report_blocks.blocks_of(read(spark, sf_dir, "pages"), "page_id", "html", html_blocks.from_html)
     return report_blocks.statistics(blocks).select("doc_id", "title", "ar", "en", "mixed", "chars", "headings", "rules", F.to_json("block_counts").alias("block_counts"), F.to_json("warnings").alias("warnings"))
 
 
-@_query(r"""
-with p as (select doc_id, unnest(string_split(text, chr(10))) as t from documents where not regexp_matches(text, '[|*`#>─━│┃▼▲◄►]|(?m)^\s*$|(?m)^\s*([+•\-–]|\d+[.)])\s|(?m)^\s*[-_]{3,}\s*$'))
-select doc_id, 1 as n_blocks, (length(string_agg(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')))::bigint as chars from p group by doc_id""")
+@query()
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[|*`#>─━│┃▼▲◄►]|(?m)^\s*$|(?m)^\s*([+•\-–]|\d+[.)])\s|(?m)^\s*[-_]{3,}\s*$"))
-    blocks = report_blocks.blocks_of(docs, "doc_id", "text")
-    return blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_blocks"), F.sum(F.length("block_text")).alias("chars"))
-
-
-@_query()
-def markdown_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, also those that the SQL of markdown_report leaves out."""
-    blocks = report_blocks.blocks_of(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    """All documents; markdown_built has the SQL of each kind of block."""
+    blocks = report_blocks.blocks_of(read(spark, sf_dir, "documents"), "doc_id", "text")
     return blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_blocks"), F.sum(F.length("block_text")).alias("chars"))
 
 
-@_query()
+@query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = report_blocks.blocks_of(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    blocks = report_blocks.blocks_of(read(spark, sf_dir, "documents"), "doc_id", "text")
     return report_blocks.without_rules(blocks).select("doc_id", "pos", "id", "type", "level", "text", "lang", "dir", "cols", "payload")
 
 
-@_query(r"select doc_id, lang, count(*) as n, sum(length(text))::bigint as chars from (select source as doc_id, lang, text from documents) group by all")
-def blocks_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc_id"), "lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
-@_query(r"select sha256(substr(text, 1, 400)) as signature, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
+@query(r"select sha256(substr(text, 1, 400)) as signature, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def first_of_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.first_of_signature(_read(spark, sf_dir, "documents"), "text", "doc_id")
-
+    return reconcile.first_of_signature(read(spark, sf_dir, "documents"), "text", "doc_id")
 
-@_query()
-def snapshots_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("capture_id"), (F.col("turn") / 2).cast("int").alias("snap_seq"), F.posexplode(F.split("text", "\n")).alias("ord", "t"))
-    block = F.to_json(F.struct(F.col("t").alias("text"), F.lit("paragraph").alias("type")))
-    return reconcile.merged_captures(turns.select("capture_id", "snap_seq", "ord", block.alias("block")))
 
-
-@_query(r"""
+@query(r"""
 with w as (select conv_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) filter (role = 'user'))) as d, list_distinct(flatten(list(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) filter (role <> 'user'))) as n from conversations group by conv_id),
 x as (select conv_id, coalesce(d, []) as d, coalesce(n, []) as n, n is not null as has from w),
 y as (select *, len(list_intersect(d, n)) / nullif(len(d), 0) as share from x),
@@ -220,7 +143,7 @@ select conv_id::varchar as capture_id, method, case when len(d) > 0 and len(n) >
 def method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda cond: F.array_join(F.collect_list(F.when(cond, F.col("text"))), "\n")
     user = F.col("role") == "user"
-    both = _read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("capture_id")).agg(text(user).alias("dom_text"), F.when(F.count_if(~user) > 0, text(~user)).alias("network_text"))
+    both = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("capture_id")).agg(text(user).alias("dom_text"), F.when(F.count_if(~user) > 0, text(~user)).alias("network_text"))
     return reconcile.chosen_method(both)
 
 
@@ -234,53 +157,40 @@ i as (select *, sum(o) over (partition by p_brand order by v) as island from o)
 """
 
 
-@_query(_ISLANDS + "select p_brand, island::bigint as island, min(v) as low, max(v) as high, avg(v) as center, count(*) as members from i group by p_brand, island")
+@query(_ISLANDS + "select p_brand, island::bigint as island, min(v) as low, max(v) as high, avg(v) as center, count(*) as members from i group by p_brand, island")
 def column_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.islands(_read(spark, sf_dir, "part").select("p_brand", "p_retailprice"), "p_brand", "p_retailprice")
+    return geometry.islands(read(spark, sf_dir, "part").select("p_brand", "p_retailprice"), "p_brand", "p_retailprice")
 
 
-@_query(_ISLANDS + """,
+@query(_ISLANDS + """,
 c as (select p_brand, island, avg(v) as center from i group by all),
 d as (select p.p_brand, p_partkey, island, abs(center - p_retailprice) as d from part p join c using (p_brand))
 select p_brand, p_partkey, arg_min(island, (d, island))::bigint as island from d group by p_brand, p_partkey""")
 def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
+    part = read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
     return geometry.nearest_island(part, "p_brand", "p_partkey", "p_retailprice")
 
 
-@_query("""
+@query("""
 select event_id, user_id, value, count(value) over w = 3 and max(value) over w - min(value) over w <= 5 and value >= 40 as stable from events window w as (partition by user_id order by ts, event_id rows between 2 preceding and current row)""")
 def stability_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.stable_since(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 5, 40).select("event_id", "user_id", "value", "stable")
+    return reconcile.stable_since(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 5, 40).select("event_id", "user_id", "value", "stable")
 
 
-@_query("""
+@query("""
 with c as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders)
 select o_custkey, o_orderkey, o_totalprice as score from c where r = 1""")
 def best_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("score")).withColumn("order", F.col("o_orderkey"))
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("score")).withColumn("order", F.col("o_orderkey"))
     return reconcile.best_by(rows, "o_custkey", "score", "order", "o_orderkey")
 
 
-@_query("select c.c_custkey, coalesce(l.k, d.k) as parent from customer c left join (select o_custkey, min(o_orderkey) as k from orders where o_orderpriority = '1-URGENT' group by 1) l on l.o_custkey = c_custkey left join (select o_custkey, min(o_orderkey) as k from orders group by 1) d on d.o_custkey = c_custkey")
-def preferred_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders")
-    by = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))).alias("l"), F.min("o_orderkey").alias("d"))
-    return _read(spark, sf_dir, "customer").select("c_custkey").join(by, "c_custkey", "left").select("c_custkey", F.coalesce("l", "d").alias("parent"))
-
-
-@_query("select p_partkey, p_brand from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 45)")
-def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = _read(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
-    return _read(spark, sf_dir, "part").join(linked, "p_partkey", "left_semi").select("p_partkey", "p_brand")
-
-
 # Trees.
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and customers as one tree each region."""
-    region, nation, customer = (_read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    region, nation, customer = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     top = region.select(F.col("r_regionkey").cast("long").alias("tree_id"), F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("label"))
     second = nation.select(F.col("n_regionkey").cast("long").alias("tree_id"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("label"))
     home = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
@@ -300,19 +210,19 @@ flat as (select tree_id, array_to_string(path, '.') as id, case when len(path) >
 """
 
 
-@_query(_TREE + """select tree_id, id, parent, ord::bigint as "order", depth::bigint as depth, id not in (select parent from flat f where f.tree_id = flat.tree_id and parent is not null) as is_leaf, label from flat""")
+@query(_TREE + """select tree_id, id, parent, ord::bigint as "order", depth::bigint as depth, id not in (select parent from flat f where f.tree_id = flat.tree_id and parent is not null) as is_leaf, label from flat""")
 def tree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = trees.flattened(trees.paths(spark, _hierarchy(spark, sf_dir)))
     return flat.select("tree_id", "id", "parent", F.col("order").cast("long").alias("order"), F.col("depth").cast("long").alias("depth"), "is_leaf", "label")
 
 
-@_query(_TREE + "select tree_id, md5(string_agg(repeat('  ', depth) || '- ' || label, chr(10) order by path) || chr(10)) as digest, count(*) as n_lines from flat group by tree_id")
+@query(_TREE + "select tree_id, md5(string_agg(repeat('  ', depth) || '- ' || label, chr(10) order by path) || chr(10)) as digest, count(*) as n_lines from flat group by tree_id")
 def tree_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = trees.outline(trees.flattened(trees.paths(spark, _hierarchy(spark, sf_dir))))
     return out.select("tree_id", F.md5("outline").alias("digest"), (F.size(F.split("outline", "\n")) - 1).cast("long").alias("n_lines"))
 
 
-@_query(_TREE + """select tree_id, count(*) as node_count, count(*) filter (depth = 2 or (depth = 1 and id not in (select parent from flat g where g.tree_id = flat.tree_id and parent is not null)) or (depth = 0 and not exists (select 1 from flat g where g.tree_id = flat.tree_id and g.depth = 1))) as leaf_count, max(depth)::bigint as max_depth,
+@query(_TREE + """select tree_id, count(*) as node_count, count(*) filter (depth = 2 or (depth = 1 and id not in (select parent from flat g where g.tree_id = flat.tree_id and parent is not null)) or (depth = 0 and not exists (select 1 from flat g where g.tree_id = flat.tree_id and g.depth = 1))) as leaf_count, max(depth)::bigint as max_depth,
   count(*) filter (depth = 1) as bilingual_nodes, count(*) filter (depth <> 1) as en_only, array_to_string(list(id order by path) filter (depth <> 1)[:60], ',') as untranslated_ids from flat group by tree_id""")
 def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = trees.flattened(trees.paths(spark, _hierarchy(spark, sf_dir)))
@@ -321,144 +231,39 @@ def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("tree_id", "node_count", "leaf_count", F.col("max_depth").cast("long").alias("max_depth"), "bilingual_nodes", "en_only", F.array_join("untranslated_ids", ",").alias("untranslated_ids"))
 
 
-@_query("""select * from (values
-  ('Cell (خلية): basic unit (وحدة أساسية)', 'en', 'خلية: وحدة أساسية', 'Cell: basic unit'),
-  ('خلية (Living cell): وحدة (the basic unit)', 'ar', 'خلية: وحدة', 'Living cell: the basic unit'),
-  ('Title: text (عنوان: نص)', 'en', 'عنوان: نص', 'Title: text'), ('مستقبل (II)', 'ar', 'مستقبل (II)', ''),
-  ('at 10:30 (a (b', 'en', '', 'at 10:30 (a (b'), ('(نص فقط)', 'en', '(نص فقط)', ''), ('', 'ar', '', ''),
-  ('name: a (b: c) d', 'en', '', 'name: a (b: c) d')) as t(label, primary_lang, ar, en)""")
-def label_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixtures.labels(spark).where("label is not null").select("label", labels.node_of(F.col("label")).alias("n"))
-    return found.select("label", F.col("n.primary").alias("primary_lang"), "n.ar", "n.en")
-
-
-@_query("""select event_id::varchar as capture_id, json_extract_string(props, '$.k')::bigint as k from events where json_extract(props, '$.k') is not null""")
-def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _read(spark, sf_dir, "events")
-    k = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")
-    return events.select(F.col("event_id").cast("string").alias("capture_id"), k.alias("k")).where("k is not null")
-
-
-@_query(r"""
+@query(r"""
 with m as (select source, doc_id, '# ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || '- ' || replace(text, chr(10), chr(10) || '- ') as m from documents),
 l as (select *, string_split(m, chr(10)) as l from m where length(m) > 300),
 s as (select *, case when len(l) < 6 then 0.0 else len(list_filter(l, lambda x: regexp_matches(x, '^\s*(#{1,6}\s|[*\-•]\s|\d+[.)]\s|\|)'))) / len(l) * least(1.0::double, length(m) / 3000) + 0.5::double end as score from l)
 select source as capture_id, source as url, max(score) as score, arg_min(md5(m), (-score, doc_id)) as digest from s group by source having max(score) >= 0.25""")
 def mined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
     text = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\n\n- "), F.regexp_replace("text", "\n", "\n- "))
     body = F.concat(F.lit(")]}'\n"), F.to_json(F.struct(F.array(text).alias("answers"))))
     found = json_mining.markdown_of_captures(docs.select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), body.alias("body")))
     return found.select("capture_id", "url", "score", F.md5("markdown").alias("digest"))
 
 
-def _dotted(c: str) -> Column:
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
-
-
-@_query("select * from (values ('x', '1', 'Root'), ('x', '1.1', 'A'), ('x', '1.1.1', 'A1'), ('x', '1.2', 'B')) as t(capture_id, id, label)")
-def mined_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = json_mining.nodes_of_trees(json_mining.trees_of_captures(fixtures.bodies(spark)))
-    return found.select("capture_id", _dotted("path").alias("id"), "label")
-
-
-@_query("select 'm' as capture_id, id, label, 1.0::double as confidence from (values ('1', 'Root'), ('1.1', 'Left'), ('1.1.1', 'One'), ('1.1.2', 'Two'), ('1.2', 'Right'), ('1.2.1', 'Three more')) as t(id, label)")
-def map_from_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.maps_of_captures(*fixtures.fragments_and_links(spark)).select("capture_id", _dotted("path").alias("id"), "label", "confidence")
-
-
-@_query()
-def level_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation as parents and its customers as children, by their balances."""
-    import pandas as pd
-
-    parents = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("y"), F.lit(True).alias("up"), F.col("s_suppkey").alias("id"))
-    children = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("y"), F.lit(False).alias("up"), F.col("c_custkey").alias("id"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "id"])
-        up, down = rows[rows.up], rows[~rows.up]
-        found = geometry.assign(up.y.tolist(), down.y.tolist()) if len(up) else [None] * len(down)
-        ids = up.id.tolist()
-        return pd.DataFrame({"level": down.k, "child": down.id, "parent": [None if j is None else ids[j] for j in found]}).astype({"parent": "Int64"})
-
-    return parents.union(children).groupBy("k").applyInPandas(run, "level int, child long, parent long")
-
 
 # Quizzes.
 
 
-@_query(r"""
+@query(r"""
 with t as (select conv_id, turn, string_split(text, chr(10)) as l, lead(string_split(text, chr(10))) over (partition by conv_id order by turn) as n from conversations)
 select conv_id, turn, (list_reduce(list_prepend({'j': 0, 'k': 0, 'x': ''}, list_transform(list_concat(l, n), lambda x: {'j': 0, 'k': 0, 'x': x})), lambda a, y: case when l[a.j + 1] = y.x then {'j': a.j + 1, 'k': a.k, 'x': ''} else {'j': a.j, 'k': a.k + 1, 'x': ''} end)).k::bigint as n_added from t where n is not null""")
 def ordered_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a text that repeats the one before it adds to it."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n").alias("l"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n").alias("l"))
     both = turns.withColumn("n", F.lead("l").over(Window.partitionBy("conv_id").orderBy("turn"))).where("n is not null")
     return both.select("conv_id", "turn", F.size(quiz.added_lines(F.col("l"), F.concat("l", "n"))).cast("long").alias("n_added"))
 
 
-@_query("select * from (values (1, 'What is this?', 'ما هذا؟'), (2, 'Add now. Then stir.', 'أضف 0.1 N HCl إلى الماء'), (3, '12', 'نص.'), (4, 'A sentence that ends here, long enough.', 'سطر أول سطر ثان'), (5, '', ''), (6, 'one , two', '')) as t(id, en, ar)".replace("'one , two'", "'one, two'"))
-def bilingual_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.lines(spark).select("id", quiz.bilingual(F.col("lines")).alias("b")).select("id", "b.en", "b.ar")
-
-
-@_query("""select * from (values
-  ('a', 1, 'q001', 'What is 2 + 2?', 'كم يساوي 2 + 2؟', 'Count your fingers', 2, 'B', 'Four', 'Two and two', ''),
-  ('a', 2, 'q002', '', '', '', 2, 'A', 'x', 'why', 'empty_question,missing_explanation'),
-  ('b', 1, 'q001', 'No options here', '', '', 0, '', '', '', 'options_lt_2,no_correct_answer')) as t(capture_id, step, id, question_en, question_ar, hint_en, n_options, keys, answer_en, explanation_en, warnings)""")
-def quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quiz.checked(quiz.until_repeated(quiz.questions(fixtures.quiz_states(spark))))
-    parts = {"question_en": "question.en", "question_ar": "question.ar", "hint_en": "hint.en", "answer_en": "answer.text.en", "explanation_en": "answer.explanation.en"}
-    lists = [F.size("options").alias("n_options"), F.array_join("answer.keys", ",").alias("keys"), F.array_join("warnings", ",").alias("warnings")]
-    return found.select("capture_id", "step", "id", *[F.col(c).alias(name) for name, c in parts.items()], *lists)
-
-
-@_query("select 'a' as capture_id, 3 as total_declared, 2::bigint as total_extracted, 2::bigint as warnings_count")
-def quiz_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quiz.summary(quiz.checked(quiz.until_repeated(quiz.questions(fixtures.quiz_states(spark)).where("capture_id = 'a'"))))
-
-
-@_query()
-def quiz_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quiz.as_text(quiz.until_repeated(quiz.questions(fixtures.quiz_states(spark))))
-
-
-@_query("select * from (values ('3 / 10', 3, 10, false, false), ('Right answer!', 0, 0, true, false), ('not quite', 0, 0, false, true), ('correct answer', 0, 0, true, false), ('incorrect', 0, 0, false, true), ('إجابة صحيحة', 0, 0, true, false), ('غير صحيحة.', 0, 0, false, true), ('7/', 0, 0, false, false)) as t(line, number, total, is_right, is_wrong)")
-def verdicts_and_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("3 / 10", "Right answer!", "not quite", "correct answer", "incorrect", "إجابة صحيحة", "غير صحيحة.", "7/")], "line string")
-    return rows.select("line", T.counter(F.col("line")).alias("c"), T.says_right(F.col("line")).alias("is_right"), T.says_wrong(F.col("line")).alias("is_wrong")).select("line", F.coalesce("c.number", F.lit(0)).alias("number"), F.coalesce("c.total", F.lit(0)).alias("total"), "is_right", "is_wrong")
-
-
-@_query(r"select * from (values ('\frac{1}{2} \times x^{2}', '(1)/(2) × x²'), ('\sqrt{x}_{ij}', '√(x)_(ij)'), ('\text{H}_2O \geq 5\%', 'H₂O ≥ 5%'), ('\alpha^n + \unknown', 'αⁿ + unknown')) as t(source, plain)")
-def tex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in (r"\frac{1}{2} \times x^{2}", r"\sqrt{x}_{ij}", r"\text{H}_2O \geq 5\%", r"\alpha^n + \unknown")], "source string")
-    return rows.select("source", tex.tex(F.col("source")).alias("plain"))
-
-
-@_query()
-def failed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = report_blocks.blocks_of(_read(spark, sf_dir, "documents"), "doc_id", "text")
-    made = report_blocks.statistics(blocks).select(F.col("doc_id").alias("id"), "chars", F.lit(1).alias("blocks"))
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    captures = docs.join(made, "id", "left").select(F.col("id").cast("string").alias("capture_id"), F.lit("report").alias("kind"), F.lit("").alias("page_url"), "blocks", "chars", *[F.lit(None).cast("int").alias(c) for c in ("nodes", "tree_size", "questions")])
-    return reconcile.failures(captures)
-
-
 # From captures to documents.
 
 
-def _pages_as_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pages as report captures, four frames a capture; the documents' Markdown of the same number as their network bodies."""
-    pages = _read(spark, sf_dir, "pages")
-    number = F.floor(F.col("page_id") / 4).cast("string")
-    dom = pages.select(number.alias("capture_id"), F.pmod("page_id", F.lit(4)).cast("int").alias("frame_id"), F.lit(0).alias("snap_seq"), "html")
-    own = pages.groupBy(number.alias("capture_id")).agg(F.min_by("url", "page_id").alias("share_url"))
-    caps = own.select("capture_id", F.lit("report").alias("kind"), "share_url", F.lit("report").alias("base"), F.lit("Page - x").alias("page_title"), F.col("share_url").alias("page_url"), F.lit(None).cast("timestamp").alias("captured_at"))
-    docs = _read(spark, sf_dir, "documents").join(own.select(F.col("capture_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    body = F.to_json(F.array(F.concat(F.lit("# T\n\n- "), F.regexp_replace("text", "\n", "\n- "))))
-    net = docs.select(F.col("doc_id").cast("string").alias("capture_id"), F.lit(1).alias("seq"), F.lit("http://h/body?x=1").alias("url"), F.lit("xhr").alias("resource_type"), body.alias("body"))
-    return caps, dom, net
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as frames of captures, four each."""
+    return read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 4).cast("string").alias("capture_id"), F.pmod("page_id", F.lit(4)).cast("int").alias("frame_id"), F.lit(0).alias("snap_seq"), "html")
 
 
 _SCORES = r"""
@@ -468,78 +273,38 @@ s as (select page_id, sum(length(trim(replace(replace(replace(replace(t, '&quot;
 """
 
 
-@_query(_SCORES + "select page_id, score from s")
+@query(_SCORES + "select page_id, score from s")
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", html_blocks.score_of(F.col("html")).alias("score"))
+    return read(spark, sf_dir, "pages").select("page_id", html_blocks.score_of(F.col("html")).alias("score"))
 
 
-@_query(_SCORES + "select (page_id // 4)::varchar as capture_id, arg_min(page_id % 4, (-score, page_id))::int as frame_id, max(score) as score, arg_min(md5(html), (-score, page_id)) as digest from s join pages using (page_id) group by 1")
+@query(_SCORES + "select (page_id // 4)::varchar as capture_id, arg_min(page_id % 4, (-score, page_id))::int as frame_id, max(score) as score, arg_min(md5(html), (-score, page_id)) as digest from s join pages using (page_id) group by 1")
 def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captures.best_frames(_pages_as_captures(spark, sf_dir)[1]).select("capture_id", "frame_id", "score", F.md5("html").alias("digest"))
-
-
-@_query()
-def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, meta, _ = reports.reports(*_pages_as_captures(spark, sf_dir))
-    kept = meta.drop("doc_id", "extracted_at", "block_counts", "text_blocks_by_lang", "warnings")
-    return kept.join(meta.select("capture_id", F.to_json("block_counts").alias("block_counts"), F.array_join("warnings", ",").alias("warnings")), "capture_id")
-
-
-@_query()
-def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import datetime
-
-    blocks, meta, _ = reports.reports(*_pages_as_captures(spark, sf_dir), at=datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC))
-    return reports.report_json(blocks, meta)
-
-
-@_query()
-def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_summary(reports.reports(*_pages_as_captures(spark, sf_dir))[1])
-
-
-@_query()
-def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import datetime
-
-    flat = reports.maps(*fixtures.fragments_and_links(spark), fixtures.bodies(spark))
-    return reports.map_json(flat, at=datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC))
-
-
-@_query()
-def quiz_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quiz.as_json(reports.quizzes(fixtures.quiz_states(spark))[0])
-
-
-@_query()
-def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages read as quiz pages: what options a page holds."""
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("capture_id"), F.lit(1).alias("step"), F.lit("pre").alias("phase"), "html")
-    return quiz_html.states_of(pages).select("capture_id", "step", F.length("root").alias("chars"), F.size("options").alias("n_options"))
+    return captures.best_frames(_frames(spark, sf_dir)).select("capture_id", "frame_id", "score", F.md5("html").alias("digest"))
 
 
 # Streams.
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = _read(spark, sf_dir, "events").schema
+    schema = read(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")  # a pattern, since a stream's path can't be one file
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@_query("select date_trunc('hour', ts) as start, count(*) as n from events group by 1")
+@query("select date_trunc('hour', ts) as start, count(*) as n from events group by 1")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = streams.windowed_counts(_event_stream(spark, sf_dir), "ts")
     return streams.run_through(counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@_query("select distinct user_id::varchar as capture_id, length(event_type)::int as number from events")
+@query("select distinct user_id::varchar as capture_id, length(event_type)::int as number from events")
 def stream_distinct_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("capture_id"), F.length("event_type").alias("number"), "ts")
     return streams.run_through(streams.distinct_questions(events, "ts"), "append").select("capture_id", "number")
 
 
-@_query("""
+@query("""
 select user_id::varchar as capture_id, event_id as seq, value as score, count(value) over w = 3 and max(value) over w - min(value) over w <= 5 and value >= 40 as stable
 from events window w as (partition by user_id order by event_id rows between 2 preceding and current row)""")
 def stream_stability(spark: SparkSession, sf_dir: str) -> DataFrame:

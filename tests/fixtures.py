@@ -6,25 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-LABELS = ["Cell (خلية): basic unit (وحدة أساسية)", "خلية (Living cell): وحدة (the basic unit)", "Title: text (عنوان: نص)", "مستقبل (II)", "at 10:30 (a (b", "(نص فقط)", "", None, "name: a (b: c) d"]
-
-
-def labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in LABELS], "label string")
-
-
-def lines(spark: SparkSession) -> DataFrame:
-    rows = [
-        (1, ["What is this?", "ما هذا؟"]),
-        (2, ["Add now.", "Then stir.", "أضف", "0.1 N HCl", "إلى الماء"]),
-        (3, ["نص.", "12"]),
-        (4, ["A sentence that ends here, long enough.", "سطر أول", "سطر ثان"]),
-        (5, []),
-        (6, ["one", ", two"]),
-    ]
-    return spark.createDataFrame(rows, "id int, lines array<string>")
-
-
 def bodies(spark: SparkSession) -> DataFrame:
     small = {"name": "root", "children": [{"name": "a"}, {"name": "b"}]}
     tree = {"title": "Root", "nodes": [{"label": "A", "items": [{"text": "A1"}, {"no": 1, "children": [{"name": "lost"}]}]}, {"name": "B"}]}
