@@ -44,6 +44,8 @@ _IMPLIED = {
 _CLOSES_P = BLOCK_TAGS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 _BOUNDS_P = {"body", "div", "td", "th", "li", "article", "section", "blockquote"}
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
+#: What a page may raise in the parser or in readers: markup that they give up on, or numbers beyond all types.
+UNREADABLE = (ValueError, AssertionError, RecursionError, OverflowError)
 _NUMBER = re.compile(r"\s*([+-]?[0-9]{1,18})(?![0-9])")
 _DECLARATION = re.compile(r"([a-z-]+)\s*:\s*([^;]+)")
 

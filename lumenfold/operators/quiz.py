@@ -98,7 +98,9 @@ def questions(states: DataFrame, reveal: bool = True, hints: bool = True) -> Dat
     """One row for each step: number, total, stem, hint, options, correct, and raw lines where there are no options.
 
     The phases of a step meet by one aggregation on (capture_id, step). Of options
-    that only the revealed state has, nothing is taken.
+    that only the revealed state has, nothing is taken. Null roots and options are
+    empty; a step without a pre state has no number; of a phase that repeats, one of
+    its rows counts; an empty table gives an empty result; other columns are ignored.
     """
     parsed = parsed_states(states)
     phase = lambda name, c: F.max_by(F.when(F.col("phase") == name, F.col(c)), F.col("phase") == name)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,35 +76,48 @@ def _merged(snaps: list[list[dict[str, Any]]], size: int | None) -> tuple[list[d
 
 
 def merged_pages(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
-    """capture_id, blocks (JSON list), visible, reordered, unread: snapshots (capture_id, snap_seq, blocks, score) merged, one capture at a time.
+    """capture_id, blocks (JSON list), visible, reordered, unread: snapshots (capture_id, snap_seq, blocks, score) merged.
 
     A snapshot without blocks counts as one; null blocks are those of a page that
-    couldn't be read, which unread tells; visible is the highest score.
+    couldn't be read, which unread tells; visible is the highest score. The snapshots of
+    a capture meet in one row.
     """
     size = None if full_signature else SIGNATURE
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        merged, timed = _merged([json.loads(b or "[]") for b in rows.sort_values("snap_seq")["blocks"]], size)
-        return pd.DataFrame({"capture_id": [key[0]], "blocks": [json.dumps(merged, ensure_ascii=False)], "visible": [rows["score"].max()], "reordered": [timed], "unread": [rows["blocks"].isna().any()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                merged, timed = _merged([json.loads(s["blocks"] or "[]") for s in batch.column(1)[i].as_py()], size)
+                kept = batch.slice(i, 1)
+                columns = [kept.column(0), pa.array([json.dumps(merged, ensure_ascii=False)], pa.string()), kept.column(2), pa.array([timed]), kept.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "blocks", "visible", "reordered", "unread"])
 
-    return snapshots.groupBy("capture_id").applyInPandas(merge, "capture_id string, blocks string, visible long, reordered boolean, unread boolean")
+    one = F.array_sort(F.collect_list(F.struct("snap_seq", "blocks")))
+    rows = snapshots.groupBy(F.col("capture_id").cast("string").alias("capture_id")).agg(one.alias("snapshots"), F.max("score").cast("long").alias("visible"), F.bool_or(F.col("blocks").isNull()).alias("unread"))
+    return rows.mapInArrow(run, "capture_id string, blocks string, visible long, reordered boolean, unread boolean")
 
 
 def merged_captures(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
-    """capture_id, pos, block (JSON), reordered: snapshots (capture_id, snap_seq, ord, block) merged, one capture at a time.
+    """capture_id, pos, block (JSON), reordered: snapshots (capture_id, snap_seq, ord, block) merged.
 
     See _merged for their order. Null blocks are none; rows that repeat count once for
-    their signature; captures without rows have no blocks.
+    their signature; captures without rows have no blocks. The blocks of a capture meet
+    in one row.
     """
     size = None if full_signature else SIGNATURE
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["snap_seq", "ord"])
-        snaps = [[json.loads(b) for b in g["block"] if b] for _, g in ordered.groupby("snap_seq", sort=True)]
-        merged, timed = _merged(snaps, size)
-        return pd.DataFrame({"capture_id": [key[0]] * len(merged), "pos": range(1, len(merged) + 1), "block": [json.dumps(b, ensure_ascii=False) for b in merged], "reordered": [timed] * len(merged)})
-
-    return snapshots.groupBy("capture_id").applyInPandas(merge, "capture_id string, pos int, block string, reordered boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for capture, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                snaps = [[json.loads(r["block"]) for r in own if r["block"]] for _, own in groupby(rows.as_py(), lambda r: r["snap_seq"])]
+                merged, timed = _merged(snaps, size)
+                n = len(merged)
+                columns = [pa.array([capture] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array([json.dumps(b, ensure_ascii=False) for b in merged], pa.string()), pa.array([timed] * n, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "pos", "block", "reordered"])
+
+    one = F.array_sort(F.collect_list(F.struct("snap_seq", "ord", "block")))
+    rows = snapshots.groupBy(F.col("capture_id").cast("string").alias("capture_id")).agg(one.alias("rows"))
+    return rows.mapInArrow(run, "capture_id string, pos int, block string, reordered boolean")
 
 
 def chosen_method(candidates: DataFrame) -> DataFrame:

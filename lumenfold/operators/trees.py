@@ -1,36 +1,42 @@
-"""Trees as tables: ids by path, order, leaves, outlines and their quality. Native."""
+"""Trees as tables: paths level by level, ids, order, leaves, outlines and their quality. Native."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.sources.tables import written
 
-def paths(spark: SparkSession, nodes: DataFrame, levels: int = 30) -> DataFrame:
-    """nodes (tree_id, node_id, parent_id, ord, label) with path, an array of places from the root, by a recursive query.
 
-    Siblings are placed by ord, then node_id. Roots have a null parent and are
-    placed among each other. Nodes that no root reaches are left out. A tree deeper
-    than levels fails rather than being cut.
+def paths(nodes: DataFrame, levels: int = 30) -> DataFrame:
+    """nodes (tree_id, node_id, parent_id, ord, label) with path, an array of places from the root: tree_id, node_id, label, path.
+
+    Level by level: each is joined to the nodes below it and written, until one is
+    empty. Siblings are placed by ord, then node_id. Roots have a null parent and are
+    placed among each other. Nodes that no root reaches are left out; an empty table has
+    no paths; a repeated row is a sibling with the same children. A tree deeper than
+    levels fails rather than being cut.
     """
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels + 1))
     own = Window.partitionBy("tree_id", "parent_id").orderBy("ord", "node_id")
-    placed = nodes.withColumn("place", F.row_number().over(own))
-    return spark.sql(
-        """
-        with recursive walk as (
-          select tree_id, node_id, parent_id, label, place, array(place) as path from {placed} where parent_id is null
-          union all
-          select n.tree_id, n.node_id, n.parent_id, n.label, n.place, concat(w.path, array(n.place))
-          from walk w join {placed} n on n.tree_id = w.tree_id and n.parent_id = w.node_id)
-        select tree_id, node_id, label, path from walk""",
-        placed=placed,
-    )
+    placed = written(nodes.withColumn("place", F.row_number().over(own)).select("tree_id", "node_id", "parent_id", "label", "place"))
+    names = ["tree_id", "node_id", "label", "path"]
+    level = written(placed.where("parent_id is null").withColumn("path", F.array("place")).select(names))
+    out = level
+    below = placed.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("up"), "node_id", "label", "place")
+    for _ in range(levels):
+        above = level.select("tree_id", F.col("node_id").alias("up"), F.col("path").alias("up_path"))
+        level = written(below.join(above, ["tree_id", "up"]).withColumn("path", F.concat("up_path", F.array("place"))).select(names))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"a tree has more than {levels} levels")
 
 
 def flattened(walked: DataFrame) -> DataFrame:
-    """Paths as ids such as 1.2.3: tree_id, id, parent, order from 0, depth from 0, is_leaf, and the label."""
+    """Paths as ids such as 1.2.3: tree_id, id, parent, order from 0, depth from 0, is_leaf, and the label.
+
+    An empty table has no rows; null labels stay null; a repeated path gives its row again.
+    """
     dotted = lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), ".")
     up = F.slice("path", F.lit(1), F.size("path") - 1)
     rows = walked.withColumn("id", dotted(F.col("path"))).withColumn("parent", F.when(F.size("path") > 1, dotted(up)))

@@ -18,10 +18,15 @@ def _text(*parts: Column | str) -> Column:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """c_custkey, c_name, c_mktsegment, o: the customer's orders as (key, status), sorted."""
+    """c_custkey, c_name, c_mktsegment, o: the customer's orders as (key, status), sorted.
+
+    The documents that are built from a row are far larger than the row, so rows are
+    dealt to all cores rather than to as few tasks as their bytes need.
+    """
     orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))).alias("o"))
     none = F.array().cast("array<struct<key:bigint,status:string>>")
-    return read(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select("c_custkey", "c_name", "c_mktsegment", F.coalesce("o", none).alias("o"))
+    rows = read(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select("c_custkey", "c_name", "c_mktsegment", F.coalesce("o", none).alias("o"))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "c_custkey")
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

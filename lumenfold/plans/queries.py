@@ -212,20 +212,20 @@ flat as (select tree_id, array_to_string(path, '.') as id, case when len(path) >
 
 @query(_TREE + """select tree_id, id, parent, ord::bigint as "order", depth::bigint as depth, id not in (select parent from flat f where f.tree_id = flat.tree_id and parent is not null) as is_leaf, label from flat""")
 def tree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = trees.flattened(trees.paths(spark, _hierarchy(spark, sf_dir)))
+    flat = trees.flattened(trees.paths(_hierarchy(spark, sf_dir)))
     return flat.select("tree_id", "id", "parent", F.col("order").cast("long").alias("order"), F.col("depth").cast("long").alias("depth"), "is_leaf", "label")
 
 
 @query(_TREE + "select tree_id, md5(string_agg(repeat('  ', depth) || '- ' || label, chr(10) order by path) || chr(10)) as digest, count(*) as n_lines from flat group by tree_id")
 def tree_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trees.outline(trees.flattened(trees.paths(spark, _hierarchy(spark, sf_dir))))
+    out = trees.outline(trees.flattened(trees.paths(_hierarchy(spark, sf_dir))))
     return out.select("tree_id", F.md5("outline").alias("digest"), (F.size(F.split("outline", "\n")) - 1).cast("long").alias("n_lines"))
 
 
 @query(_TREE + """select tree_id, count(*) as node_count, count(*) filter (depth = 2 or (depth = 1 and id not in (select parent from flat g where g.tree_id = flat.tree_id and parent is not null)) or (depth = 0 and not exists (select 1 from flat g where g.tree_id = flat.tree_id and g.depth = 1))) as leaf_count, max(depth)::bigint as max_depth,
   count(*) filter (depth = 1) as bilingual_nodes, count(*) filter (depth <> 1) as en_only, array_to_string(list(id order by path) filter (depth <> 1)[:60], ',') as untranslated_ids from flat group by tree_id""")
 def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = trees.flattened(trees.paths(spark, _hierarchy(spark, sf_dir)))
+    flat = trees.flattened(trees.paths(_hierarchy(spark, sf_dir)))
     told = flat.withColumn("en", F.col("label")).withColumn("ar", F.when(F.col("depth") == 1, "بلد").otherwise("")).withColumn("primary", F.lit("en"))
     q = trees.quality(told)
     return q.select("tree_id", "node_count", "leaf_count", F.col("max_depth").cast("long").alias("max_depth"), "bilingual_nodes", "en_only", F.array_join("untranslated_ids", ",").alias("untranslated_ids"))

@@ -131,7 +131,11 @@ def report_json(blocks: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def maps(frags: DataFrame, links: DataFrame, net_bodies: DataFrame) -> DataFrame:
-    """tree_id, id, parent, order, depth, is_leaf, label and the parsed label's parts, of the better of both candidates."""
+    """tree_id, id, parent, order, depth, is_leaf, label and the parsed label's parts, of the better of both candidates.
+
+    Captures with neither fragments that make a map nor a tree in a body have no rows;
+    null texts and bodies are none; repeated bodies change nothing.
+    """
     dom = geometry.maps_of_captures(frags, links).select("capture_id", "path", "label")
     net = json_mining.nodes_of_trees(json_mining.trees_of_captures(bodies_for(net_bodies, "map")))
     size = lambda t, name: t.groupBy("capture_id").agg(F.count("*").alias(name))
@@ -167,7 +171,7 @@ def map_json(flat: DataFrame, at: datetime | None = None) -> DataFrame:
 
 
 def quizzes(states: DataFrame, reveal: bool = True, hints: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(written questions, summary, text) of quiz captures."""
+    """(written questions, summary, text) of quiz captures. Captures without a numbered question have no rows; see quiz.questions."""
     found = quiz.until_repeated(quiz.questions(states, reveal, hints))
     written = quiz.checked(found, reveal)
     return written, quiz.summary(written), quiz.as_text(found)

@@ -274,3 +274,30 @@ def test_titles(spark):
 
     rows = spark.createDataFrame([("Maker - A | B",)], "t string")
     assert tuple(rows.select(T.title_stem(F.col("t")), T.page_title(F.col("t"), "Maker"), T.page_title(F.col("t"))).first()) == ("Maker", "A | B", "Maker - A | B")
+
+
+def test_nothing_of_nothing(spark):
+    """Empty tables, nulls in every column, and columns with names of results."""
+    from lumenfold.operators import geometry, json_mining, quiz_html, trees
+
+    none = {t: spark.createDataFrame([], captures.SCHEMAS[t]) for t in captures.SCHEMAS}
+    nulls = {t: spark.createDataFrame([(None,) * len(none[t].columns)], captures.SCHEMAS[t]) for t in captures.SCHEMAS}
+    blocks, meta, failed = reports.reports(none["captures"], none["dom_html"], none["net_bodies"])
+    assert [df.count() for df in (blocks, meta, failed)] == [0, 0, 0]
+    blocks, meta, failed = reports.reports(nulls["captures"], nulls["dom_html"], nulls["net_bodies"])
+    assert [df.count() for df in (blocks, meta, failed)] == [0, 0, 0]
+    assert reports.maps(none["frags"], none["links"], none["net_bodies"]).collect() == []
+    assert geometry.maps_of_captures(none["frags"], none["links"]).collect() == []
+    assert json_mining.trees_of_captures(nulls["net_bodies"]).collect() == []
+    assert json_mining.markdown_of_captures(nulls["net_bodies"].withColumn("markdown", F.lit(1)).withColumn("score", F.lit(2))).collect() == []
+    for states in (none["quiz_states"], nulls["quiz_states"]):
+        written, summary, text = reports.quizzes(states)
+        assert [df.count() for df in (written, summary, text)] == [0, 0, 0]
+    pages = spark.createDataFrame([(None, None, None, None), ("c", 1, "pre", ""), ("c", 1, "pre", "")], "capture_id string, step int, phase string, html string")
+    assert [(r.root.strip(), r.options) for r in quiz_html.states_of(pages.withColumn("root", F.lit(3))).collect()] == [("", [])] * 3
+    assert trees.flattened(spark.createDataFrame([], "tree_id string, path array<int>, label string")).collect() == []
+    assert reports.diagnostics(none["captures"], nulls["dom_html"], nulls["net_bodies"]).collect() == []
+    assert reconcile.merged_captures(spark.createDataFrame([("c", 1, 1, None)], "capture_id string, snap_seq int, ord int, block string")).collect() == []
+    assert reconcile.failures(spark.createDataFrame([(None,) * 8], "capture_id string, kind string, page_url string, blocks int, chars int, nodes int, tree_size int, questions int")).collect() == []
+    assert captures.best_frames(nulls["dom_html"]).count() == captures.best_read(nulls["dom_html"]).count() == 1
+    assert captures.links_of_paths(nulls["links"]).collect() == []

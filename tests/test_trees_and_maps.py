@@ -187,3 +187,14 @@ def test_islands_at_the_border(spark):
     rows = [("a", x) for x in (0.5, 1.5, 10.4, 12.0, 23.0, 23.4)]
     found = geometry.islands(spark.createDataFrame(rows, "k string, v double"), "k", "v").orderBy("island").collect()
     assert [(r.low, r.high, r.members) for r in found] == [(0.0, 12.0, 4), (23.0, 23.0, 1)]
+
+
+def test_paths_level_by_level(spark):
+    rows = [("t", "a", None, 1, "A"), ("t", "b", "a", 2, "B"), ("t", "c", "a", 1, "C"), ("t", "d", "b", 1, None), ("t", "lost", "gone", 1, "L"), ("u", "a", None, 5, "U"), ("u", "z", None, 4, "Z")]
+    schema = "tree_id string, node_id string, parent_id string, ord int, label string"
+    got = trees.paths(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.tree_id, r.node_id, tuple(r.path)) for r in got) == [("t", "a", (1,)), ("t", "b", (1, 2)), ("t", "c", (1, 1)), ("t", "d", (1, 2, 1)), ("u", "a", (2,)), ("u", "z", (1,))]
+    assert trees.paths(spark.createDataFrame([], schema)).collect() == []
+    chain = [("t", str(i), str(i - 1) if i else None, 1, "x") for i in range(6)]
+    with pytest.raises(ValueError, match="levels"):
+        trees.paths(spark.createDataFrame(chain, schema), levels=3)
