@@ -57,12 +57,12 @@ def test_without_broadcasts(spark, monkeypatch):
     assert decontaminate.without_leaks(docs, items).count() < docs.count()
 
 
-def test_blocks_of_items(spark, monkeypatch):
+def test_leaks_beyond_what_is_broadcast(spark, monkeypatch):
     rows = corpus(12)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join((t or "").split()[:12])) for i, t in rows[:30]], "item_id long, text string")
     whole = sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 1)
     assert sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect()) == whole
     assert whole
 
