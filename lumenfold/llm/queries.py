@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import language, lm, quality_model, toxicity, url_filter
+from lumenfold.llm import filter_audit, language, lm, quality_model, toxicity, url_filter
 from lumenfold.llm.bpe import digests
 from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
@@ -71,6 +71,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -135,4 +140,20 @@ s as (select mean, least(greatest(case when between_hosts > 0 then mean * (1 - m
 v as (select source, (f + mean * size) / (n + size) as rate from h, s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(rate, 0) <= 0.5 as kept
 from b left join v using (source)""",
+    "op12_filter_audit": r"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by text) as first from t),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), doc_id > first] as f from w left join l using (doc_id)),
+c as (select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, f),
+x as (select unnest(range(1, 6)) as x),
+p as (select [a.x, b.x, c.x, d.x, e.x] as p from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+o as (select array_to_string(list_transform(p, lambda i: substr('ABCDE', i::bigint, 1)), '') as filter_order, x.x as step, p[x.x] as own, p[:x.x - 1] as before from p, x),
+r as (select part, filter_order, step, own, n, good, toxic, f[own] as fails, len(list_filter(before, lambda i: f[i])) > 0 as gone, len(list_filter(f, lambda y: y)) as k from c, o),
+s as (select part, filter_order, step, own, coalesce(sum(n) filter (not gone and not fails), 0)::bigint as kept, coalesce(sum(n) filter (not gone and fails), 0)::bigint as removed,
+    coalesce(sum(n) filter (gone and fails), 0)::bigint as redundant, coalesce(sum(n) filter (fails and k = 1), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (not gone and fails), 0)::bigint as good_lost, coalesce(sum(toxic) filter (not gone and fails), 0)::bigint as toxic_lost
+  from r group by part, filter_order, step, own)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from s""",
 }

@@ -13,5 +13,5 @@ def test_like_sql(spark, name):
 
 def test_all_are_registered():
     names = list(__spark_entry__.queries())
-    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == []
     assert "pipeline" in names
