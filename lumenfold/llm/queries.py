@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import filter_audit, language, lm, quality_model, toxicity, url_filter
+from lumenfold.llm import filter_audit, language, lm, quality_model, source_audit, toxicity, url_filter
 from lumenfold.llm.bpe import digests
 from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
@@ -71,6 +71,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -140,6 +145,23 @@ s as (select mean, least(greatest(case when between_hosts > 0 then mean * (1 - m
 v as (select source, (f + mean * size) / (n + size) as rate from h, s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(rate, 0) <= 0.5 as kept
 from b left join v using (source)""",
+    "op11_source_divergence": r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+c as (select id, lang, source, term, count(*) as n from (select id, lang, source, unnest(t) as term from d) group by all),
+k as (select lang, term, sum(n)::hugeint as n from c group by lang, term having count(*) >= 3),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v, sum(n) as n from k group by lang),
+gc as (select c.lang, c.source, c.term, sum(c.n)::hugeint as n from c join k using (lang, term) group by all),
+gn as (select lang, source, sum(n) as n from gc group by all),
+p as (select g.lang, g.source, k.term, coalesce(gc.n, 0) as c, 1 + 1000000000 * (coalesce(gc.n, 0) + 1) // (coalesce(gn.n, 0) + v.v) as p, 1 + 1000000000 * (k.n + 1) // (v.n + v.v) as q
+  from g join k using (lang) join v using (lang) left join gc on gc.lang = g.lang and gc.source = g.source and gc.term = k.term left join gn on gn.lang = g.lang and gn.source = g.source),
+ps as (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+pairs as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(ps.value, 0)::bigint as value from g x join g y on x.lang = y.lang and x.source <> y.source
+  left join ps on ps.lang = x.lang and ps.source = x.source and ps.item = y.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= 200""",
     "op12_filter_audit": r"""
 with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
 w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by text) as first from t),
