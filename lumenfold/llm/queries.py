@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import filter_audit, language, lm, quality_model, source_audit, toxicity, url_filter
+from lumenfold.llm import filter_audit, jaccard_join, language, lm, quality_model, source_audit, toxicity, url_filter
 from lumenfold.llm.bpe import digests
 from lumenfold.llm.chat import formatted, read_back
 from lumenfold.llm.decontaminate import find_leaks
@@ -79,6 +79,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(_documents(spark, sf_dir), words=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -178,4 +183,14 @@ s as (select part, filter_order, step, own, coalesce(sum(n) filter (not gone and
     coalesce(sum(good) filter (not gone and fails), 0)::bigint as good_lost, coalesce(sum(toxic) filter (not gone and fails), 0)::bigint as toxic_lost
   from r group by part, filter_order, step, own)
 select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from s""",
+    "op13_jaccard_join": rf"""
+with recursive w as (select doc_id, {_WORDS} as w from documents),
+s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+e as (select doc_id, unnest(s) as v from s),
+n as (select doc_id, len(s) as n from s),
+i as (select x.doc_id as a, y.doc_id as b, count(*) as i from e x join e y on x.v = y.v and x.doc_id < y.doc_id group by all),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+pairs as (select a, b from l union select b, a from l),
+reach as (select a, b from pairs union select r.a, l.b from reach r join pairs l on r.b = l.a)
+select n.doc_id, n.n::bigint as n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) as component_id from n left join reach r on r.a = n.doc_id group by n.doc_id, n.n""",
 }
