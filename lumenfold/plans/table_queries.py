@@ -251,7 +251,7 @@ def failed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.failures(rows)
 
 
-def _customer_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def customer_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers as report captures: their page beside a smaller frame, in two snapshots; every second has its Markdown in a body."""
     pages = built.html(spark, sf_dir).withColumn("capture_id", F.col("doc_id").cast("string"))
     caps = pages.select("capture_id", F.lit("report").alias("kind"), F.concat(F.lit("http://h/"), "capture_id", F.lit("?q=1")).alias("share_url"), F.lit("report").alias("base"), F.lit("Maker - Page").alias("page_title"), F.lit("http://h").alias("page_url"), F.lit(None).cast("timestamp").alias("captured_at"))
@@ -263,7 +263,7 @@ def _customer_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return caps, dom, net
 
 
-_REPORT = _DOCUMENTS + r""",
+REPORT_SQL = _DOCUMENTS + r""",
 t as (select c_custkey, k, '# ' || c_name || chr(10) || chr(10) || 'The **' || c_mktsegment || '** segment' || chr(10) || 'of `customer` [' || c_custkey || '](http://h/x)' || chr(10) || chr(10)
   || case when len(k) > 0 then array_to_string(list_transform(range(0, len(k)), lambda i: (case when i % 3 = 2 then '  - ' else '- ' end) || 'order *' || k[i + 1] || '*'), chr(10)) || chr(10) || chr(10)
     || '| key | status |' || chr(10) || '|---|---|' || chr(10) || array_to_string(list_transform(range(1, len(k) + 1), lambda i: '| ' || k[i] || ' | ' || s[i] || ' |'), chr(10)) || chr(10) || chr(10) else '' end
@@ -274,29 +274,44 @@ r as (select doc_id, min(text) filter (pos = 1) as title, sum(length(text) + 1):
 """
 
 
-@query(_REPORT + """
+REPORT_META_SQL = REPORT_SQL + """
 select doc_id::varchar as capture_id, title, 'http://h/' || doc_id as source_url, case when net then 'network' else 'dom' end as method, 'Page' as page_title, 1::bigint as hr_dropped, 'ltr' as primary_dir, 'en' as primary_lang, chars, 1::bigint as headings,
-  case when net then 'http://h/body' end as network_source, case when net then 1.0::double end as dom_network_coverage, '' as warnings from r join f on c_custkey = doc_id""")
-def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, meta, _ = reports.reports(*_customer_captures(spark, sf_dir), product="Maker")
+  case when net then 'http://h/body' end as network_source, case when net then 1.0::double end as dom_network_coverage, '' as warnings from r join f on c_custkey = doc_id"""
+
+
+def meta_columns(meta: DataFrame) -> DataFrame:
     return meta.select("capture_id", "title", "source_url", "method", "page_title", "hr_dropped", "primary_dir", "primary_lang", "chars", "headings", "network_source", "dom_network_coverage", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(_REPORT + """
-select doc_id::varchar as capture_id, 'report-1.0' as schema, title, 'b001' as first_id, title as first_heading, 1 as last_level, blocks::int as n_blocks from r""")
-def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written reports, looked into as JSON."""
-    blocks, meta, _ = reports.reports(*_customer_captures(spark, sf_dir), product="Maker", at=AT)
+@query(REPORT_META_SQL)
+def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, meta, _ = reports.reports(*customer_captures(spark, sf_dir), product="Maker")
+    return meta_columns(meta)
+
+
+REPORT_DOCUMENTS_SQL = REPORT_SQL + """
+select doc_id::varchar as capture_id, 'report-1.0' as schema, title, 'b001' as first_id, title as first_heading, 1 as last_level, blocks::int as n_blocks from r"""
+
+
+def looked_into(documents: DataFrame) -> DataFrame:
+    """What reports (capture_id, json) hold."""
     get = lambda path: F.get_json_object("json", path)
     count = F.size(F.from_json(get("$.blocks"), "array<struct<id:string>>"))
-    return reports.report_json(blocks, meta).select("capture_id", get("$.schema").alias("schema"), get("$.meta.title").alias("title"), get("$.outline[0].id").alias("first_id"), get("$.blocks[0].text").alias("first_heading"), get("$.outline[0].level").cast("int").alias("last_level"), count.alias("n_blocks"))
+    return documents.select("capture_id", get("$.schema").alias("schema"), get("$.meta.title").alias("title"), get("$.outline[0].id").alias("first_id"), get("$.blocks[0].text").alias("first_heading"), get("$.outline[0].level").cast("int").alias("last_level"), count.alias("n_blocks"))
+
+
+@query(REPORT_DOCUMENTS_SQL)
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written reports, looked into as JSON."""
+    blocks, meta, _ = reports.reports(*customer_captures(spark, sf_dir), product="Maker", at=AT)
+    return looked_into(reports.report_json(blocks, meta))
 
 
-@query(_REPORT + """
+@query(REPORT_SQL + """
 select doc_id::varchar as capture_id, concat_ws(' | ', blocks::varchar, case when blocks = 7 then 'code=1, heading=1, list=1, paragraph=2, quote=1, table=1' else 'code=1, heading=1, paragraph=2, quote=1' end, '1', case when net then 'network' else 'dom' end, chars::varchar) as line
 from r join f on c_custkey = doc_id""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_summary(reports.reports(*_customer_captures(spark, sf_dir))[1])
+    return reports.report_summary(reports.reports(*customer_captures(spark, sf_dir))[1])
 
 
 @query("""
@@ -304,7 +319,7 @@ select c_custkey::varchar as capture_id, part, ord::bigint as ord, size::bigint
 union all select c_custkey::varchar, 'body', 1, null from customer where c_custkey % 2 = 0""")
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What there is of each capture; sizes of pages and bodies are left out, which other queries check."""
-    found = reports.diagnostics(*_customer_captures(spark, sf_dir)).where("part <> 'text' and not (part = 'frame' and ord = 1)")
+    found = reports.diagnostics(*customer_captures(spark, sf_dir)).where("part <> 'text' and not (part = 'frame' and ord = 1)")
     return found.select("capture_id", "part", "ord", F.when(F.col("part") == "frame", F.col("size")).alias("size"))
 
 
