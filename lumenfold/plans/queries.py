@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import markdown as M
 from lumenfold.functions import text as T
-from lumenfold.operators import geometry, html_blocks, json_mining, quiz, reconcile, report_blocks, trees
-from lumenfold.plans import bundle_queries, table_queries  # noqa: F401  (register their queries)
+from lumenfold.operators import dom_nodes, geometry, html_blocks, json_mining, quiz, reconcile, report_blocks, trees
+from lumenfold.plans import built, bundle_queries, table_queries  # noqa: F401  (register their queries)
 from lumenfold.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 from lumenfold.sources import captures
 from lumenfold.streaming import captures as streams
@@ -283,6 +283,26 @@ def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.best_frames(_frames(spark, sf_dir)).select("capture_id", "frame_id", "score", F.md5("html").alias("digest"))
 
 
+@query(_SCORES + "select page_id, score from s")
+def dom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of pages from tables of their nodes."""
+    return dom_nodes.scores(dom_nodes.nodes_of_html(read(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
+
+
+@query(_SCORES + "select (page_id // 4)::varchar as capture_id, 0 as snap_seq, arg_min(page_id % 4, (-score, page_id))::int as frame_id, max(score) as score from s group by 1")
+def dom_best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_nodes.best_frames(dom_nodes.nodes_of_html(_frames(spark, sf_dir), ["capture_id", "snap_seq", "frame_id"]))
+
+
+@query("""
+with o as (select o_custkey as c_custkey, sum(length(o_orderkey::varchar)) as k, sum(length(o_orderkey::varchar) + length(o_orderstatus)) as t, count(*) as n from orders group by 1),
+c as (select c_custkey, coalesce(5 * n + k, 0) as list, coalesce(9 + t, 0) as tab, 2 * length(c_name) + length(c_mktsegment) + 2 * length(c_custkey::varchar) + 3 + 10 + 8 + 7 + 11 + 16 as rest from customer left join o using (c_custkey))
+select c_custkey as doc_id, case when 100 * tab >= 85 * (list + tab + rest) then 'table' else 'main' end as tag, (case when 100 * tab >= 85 * (list + tab + rest) then tab else list + tab + rest end)::bigint as size from c""")
+def dom_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the content of a customer's page is, by the intervals of its nodes."""
+    return dom_nodes.roots(dom_nodes.nodes_of_html(built.html(spark, sf_dir), ["doc_id"]), ["doc_id"]).select("doc_id", "tag", "size")
+
+
 # Streams.
 
 
