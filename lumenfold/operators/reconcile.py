@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -26,97 +26,178 @@ def _signature(block: dict[str, Any], size: int | None) -> str:
     return json.dumps(block, ensure_ascii=False, sort_keys=True)[:size]
 
 
-def merge_snapshots(snapshots: list[list[dict[str, Any]]], size: int | None = SIGNATURE) -> list[dict[str, Any]]:
-    """The blocks of all snapshots in one order: new blocks go after the last known one before them, or to the front.
+class _Merge:
+    """Blocks of snapshots in one order: new blocks go after the last known one before them, or to the front.
 
-    Known blocks are followed by their signature (the last of equal ones), and a
-    linked list takes new ones, so a snapshot costs its own length.
+    Known blocks are followed by their signature (the last of equal ones), and a linked list takes new ones, so a snapshot costs
+    its own length, and what is held are the blocks of the result.
     """
-    after: dict[int, int | None] = {-1: None}  # -1 stands before the first block
-    blocks: list[dict[str, Any]] = []
-    where: dict[str, int] = {}
-
-    def put(block: dict[str, Any], behind: int) -> int:
-        i = len(blocks)
-        blocks.append(block)
-        after[i], after[behind] = after[behind], i
-        return i
-
-    tail = -1
-    for block in snapshots[0] if snapshots else []:
-        tail = put(block, tail)
-        where[_signature(block, size)] = tail
-    for snapshot in snapshots[1:]:
-        cursor = -1
+
+    def __init__(self) -> None:
+        self.after: dict[int, int | None] = {-1: None}  # -1 stands before the first block
+        self.blocks: list[Any] = []
+        self.where: dict[str, int] = {}
+        self.snapshots, self.cursor = 0, -1
+
+    def begin(self) -> None:
+        """A snapshot follows."""
+        self.snapshots, self.cursor = self.snapshots + 1, -1
+
+    def add(self, block: Any, key: str) -> bool:
+        """The snapshot's next block, and whether it was put in. All of the first snapshot's are."""
+        if self.snapshots > 1 and key in self.where:
+            self.cursor = self.where[key]
+            return False
+        at = len(self.blocks)
+        self.blocks.append(block)
+        self.after[at], self.after[self.cursor] = self.after[self.cursor], at
+        self.cursor = self.where[key] = at
+        return True
+
+    def in_order(self) -> Iterator[Any]:
+        i = self.after[-1]
+        while i is not None:
+            yield self.blocks[i]
+            i = self.after[i]
+
+
+def merge_snapshots(snapshots: list[list[dict[str, Any]]], size: int | None = SIGNATURE) -> list[dict[str, Any]]:
+    """The blocks of all snapshots in one order."""
+    merge = _Merge()
+    for snapshot in snapshots:
+        merge.begin()
         for block in snapshot:
-            key = _signature(block, size)
-            if key in where:
-                cursor = where[key]
-            else:
-                cursor = where[key] = put(block, cursor)
-    out, i = [], after[-1]
-    while i is not None:
-        out.append(blocks[i])
-        i = after[i]
-    return out
-
-
-def _merged(snaps: list[list[dict[str, Any]]], size: int | None) -> tuple[list[dict[str, Any]], bool]:
-    """The merge of snapshots in the order of time, and whether their blocks were put in that order.
-
-    The largest snapshot comes first and the others in the order of time; with more
-    than three and a merge over 5 % larger than the largest, all come in that order.
+            merge.add(block, _signature(block, size))
+    return list(merge.in_order())
+
+
+class _Fold:
+    """A capture's snapshots, the largest first and the others in the order of time, merged as they come.
+
+    With more than three snapshots and a merge over 5 % larger than the largest, the merge in the order of time counts, which is
+    made beside the other; the largest, held until its time, takes part in both. A block is as large as its characters and two.
     """
-    length = lambda s: len(json.dumps(s, ensure_ascii=False))
-    sizes = [length(s) for s in snaps]
-    top = sizes.index(max(sizes))
-    merged = merge_snapshots([snaps[top], *snaps[:top], *snaps[top + 1 :]], size)
-    timed = len(snaps) > 3 and length(merged) > 1.05 * sizes[top]
-    return (merge_snapshots(snaps, size) if timed else merged), timed
+
+    def __init__(self, snapshots: int, size: int | None) -> None:
+        self.size, self.by_size = size, _Merge()
+        self.by_time = _Merge() if snapshots > 3 else None
+        self.largest: list[tuple[str, str]] = []
+        self.at = self.due = (False, 0)
+        self.chars = self.largest_chars = 0
+        self.visible: int | None = None
+        self.unread = False
+
+    def _place_largest(self) -> None:
+        self.by_time.begin()
+        for block, key in self.largest:
+            self.by_time.add(block, key)
+        self.largest = []
+        self.due = None
+
+    def add(self, snap: int | None, first: bool, blocks: list[str | None]) -> None:
+        """Blocks (JSON) of a snapshot; first tells those of the largest."""
+        at = (snap is not None, snap or 0)
+        if not self.by_size.snapshots or (not first and (at != self.at or self.by_size.snapshots == 1)):
+            self.by_size.begin()
+            if self.by_time and not first:
+                if self.due is not None and at > self.due:
+                    self._place_largest()
+                self.by_time.begin()
+            if first:
+                self.due = at
+        self.at = at
+        for block in blocks:
+            if not block:
+                continue
+            key = _signature(json.loads(block), self.size)
+            if self.by_size.add(block, key):
+                self.chars += len(block) + 2
+            if first:
+                self.largest_chars += len(block) + 2
+                if self.by_time:
+                    self.largest.append((block, key))
+            elif self.by_time:
+                self.by_time.add(block, key)
+
+    def result(self) -> tuple[Iterator[str], bool]:
+        """The merged blocks and whether they are in the order of time."""
+        if self.by_time and self.due is not None:
+            self._place_largest()
+        timed = self.by_time is not None and self.chars > 1.05 * self.largest_chars
+        return (self.by_time if timed else self.by_size).in_order(), timed
+
+
+def _folds(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[tuple[str | None, _Fold]]:
+    """Each capture with its fold. Rows (capture_id, snap_seq, first, snapshots, blocks as a JSON list or one block, score) come in the order of captures; a row is forgotten once it is merged."""
+    now: tuple[str | None] | None = None
+    for batch in batches:
+        of_list = batch.schema.get_field_index("blocks") >= 0
+        for i in range(batch.num_rows):
+            capture, snap, first, n, text, score = (c[i].as_py() for c in batch.columns)
+            if now is None or now[0] != capture:
+                if now is not None:
+                    yield now[0], fold
+                now, fold = (capture,), _Fold(n, size)
+            fold.unread |= text is None
+            fold.visible = score if fold.visible is None else max(fold.visible, score if score is not None else fold.visible)
+            blocks = [json.dumps(b, ensure_ascii=False) for b in json.loads(text or "[]")] if of_list else [text]
+            fold.add(snap, first, blocks)
+    if now is not None:
+        yield now[0], fold
+
+
+def _in_order(snapshots: DataFrame, text: str, *within: str) -> DataFrame:
+    """capture_id, snap_seq, first, snapshots, text, score in partitions of whole captures, the rows of each in the order that _Fold wants: one shuffle, sorts that spill."""
+    rows = snapshots.withColumn("capture_id", F.col("capture_id").cast("string")).repartition("capture_id")
+    of_snapshot, of_capture = Window.partitionBy("capture_id", "snap_seq"), Window.partitionBy("capture_id")
+    sized = rows.withColumn("size", F.sum(F.coalesce(F.length(text) + 2, F.lit(0))).over(of_snapshot))
+    time = F.coalesce(F.col("snap_seq").cast("long"), F.lit(-(1 << 62)))
+    sized = sized.withColumn("largest", F.max(F.struct("size", -time)).over(of_capture)).withColumn("first", F.struct("size", -time) == F.col("largest"))
+    known = sized.withColumn("snapshots", F.size(F.collect_set(time).over(of_capture)))
+    return known.sortWithinPartitions("capture_id", F.desc("first"), time, *within).select("capture_id", F.col("snap_seq").cast("int"), "first", "snapshots", text, F.col("score").cast("long"))
 
 
 def merged_pages(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
     """capture_id, blocks (JSON list), visible, reordered, unread: snapshots (capture_id, snap_seq, blocks, score) merged.
 
-    A snapshot without blocks counts as one; null blocks are those of a page that
-    couldn't be read, which unread tells; visible is the highest score. The snapshots of
-    a capture meet in one row.
+    A snapshot without blocks counts as one; null blocks are those of a page that couldn't be read, which unread tells; visible
+    is the highest score. Snapshots are merged one by one as they come, sorted; a task holds the merged blocks of one capture and
+    a few snapshots. Repeated rows change nothing but the first snapshot's own; an empty table gives none.
     """
     size = None if full_signature else SIGNATURE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                merged, timed = _merged([json.loads(s["blocks"] or "[]") for s in batch.column(1)[i].as_py()], size)
-                kept = batch.slice(i, 1)
-                columns = [kept.column(0), pa.array([json.dumps(merged, ensure_ascii=False)], pa.string()), kept.column(2), pa.array([timed]), kept.column(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "blocks", "visible", "reordered", "unread"])
+        for capture, fold in _folds(batches, size):
+            blocks, timed = fold.result()
+            columns = [pa.array([capture], pa.string()), pa.array([f"[{', '.join(blocks)}]"], pa.string()), pa.array([fold.visible], pa.int64()), pa.array([timed]), pa.array([fold.unread])]
+            yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "blocks", "visible", "reordered", "unread"])
+
+    return _in_order(snapshots, "blocks").mapInArrow(run, "capture_id string, blocks string, visible long, reordered boolean, unread boolean")
+
 
-    one = F.array_sort(F.collect_list(F.struct("snap_seq", "blocks")))
-    rows = snapshots.groupBy(F.col("capture_id").cast("string").alias("capture_id")).agg(one.alias("snapshots"), F.max("score").cast("long").alias("visible"), F.bool_or(F.col("blocks").isNull()).alias("unread"))
-    return rows.mapInArrow(run, "capture_id string, blocks string, visible long, reordered boolean, unread boolean")
+#: Rows of a result's Arrow batch.
+ROWS = 1000
 
 
 def merged_captures(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
     """capture_id, pos, block (JSON), reordered: snapshots (capture_id, snap_seq, ord, block) merged.
 
-    See _merged for their order. Null blocks are none; rows that repeat count once for
-    their signature; captures without rows have no blocks. The blocks of a capture meet
-    in one row.
+    See _Fold for their order. Null blocks are none; rows of later snapshots that repeat count once for their signature;
+    captures without rows have no blocks. Blocks are merged one by one as they come, sorted; a task holds the merged blocks of
+    one capture.
     """
     size = None if full_signature else SIGNATURE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for capture, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                snaps = [[json.loads(r["block"]) for r in own if r["block"]] for _, own in groupby(rows.as_py(), lambda r: r["snap_seq"])]
-                merged, timed = _merged(snaps, size)
-                n = len(merged)
-                columns = [pa.array([capture] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array([json.dumps(b, ensure_ascii=False) for b in merged], pa.string()), pa.array([timed] * n, pa.bool_())]
+        for capture, fold in _folds(batches, size):
+            blocks, timed = fold.result()
+            for n, some in enumerate(iter(lambda: list(islice(blocks, ROWS)), [])):
+                k = len(some)
+                own = [json.dumps(json.loads(b), ensure_ascii=False) for b in some]
+                columns = [pa.array([capture] * k, pa.string()), pa.array(range(n * ROWS + 1, n * ROWS + k + 1), pa.int32()), pa.array(own, pa.string()), pa.array([timed] * k, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "pos", "block", "reordered"])
 
-    one = F.array_sort(F.collect_list(F.struct("snap_seq", "ord", "block")))
-    rows = snapshots.groupBy(F.col("capture_id").cast("string").alias("capture_id")).agg(one.alias("rows"))
+    rows = _in_order(snapshots.withColumn("score", F.lit(None)), "block", "ord", "block")
     return rows.mapInArrow(run, "capture_id string, pos int, block string, reordered boolean")
 
 

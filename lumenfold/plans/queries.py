@@ -330,3 +330,15 @@ from events window w as (partition by user_id order by event_id rows between 2 p
 def stream_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("capture_id"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
     return streams.run_through(streams.stable_scores(scores, 5, 40), "update", stateful=True)
+
+
+@query("""
+with e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, value, min((epoch_us(ts) // 1000)) over (partition by user_id) + 172800000 as due, max((epoch_us(ts) // 1000)) over () - 10000 as late,
+  count(value) over w as n, max(value) over w - min(value) over w as apart from events window w as (partition by user_id order by (epoch_us(ts) // 1000), event_id rows between 2 preceding and current row)),
+u as (select user_id, due, late, max(ms) as latest, arg_max(value, (ms, event_id)) filter (ms < due) as score, arg_min((ms, event_id, value), (ms, event_id)) filter (ms < due and n = 3 and apart <= 60 and value >= 40) as s from e group by all)
+select user_id::varchar as capture_id, case when s is null then 'timed_out' else 'stable' end as state, case when s is null then due else s[1] end as at_ms, case when s is null then null else s[2] end as seq, case when s is null then score else s[3] end as score
+from u where s is not null or due <= late or latest >= due""")
+def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose values settle within two days, and those whose time is up."""
+    rows = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("capture_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    return streams.run_through(streams.settled(rows, 60, 40, 172800), "append", stateful=True)

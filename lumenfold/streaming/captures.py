@@ -103,6 +103,77 @@ def stable_scores(scores: DataFrame, within: float = 5, least: float = 400) -> D
     return grouped.transformWithStateInPandas(_Steady(within, least), "capture_id string, seq long, score double, stable boolean", "update", "none")
 
 
+#: Seconds that a capture may take to settle.
+DEADLINE = 120
+
+
+class _Settling(StatefulProcessor):
+    """Keeps when a capture was first seen and its last three values; a timer ends the wait and forgets it."""
+
+    def __init__(self, within: float, least: float, deadline: float, by_event: bool) -> None:
+        self.within, self.least, self.deadline, self.by_event = within, least, int(deadline * 1000), by_event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "due long, values array<double>, told boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        waiting = sorted(x for part in rows for x in zip(part["ms"].tolist(), part["seq"].tolist(), part["score"].tolist(), strict=True))
+        if self.seen.exists():
+            due, values, told = self.seen.get()
+            values = list(values)
+        else:
+            begin = waiting[0][0] if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+            due, values, told = begin + self.deadline, [], False
+            self.handle.registerTimer(due)
+        for at, seq, score in waiting:
+            if told:
+                break
+            if self.by_event and at >= due:
+                told = True
+                yield self._row(key, "timed_out", due, None, values)
+                break
+            values = [*values, score][-3:]
+            if len(values) == 3 and max(values) - min(values) <= self.within and score >= self.least:
+                told = True
+                yield self._row(key, "stable", at, seq, values)
+        self.seen.update((due, values, told))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            due, values, told = self.seen.get()
+            self.seen.clear()
+            if not told:
+                yield self._row(key, "timed_out", due, None, list(values))
+
+    @staticmethod
+    def _row(key: tuple, state: str, at: int, seq: int | None, values: list[float]) -> pd.DataFrame:
+        score = values[-1] if values else None
+        return pd.DataFrame({"capture_id": [key[0]], "state": [state], "at_ms": [at], "seq": pd.array([seq], "Int64"), "score": pd.array([score], "Float64")})
+
+    def close(self) -> None:
+        return
+
+
+def settled(scores: DataFrame, within: float = 5, least: float = 400, deadline: float = DEADLINE, clock: str = "event", late: str = "10 seconds") -> DataFrame:
+    """capture_id, state, at_ms, seq, score: of each capture one row, when it is stable or when it has had its time.
+
+    scores are (capture_id, at, seq, score). A capture is stable with its first row, in the order of at and seq, whose score is
+    large enough and whose last three scores lie within a range. Otherwise it is timed_out `deadline` seconds after its first
+    row, with its last score: by the clock of events once the watermark (`late` behind the latest row of all) has passed, or a
+    later row of its own has come; by the clock of processing then and there, whether rows come or not. With that its state
+    goes, so state is bounded by the captures of one deadline; a capture that goes on after it is watched anew. Null scores and
+    times are no rows. For output mode append or update.
+    """
+    if clock not in ("event", "processing"):
+        raise ValueError(f"no such clock: {clock}")
+    rows = scores.select("capture_id", "at", F.unix_millis("at").alias("ms"), "seq", "score").where("at is not null and score is not null and seq is not null")
+    rows = rows.withWatermark("at", late) if clock == "event" else rows
+    schema = "capture_id string, state string, at_ms long, seq long, score double"
+    mode = "eventTime" if clock == "event" else "processingTime"
+    return rows.groupBy("capture_id").transformWithStateInPandas(_Settling(within, least, deadline, clock == "event"), schema, "append", mode)
+
+
 def run_through(df: DataFrame, mode: str, stateful: bool = False) -> DataFrame:
     """What a stream gives once all files that are there have been read.
 

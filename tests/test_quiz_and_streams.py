@@ -1,4 +1,7 @@
 import datetime
+import json
+import os
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -116,8 +119,11 @@ def test_report_of_several_snapshots(spark):
 
 def test_others_than_the_largest_snapshot_are_merged_in_order_of_time():
     b = lambda *xs: [{"t": x} for x in xs]
-    merged, timed = reconcile._merged([b("a", "b"), b("b", "x"), b("b", "y", "z"), b("a", "b", "c" * 99)][1:], 400)
-    assert (merged, timed) == (b("a", "b", "y", "z", "x", "c" * 99), False)
+    fold = reconcile._Fold(3, 400)
+    for at, first, snap in [(2, True, b("a", "b", "c" * 99)), (0, False, b("b", "x")), (1, False, b("b", "y", "z"))]:
+        fold.add(at, first, [json.dumps(x) for x in snap])
+    merged, timed = fold.result()
+    assert ([json.loads(x) for x in merged], timed) == (b("a", "b", "y", "z", "x", "c" * 99), False)
 
 
 def test_body_bounds(spark):
@@ -301,3 +307,51 @@ def test_nothing_of_nothing(spark):
     assert reconcile.failures(spark.createDataFrame([(None,) * 8], "capture_id string, kind string, page_url string, blocks int, chars int, nodes int, tree_size int, questions int")).collect() == []
     assert captures.best_frames(nulls["dom_html"]).count() == captures.best_read(nulls["dom_html"]).count() == 1
     assert captures.links_of_paths(nulls["links"]).collect() == []
+
+
+def _settling(spark, folder, clock, **more):
+    arriving = spark.readStream.schema("capture_id string, at timestamp, seq long, score double").option("maxFilesPerTrigger", 1).json(str(folder))
+    return streams.settled(arriving, clock=clock, **more)
+
+
+def _arrive(folder, n, rows):
+    folder.mkdir(exist_ok=True)
+    path = folder / f"{n}.json"
+    path.write_text("".join(json.dumps({"capture_id": c, "at": f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}Z", "seq": i, "score": x}) + "\n" for c, s, i, x in rows))
+    at = 1_700_000_000 + n
+    os.utime(path, (at, at))
+
+
+def test_a_stream_that_never_settles_times_out_by_the_clock_of_events(spark, tmp_path):
+    folder = tmp_path / "in"
+    _arrive(folder, 1, [("never", 0, 1, 500.0), ("never", 2, 2, 600.0), ("good", 0, 1, 500.0), ("good", 2, 2, 501.0), ("good", 4, 3, 502.0), ("good", 6, 4, 503.0), ("small", 0, 1, 9.0), ("small", 2, 2, 9.0), ("small", 4, 3, 9.0)])
+    _arrive(folder, 2, [("never", 60, 3, 700.0), ("late", 119, 1, 400.0), ("good", 60, 5, 900.0), ("edge", 0, 1, 500.0), ("edge", 119, 2, 500.0), ("edge", 120, 3, 500.0), ("null", 0, 1, None)])
+    _arrive(folder, 3, [("later", 200, 1, 800.0)])
+    found = streams.run_through(_settling(spark, folder, "event"), "append", stateful=True).collect()
+    start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).timestamp() * 1000)
+    got = {r.capture_id: (r.state, (r.at_ms - start) // 1000, r.seq, r.score) for r in found}
+    assert len(found) == len(got)
+    assert got == {"good": ("stable", 4, 3, 502.0), "never": ("timed_out", 120, None, 700.0), "small": ("timed_out", 120, None, 9.0), "edge": ("timed_out", 120, None, 500.0)}
+
+
+def test_a_capture_without_further_rows_times_out_by_the_clock_of_processing(spark, tmp_path):
+    folder = tmp_path / "in"
+    _arrive(folder, 1, [("never", 0, 1, 500.0), ("good", 0, 1, 500.0), ("good", 0, 2, 500.0), ("good", 0, 3, 500.0)])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = _settling(spark, folder, "processing", deadline=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+        until, states = time.time() + 60, []
+        while time.time() < until and len(states) < 2:
+            time.sleep(1)
+            assert query.exception() is None
+            states = spark.read.schema("capture_id string, state string").parquet(str(tmp_path / "out")).collect() if (tmp_path / "out" / "_spark_metadata").exists() else []
+        query.stop()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(map(tuple, states)) == [("good", "stable"), ("never", "timed_out")]
+
+
+def test_no_other_clock(spark):
+    with pytest.raises(ValueError, match="no such clock"):
+        streams.settled(spark.range(1), clock="wall")
