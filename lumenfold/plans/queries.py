@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import markdown as M
 from lumenfold.functions import text as T
-from lumenfold.operators import dom_nodes, geometry, html_blocks, json_mining, quiz, reconcile, report_blocks, trees
+from lumenfold.operators import dom_nodes, geometry, html_blocks, json_mining, quiz, reconcile, report_blocks, trees, variant_mining
 from lumenfold.plans import built, bundle_queries, table_queries  # noqa: F401  (register their queries)
 from lumenfold.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 from lumenfold.sources import captures
@@ -231,16 +231,31 @@ def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("tree_id", "node_count", "leaf_count", F.col("max_depth").cast("long").alias("max_depth"), "bilingual_nodes", "en_only", F.array_join("untranslated_ids", ",").alias("untranslated_ids"))
 
 
-@query(r"""
+_MINED = r"""
 with m as (select source, doc_id, '# ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || '- ' || replace(text, chr(10), chr(10) || '- ') as m from documents),
 l as (select *, string_split(m, chr(10)) as l from m where length(m) > 300),
 s as (select *, case when len(l) < 6 then 0.0 else len(list_filter(l, lambda x: regexp_matches(x, '^\s*(#{1,6}\s|[*\-•]\s|\d+[.)]\s|\|)'))) / len(l) * least(1.0::double, length(m) / 3000) + 0.5::double end as score from l)
-select source as capture_id, source as url, max(score) as score, arg_min(md5(m), (-score, doc_id)) as digest from s group by source having max(score) >= 0.25""")
+select source as capture_id, source as url, max(score) as score, arg_min(md5(m), (-score, doc_id)) as digest from s group by source having max(score) >= 0.25"""
+
+
+@query(_MINED)
 def mined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    found = json_mining.markdown_of_captures(_mined_bodies(spark, sf_dir))
+    return found.select("capture_id", "url", "score", F.md5("markdown").alias("digest"))
+
+
+def _mined_bodies(spark: SparkSession, sf_dir: str, deep: bool = False) -> DataFrame:
+    """A body for each document with its text as a list, in a list; with deep inside a string that is JSON."""
     text = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\n\n- "), F.regexp_replace("text", "\n", "\n- "))
-    body = F.concat(F.lit(")]}'\n"), F.to_json(F.struct(F.array(text).alias("answers"))))
-    found = json_mining.markdown_of_captures(docs.select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), body.alias("body")))
+    held = F.to_json(F.struct(F.array(text).alias("answers")))
+    body = F.to_json(F.struct(F.lit(1).alias("n"), F.array(F.struct(held.alias("json"))).alias("parts"))) if deep else held
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), F.concat(F.lit(")]}'\n"), body).alias("body"))
+
+
+@query(_MINED)
+def variant_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts deep in JSON, found without Python."""
+    found = variant_mining.markdown_of_captures(_mined_bodies(spark, sf_dir, deep=True))
     return found.select("capture_id", "url", "score", F.md5("markdown").alias("digest"))
 
 
