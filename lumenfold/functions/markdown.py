@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,20 @@ BOX = BOX_STRONG + "▼▲◄►◀▶↓↑"
 
 LIST_ITEM = rf"^([{SPACE}]*)([*+•\-–]|\d+[.)])[{SPACE}]+(.*)$"
 TABLE_RULE = rf"^[{SPACE}]*\|?[{SPACE}]*:?-{{2,}}:?[{SPACE}]*(\|[{SPACE}]*:?-{{2,}}:?[{SPACE}]*)*\|?[{SPACE}]*$"
+# Fixed value: a link, and what stands within it (group 2), or else all up to the next closing bracket (groups 1 and 3 stay), so that no bracket is tried twice.
+LINK = r"([^\[\]]*)(?:\[([^\]]+)\]\([^)]+\)|([^\]]*(?:\]|$)))"
+
+
+def _up_to_last(c: Column, mark: str, f: Callable[[Column], Column]) -> Column:
+    """f of a text up to its last mark, and the rest as it is: what needs the mark later on isn't looked for there."""
+    rest = F.substring_index(c, mark, -1)
+    return F.when(F.contains(c, F.lit(mark)), F.concat(f(F.substring(c, F.lit(1), F.length(c) - F.length(rest))), rest)).otherwise(c)
 
 
 def plain(md: Column) -> Column:
     """The text of a line of Markdown: links, emphasis and code unwrapped, stray stars dropped, spaces single."""
     t = strip(md)
-    t = F.regexp_replace(t, r"\[([^\]]+)\]\(([^)]+)\)", "$1")
+    t = _up_to_last(t, ")", lambda x: F.regexp_replace(x, LINK, "$1$2$3"))
     t = F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1")
     word = r"\p{L}\p{N}_"
     t = F.regexp_replace(t, rf"(?<![{word}*])\*(?![{SPACE}])(.+?)(?<![{SPACE}])\*(?![{word}*])", "$1")
