@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import markdown as M
 from lumenfold.functions import text as T
 from lumenfold.operators import dom_nodes, geometry, html_blocks, json_mining, quiz, reconcile, report_blocks, trees, variant_mining
-from lumenfold.plans import built, bundle_queries, table_queries  # noqa: F401  (register their queries)
+from lumenfold.plans import built, bundle_queries, table_queries, whole_queries  # noqa: F401  (register their queries)
 from lumenfold.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 from lumenfold.sources import captures
 from lumenfold.streaming import captures as streams

@@ -15,7 +15,7 @@ from lumenfold.sources.captures import best_frames, best_read, bodies_for
 from lumenfold.sources.tables import written
 
 
-def _stamp(at: datetime | None) -> str:
+def stamp(at: datetime | None) -> str:
     return (at or datetime.now(UTC)).isoformat(timespec="seconds")
 
 
@@ -54,7 +54,7 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
         F.coalesce("title", F.nullif(title_stem(F.col("page_title")), F.lit("")), "base").alias("title"),
         source_url(F.col("share_url")).alias("source_url"),
         "method",
-        F.lit(_stamp(at)).alias("extracted_at"),
+        F.lit(stamp(at)).alias("extracted_at"),
         page_title(F.col("page_title"), product).alias("page_title"),
         (F.col("rules") if drop_rules else F.lit(0)).alias("hr_dropped"),
         F.col("all_info.dir").alias("primary_dir"),
@@ -142,13 +142,18 @@ def maps(frags: DataFrame, links: DataFrame, net_bodies: DataFrame) -> DataFrame
     choice = reconcile.preferred_tree(size(dom, "dom_size").join(size(net, "network_size"), "capture_id", "full"))
     both = dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network")))
     chosen = both.join(choice, ["capture_id", "method"]).withColumnRenamed("capture_id", "tree_id")
-    flat = trees.flattened(chosen)
+    return parsed_nodes(chosen)
+
+
+def parsed_nodes(labelled: DataFrame) -> DataFrame:
+    """tree_id, id, parent, order, depth, is_leaf, path, label and its parts of the nodes of trees (tree_id, path, label)."""
+    flat = trees.flattened(labelled)
     return flat.withColumn("n", labels.node_of(F.col("label"))).select("tree_id", "id", "parent", "order", "depth", "is_leaf", "path", F.col("n.text").alias("label"), "n.primary", "n.ar", "n.en", "n.title_ar", "n.title_en", "n.desc_ar", "n.desc_en")
 
 
 def map_json(flat: DataFrame, at: datetime | None = None) -> DataFrame:
     """capture_id, json: one document for each map, its root nested and its nodes flat, a tree at a time."""
-    stamp = _stamp(at)
+    made_at = stamp(at)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         made: dict[str, dict] = {}
@@ -163,7 +168,7 @@ def map_json(flat: DataFrame, at: datetime | None = None) -> DataFrame:
             if n["parent"] in nested:
                 nested[n["parent"]]["children"].append(nested[n["id"]])
         root = nested[nodes[0]["id"]]
-        meta = {"title": root["text"], "extracted_at": stamp, "node_count": len(nodes), "leaf_count": sum(n["is_leaf"] for n in nodes), "max_depth": max(n["depth"] for n in nodes)}
+        meta = {"title": root["text"], "extracted_at": made_at, "node_count": len(nodes), "leaf_count": sum(n["is_leaf"] for n in nodes), "max_depth": max(n["depth"] for n in nodes)}
         document = {"schema": "mindmap-1.0", "meta": meta, "root": root, "nodes": nodes}
         return pd.DataFrame({"capture_id": [key[0]], "json": [json.dumps(document, ensure_ascii=False)]})
 
