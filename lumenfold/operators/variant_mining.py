@@ -23,28 +23,35 @@ from lumenfold.sources.tables import dropped, written
 _END = "\\u0001end of value\\u0002"
 
 
-def parsed(text: Column) -> Column:
-    """The VARIANT that a text is as a whole, null if it isn't JSON."""
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+def _pair(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+
+def _first(pair: Column) -> Column:
     ended = F.try_variant_get(pair, "$[1]", "string") == F.lit("\x01end of value\x02")
     return F.when(ended, F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def parsed(text: Column) -> Column:
+    """The VARIANT that a text is as a whole, null if it isn't JSON. Through arrays, so that it is parsed once."""
+    return F.get(F.transform(F.transform(F.array(text), _pair), _first), F.lit(0))
+
+
 def _begins(text: Column) -> Column:
     return text.startswith("[") | text.startswith("{")
 
 
 def documents(body: Column) -> Column:
-    """What parses of a body as a whole and of each of its lines, without the prefix that guards against inclusion: an array with nulls for what doesn't."""
+    """What parses of a body as a whole and of each of its lines, equal ones once, without the prefix that guards against inclusion: an array with nulls for what doesn't."""
     whole = F.regexp_replace(strip(body), r"^\)\]\}'", "")
-    parts = F.filter(F.transform(F.concat(F.array(whole), split_lines(whole)), strip), _begins)
-    return F.transform(parts, parsed)
+    parts = F.array_distinct(F.filter(F.transform(F.concat(F.array(whole), split_lines(whole)), strip), _begins))
+    return F.transform(F.transform(parts, _pair), _first)
 
 
 def texts_of_captures(bodies: DataFrame) -> DataFrame:
     """capture_id, seq, url, at, text: strings of over 300 characters and several lines in bodies (capture_id, seq, url, body), JSON within strings opened.
 
-    at is the way to a text: the part of the body, then places in containers. A body in which nothing parses is a text itself if
+    at is the way to a text: the part of the body (whole or a line, equal ones once), then places in containers. A body in which nothing parses is a text itself if
     it is longer than 600. Null bodies have none; a body that repeats gives its texts again; an empty table has none.
     """
     own = bodies.where("body is not null").select(F.col("capture_id").cast("string").alias("capture_id"), F.col("seq").cast("long").alias("seq"), "url", "body", documents(F.col("body")).alias("found"))
