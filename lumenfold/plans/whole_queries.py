@@ -1,4 +1,4 @@
-"""Queries of whole maps and quizzes, over captures of a bounded size: an order is a map of its lines."""
+"""Queries of whole maps and quizzes, over captures of a bounded size: a customer is a map of its orders."""
 
 from __future__ import annotations
 
@@ -17,29 +17,29 @@ def _captures(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("capture_id", F.lit(kind).alias("kind"), text("http://h/", "share_url"), text("base ", "base"), F.lit("Page - Maker").alias("page_title"), "page_url", F.lit(None).cast("timestamp").alias("captured_at"))
 
 
-def _order_maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Orders as captures: a body of every order has its lines as a tree, parts above suppliers; every seventh order ended at a sign-in page."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
-    leaf = lambda x: F.array(F.struct(F.concat(F.lit("supplier "), x["l_suppkey"].cast("string")).alias("text")))
-    node = lambda x: F.struct(F.when(x["l_partkey"] % 3 == 0, F.concat(F.lit("part "), x["l_partkey"].cast("string"), F.lit(" (جزء)"))).otherwise(F.concat(F.lit("part "), x["l_partkey"].cast("string"))).alias("label"), leaf(x).alias("items"))
-    tree = F.to_json(F.struct(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("title"), F.transform("l", node).alias("nodes")))
-    rows = lines.withColumn("capture_id", F.col("l_orderkey").cast("string")).withColumn("page_url", F.when(F.col("l_orderkey") % 7 == 0, "http://accounts.h/").otherwise("http://h/"))
+def _customer_maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Customers with orders as captures: a body of each has its orders as a tree, above their states; every seventh ended at a sign-in page."""
+    lines = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("l"))
+    leaf = lambda x: F.array(F.struct(F.concat(F.lit("state "), x["o_orderstatus"]).alias("text")))
+    node = lambda x: F.struct(F.concat(F.lit("order "), x["o_orderkey"].cast("string"), F.when(x["o_orderkey"] % 3 == 0, " (جزء)").otherwise("")).alias("label"), leaf(x).alias("items"))
+    tree = F.to_json(F.struct(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("title"), F.transform("l", node).alias("nodes")))
+    rows = lines.withColumn("capture_id", F.col("o_custkey").cast("string")).withColumn("page_url", F.when(F.col("o_custkey") % 7 == 0, "http://accounts.h/").otherwise("http://h/"))
     bodies = rows.select("capture_id", F.lit(1).alias("seq"), F.lit("http://h/tree?x=1").alias("url"), F.lit("xhr").alias("resource_type"), tree.alias("body"))
     none = [spark.createDataFrame([], SCHEMAS[t]) for t in ("frags", "links")]
     return _captures(rows, "mindmap"), *none, bodies
 
 
 @query("""
-with l as (select l_orderkey as k, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, count(*) over (partition by l_orderkey) as n from lineitem),
-m as (select k, n, '1' as id, [1] as path, 0 as depth, 'order ' || k as en, '' as ar from l where i = 1 and n > 1
-  union all select k, n, '1.' || i, [1, i], 1, 'part ' || l_partkey, case when l_partkey % 3 = 0 then 'جزء' else '' end from l where n > 1
-  union all select k, n, '1.' || i || '.1', [1, i, 1], 2, 'supplier ' || l_suppkey, '' from l where n > 1),
-g as (select k, max(n) as n, count(*) filter (ar <> '') as bil, string_agg(id || ' ' || en || ' ' || ar, chr(10) order by path) as walk, string_agg(case when ar = '' then id end, ',' order by path) as untold from m group by k)
-select k::varchar as capture_id, 'mindmap-1.0' as schema, 'order ' || k as title, 'http://h/' || k as source_url, 'network' as method, '2024-01-01T00:00:00+00:00' as extracted_at, (2 * n + 1)::int as node_count, n::int as leaf_count, 2 as max_depth, bil::int as bilingual_nodes, 0 as ar_only,
+with l as (select o_custkey as k, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as n from orders),
+m as (select k, n, '1' as id, [1] as path, 0 as depth, 'customer ' || k as en, '' as ar from l where i = 1 and n > 1
+  union all select k, n, '1.' || i, [1, i], 1, 'order ' || o_orderkey, case when o_orderkey % 3 = 0 then 'جزء' else '' end from l where n > 1
+  union all select k, n, '1.' || i || '.1', [1, i, 1], 2, 'state ' || o_orderstatus, '' from l where n > 1),
+g as (select k, max(n) as n, count(*) filter (ar <> '') as bil, string_agg(id || ' ' || en || ' ' || ar, chr(10) order by path) as walk, array_to_string((list(id order by path) filter (ar = ''))[:60], ',') as untold from m group by k)
+select k::varchar as capture_id, 'mindmap-1.0' as schema, 'customer ' || k as title, 'http://h/' || k as source_url, 'network' as method, '2024-01-01T00:00:00+00:00' as extracted_at, (2 * n + 1)::int as node_count, n::int as leaf_count, 2 as max_depth, bil::int as bilingual_nodes, 0 as ar_only,
   (2 * n + 1 - bil)::int as en_only, 0 as n_warnings, 'http://h/tree' as network_source, untold as untranslated_ids, md5(walk) as nested, md5(walk) as flat from g""")
 def map_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of orders as documents, read back: all of meta, and both the nested and the flat nodes in the order of a walk."""
-    nodes, meta, _ = whole_results.maps(*_order_maps(spark, sf_dir), at=AT)
+    """Maps of customers as documents, read back: all of meta, and both the nested and the flat nodes in the order of a walk."""
+    nodes, meta, _ = whole_results.maps(*_customer_maps(spark, sf_dir), at=AT)
     node = "id:string,en:string,ar:string"
     own = f"struct<title:string,source_url:string,method:string,extracted_at:string,node_count:int,leaf_count:int,max_depth:int,quality:struct<bilingual_nodes:int,ar_only:int,en_only:int,untranslated_ids:array<string>>,warnings:array<string>,network_source:string>"
     nested = f"struct<{node},children:array<struct<{node},children:array<struct<{node}>>>>>"
@@ -55,11 +55,11 @@ def map_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with n as (select l_orderkey as k, count(*) as n from lineitem group by 1)
+with n as (select o_custkey as k, count(*) as n from orders group by 1)
 select k::varchar as capture_id, 'mindmap' as kind, case when k % 7 = 0 then 'sign_in' else 'too_few_nodes' end as reason from n where k % 7 = 0 or n = 1""")
 def map_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with one line make no map, nor do those that ended at a sign-in page."""
-    return whole_results.maps(*_order_maps(spark, sf_dir), at=AT)[2]
+    """Customers with one order make no map, nor do those that ended at a sign-in page."""
+    return whole_results.maps(*_customer_maps(spark, sf_dir), at=AT)[2]
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
