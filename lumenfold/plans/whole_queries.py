@@ -41,7 +41,7 @@ def map_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of customers as documents, read back: all of meta, and both the nested and the flat nodes in the order of a walk."""
     nodes, meta, _ = whole_results.maps(*_customer_maps(spark, sf_dir), at=AT)
     node = "id:string,en:string,ar:string"
-    own = f"struct<title:string,source_url:string,method:string,extracted_at:string,node_count:int,leaf_count:int,max_depth:int,quality:struct<bilingual_nodes:int,ar_only:int,en_only:int,untranslated_ids:array<string>>,warnings:array<string>,network_source:string>"
+    own = "struct<title:string,source_url:string,method:string,extracted_at:string,node_count:int,leaf_count:int,max_depth:int,quality:struct<bilingual_nodes:int,ar_only:int,en_only:int,untranslated_ids:array<string>>,warnings:array<string>,network_source:string>"
     nested = f"struct<{node},children:array<struct<{node},children:array<struct<{node}>>>>>"
     d = F.from_json("json", f"struct<schema:string,meta:{own},root:{nested},nodes:array<struct<{node}>>>")
     line = lambda x: F.concat_ws(" ", x["id"], x["en"], x["ar"])

@@ -110,7 +110,7 @@ def test_report_of_several_snapshots(spark):
     blocks, meta, failed = reports.reports(caps, spark.createDataFrame(rows, captures.SCHEMAS["dom_html"]), net)
     metas = {m.capture_id: m for m in meta.collect()}
     words = {c: [r.text.split()[0] for r in blocks.where((F.col("doc_id") == m.doc_id) & (F.col("type") == "paragraph")).orderBy("pos").collect()] for c, m in metas.items()}
-    # in the lazy capture 3, 4, 5 follow no known block but the title, as the reference puts them
+    # in the lazy capture 3, 4, 5 follow no known block but the title
     assert words == {"lazy": ["word3", "word4", "word5", "word6", "word7", "word0", "word1", "word2"], "few": ["word1", "word2", "word3", "word4"]}
     assert "lazy_merge" in metas["lazy"].warnings
     assert "lazy_merge" not in metas["few"].warnings
