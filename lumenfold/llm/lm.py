@@ -9,20 +9,24 @@
    classes by their count, within which a word's probability is its smoothed share
    of the class. The network is trained on all training documents, each once, by
    truncated backpropagation; a word's count without its own document decides its
-   class there, so that it learns how often words are new. The blocks are dealt to
-   ROUNDS rounds by their numbers' hash; in each, every task goes on from the round's
-   network over its blocks, and the tasks' networks are averaged by their tokens.
+   class there, so that it learns how often words are new. Documents are dealt by a
+   hash of themselves to ROUNDS rounds of courses, as many as the corpus has tokens
+   for; in a round every course goes on from the round's network over its documents,
+   and the courses' networks are averaged by their tokens, a few at a time. Files and
+   tasks have no part in that, so the same rows teach the same network.
 4. Each block is scored with its counts. Many documents run side by side; their
    states are carried from window to window until a document ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,14 @@ PIECES = 64
 HEAD, CLASS, HIDDEN = 1024, 32, 24
 #: Documents side by side and steps of a window, in scoring and in training; tokens after which training starts a state afresh.
 LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, TRAIN_LONGEST = 128, 64, 128, 24, 2048
-#: Rounds that training's blocks are dealt to, the learning rate, and what keeps its divisor from zero.
-ROUNDS, RATE, TINY = 4, np.float32(0.1), np.float32(1e-10)
+#: Rounds of training, tokens of a course (on average, at most), and courses whose networks are summed in one group.
+ROUNDS, COURSE, FAN = 4, 1_000_000, 32
+#: Tokens after which training takes TRAIN_LANES documents side by side; up to then FIRST_LANES, for more steps.
+FIRST_TOKENS, FIRST_LANES = 400_000, 16
+#: Equal rows of a block that are dealt to one course.
+REPEATS = 8
+#: The learning rate, and what keeps its divisor from zero.
+RATE, TINY = np.float32(0.1), np.float32(1e-10)
 #: Most classes of the tail: none, 1, 2, 3, 4, 5-6, 7-8, ...: two for each doubling, up to the least count of the network's own words.
 TAIL = 64
 #: The hash that stands for the end of a document.
@@ -320,13 +330,13 @@ class Network:
             out[here] = self.log_probabilities(flat, symbols[here])
         return out
 
-    def train(self, symbols: np.ndarray, lens: np.ndarray, squares: dict[str, np.ndarray]) -> Network:
+    def train(self, symbols: np.ndarray, lens: np.ndarray, squares: dict[str, np.ndarray], lanes: int = TRAIN_LANES) -> Network:
         """Truncated backpropagation through windows, once over documents; states are carried over, gradients are not.
 
         Every parameter's rate falls with the sum of its gradient's squares so far. Of
         the symbols' parameters only those of symbols in the window change.
         """
-        at, before, begins, sizes = _grid(symbols, lens, TRAIN_LANES, self.vocabulary.inputs - 1, TRAIN_LONGEST)
+        at, before, begins, sizes = _grid(symbols, lens, lanes, self.vocabulary.inputs - 1, TRAIN_LONGEST)
         h = np.zeros((HIDDEN, at.shape[1]), np.float32)
         for t in range(0, len(at), TRAIN_WINDOW):
             live = int((sizes > t).sum())
@@ -422,54 +432,110 @@ def _restored(network: Network, squares: dict[str, np.ndarray], flat: np.ndarray
             at += v.size
 
 
-def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The symbols of all training documents, a row for each block that has any."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all of their range."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary, courses: int) -> DataFrame:
+    """course, key, symbols of every training document, dealt by its doc_id and words.
+
+    Rows that a block holds more than REPEATS times, doc_id and words alike, are dealt
+    by the block and their place among them too, so that none fills a course.
+    """
 
     def lesson(left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.sort_by("part").select(["counts"]).to_pylist()
-        out = []
+        out = [_NO_LESSON]
         for row in left.to_pylist():
             learnt, lens = np.frombuffer(row["held"], np.int8) == 0, np.frombuffer(row["lens"], np.int64)
+            doc_ids = np.frombuffer(row["doc_ids"], np.int64)[learnt].view(np.uint64)
             hashes, counts = np.frombuffer(row["hashes"], np.uint64), _counts(found, row["hashes"])
             ids = _unpack(row["ids"], int(lens.sum()), np.int32)[np.repeat(learnt, lens)]
             lens = lens[learnt]
+            first = np.cumsum(lens) - lens
             owner = np.repeat(np.arange(len(lens)), lens)
             _, place, times = np.unique(owner * np.int64(len(hashes)) + ids, return_inverse=True, return_counts=True)
-            symbols = vocabulary.symbols(hashes[ids], counts[ids] - times[place])
+            symbols = vocabulary.symbols(hashes[ids], counts[ids] - times[place]).astype("<i2")
+            key = _mixed(doc_ids ^ _mixed(np.add.reduceat(hashes[ids] * (2 * (np.arange(len(ids)) - first[owner]) + 1).astype(np.uint64), first)))
+            _, same, n = np.unique(key, return_inverse=True, return_counts=True)
+            nth = np.empty(len(key), np.uint64)
+            nth[np.argsort(same, kind="stable")] = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            salt = np.where(n[same] > REPEATS, _mixed(nth + _mixed(np.array([row["block"] + 1], np.uint64))), np.uint64(0))
+            course = _mixed(key + salt) % np.uint64(courses)
+            texts = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(np.append(2 * first, 2 * len(ids)).astype(np.int32)), pa.py_buffer(symbols)])
             tidy()
-            out.append({"block": row["block"], "symbols": _pack(symbols.astype(np.int16)), "lens": lens.tobytes(), "n": len(ids)})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("symbols", pa.binary()), ("lens", pa.binary()), ("n", pa.int64())]))
+            out.append(pa.table([pa.array(course.astype(np.int64)), pa.array(key.view(np.int64)), texts], names=["course", "key", "symbols"]))
+        return pa.concat_tables(out)
 
-    wanted = blocks.where("learnt > 0").select("block", "held", "lens", "ids", "hashes")
+    wanted = blocks.where("learnt > 0").select("block", "doc_ids", "held", "lens", "ids", "hashes")
     given = answers.where("block >= 0").select("block", "part", "counts")
-    return wanted.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lesson, "block long, symbols binary, lens binary, n long")
+    return wanted.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lesson, "course long, key long, symbols binary")
 
 
-def _trained(lessons: DataFrame, vocabulary: Vocabulary) -> Network:
-    """The network trained once on all lessons, in rounds: each by all tasks side by side, then averaged by their tokens."""
-    network = Network(vocabulary)
-    squares = {k: np.zeros_like(v) for k, v in network.p.items()}
+_NO_LESSON = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["course", "key", "symbols"])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
-        for batch in batches:
-            for packed, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                network.train(_unpack(packed, n, np.int16).astype(np.int64), np.frombuffer(raw, np.int64), squares)
-                done += n
-        if done:
-            pieces = [(done * x).tobytes() for x in np.array_split(_flat(network, squares), PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(done)] * PIECES), pa.array(pieces, pa.binary())], names=["piece", "weight", "x"])
+
+def _courses(tokens: int) -> int:
+    """Courses that so many training tokens are dealt to, over all rounds."""
+    return ROUNDS * max(1, -(-tokens // (ROUNDS * COURSE)))
+
+
+def _sums(parts: DataFrame, courses: int) -> DataFrame:
+    """piece, weight, x of parts (course, piece, weight, x) added up, FAN courses to a group as often as that takes."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in table.column("x").to_pylist())
+        table = table.sort_by("course")
+        total = np.zeros(0)
+        for x in table.column("x"):
+            own = np.frombuffer(x.as_buffer(), np.float64)
+            total = own + total if len(total) else own
         weight = sum(table.column("weight").to_pylist())
-        return pa.table({"piece": table.column("piece")[:1], "x": pa.array([(total / weight).tobytes()], pa.binary())})
+        return pa.table([table.column("group")[:1], table.column("piece")[:1], pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["course", "piece", "weight", "x"])
+
+    while courses > 1:
+        courses = -(-courses // FAN)
+        parts = parts.withColumn("group", F.floor(F.col("course") / FAN)).groupBy("group", "piece").applyInArrow(add, "course long, piece int, weight double, x binary")
+    return parts
+
+
+def _trained(lessons: DataFrame, vocabulary: Vocabulary, courses: int) -> Network:
+    """The network trained once on all lessons, in rounds: each by all its courses side by side, then averaged by their tokens."""
+    network = Network(vocabulary)
+    squares = {k: np.zeros_like(v) for k, v in network.p.items()}
+
+    def learn(table: pa.Table, seen: float) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("symbols", "ascending")])
+        column = table.column("symbols").combine_chunks()
+        lens = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        symbols = np.frombuffer(b"".join(column.to_pylist()), "<i2").astype(np.int64)
+        own, sums = copy.copy(network), {k: v.copy() for k, v in squares.items()}
+        own.p = {k: v.copy() for k, v in network.p.items()}
+        ends = np.cumsum(lens)
+        early = int(np.searchsorted(ends, FIRST_TOKENS - seen)) if seen < FIRST_TOKENS else 0
+        early = min(early + 1, len(lens)) if seen < FIRST_TOKENS else 0
+        cut = int(ends[early - 1]) if early else 0
+        for part, of, lanes in ((symbols[:cut], lens[:early], FIRST_LANES), (symbols[cut:], lens[early:], TRAIN_LANES)):
+            if len(of):
+                own.train(part, of, sums, lanes)
+        done = float(len(symbols))
+        pieces = [(done * x).tobytes() for x in np.array_split(_flat(own, sums), PIECES)]
+        course = table.column("course")[0].as_py() // ROUNDS
+        tidy()
+        return pa.table([pa.array([course] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([done] * PIECES), pa.array(pieces, pa.binary())], names=["course", "piece", "weight", "x"])
+
+    def after(seen: float) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: learn(table, seen)
 
     for turn in range(ROUNDS):
-        own = lessons.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn).select("symbols", "lens", "n")
-        sums = own.mapInArrow(learn, "piece int, weight double, x binary").groupBy("piece").applyInArrow(add, "piece int, x binary").collect()
+        seen = turn * vocabulary.n / courses
+        own = lessons.where(F.col("course") % ROUNDS == turn).groupBy("course")
+        parts = own.applyInArrow(after(seen), "course long, piece int, weight double, x binary")
+        sums = sorted(_sums(parts, courses // ROUNDS).select("piece", "weight", "x").collect(), key=lambda r: r["piece"])
         if sums:
-            _restored(network, squares, np.concatenate([np.frombuffer(r["x"], np.float64) for r in sorted(sums, key=lambda r: r["piece"])]))
+            _restored(network, squares, np.concatenate([np.frombuffer(r["x"], np.float64) / r["weight"] for r in sums]))
     return network
 
 
@@ -514,8 +580,9 @@ def scored(docs: DataFrame) -> DataFrame:
     for c, count in zip(tail_class(np.array([r["head_counts"] for r in head], np.int64)), [r["head_counts"] for r in head], strict=True):
         mass[c] -= count + 0.5
     vocabulary = Vocabulary(own, np.array([r["head_counts"] for r in head], float), total["v"] or 0, total["n"] or 0, np.maximum(mass, 0))
-    lessons = scratch.table(_lessons(blocks, answers, vocabulary))
-    network = _trained(lessons, vocabulary)
+    courses = _courses(vocabulary.n)
+    lessons = scratch.table(_lessons(blocks, answers, vocabulary, courses))
+    network = _trained(lessons, vocabulary, courses)
     scratch.drop(lessons)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

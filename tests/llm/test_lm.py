@@ -145,3 +145,42 @@ def test_tail_classes_grow():
     assert list(c[:5]) == [0, 1, 2, 3, 4]
     assert (np.diff(c) >= 0).all()
     assert (np.diff(c) <= 1).all()
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 5000)
+    monkeypatch.setattr(lm, "COURSE", 2000)
+    monkeypatch.setattr(lm, "FAN", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(1)).union(spark.createDataFrame([(5, None), (5, None), (5, "")], "doc_id long, text string"))
+    one, many = ([(r.doc_id, r.n_tokens, r.score) for r in lm.scored(df).orderBy("doc_id", "n_tokens", "score").collect()] for df in (docs.coalesce(1), docs.orderBy("text").repartition(9)))
+    assert lm._courses(60_000) > lm.ROUNDS * lm.FAN
+    assert len(one) == docs.count()
+    for (d, n, a), (e, m, b) in zip(one, many, strict=True):
+        assert (d, n) == (e, m)
+        assert abs(a - b) <= 1e-3 * n
+
+
+def test_sums_of_courses_by_steps(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 3)
+    rng = np.random.default_rng(1)
+    rows = [(c, p, float(c + 1), rng.normal(size=4)) for c in range(11) if c != 4 for p in range(2)]
+    parts = spark.createDataFrame([(c, p, w, bytearray(x.tobytes())) for c, p, w, x in rows], "course long, piece int, weight double, x binary")
+    got = {r.piece: r for r in lm._sums(parts, 11).collect()}
+    assert set(got) == {0, 1}
+    for piece, r in got.items():
+        own = [(w, x) for _, p, w, x in rows if p == piece]
+        assert r.weight == sum(w for w, _ in own)
+        np.testing.assert_allclose(np.frombuffer(r.x), sum(x for _, x in own))
+
+
+def test_every_training_text_is_one_lesson(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COURSE", 50)
+    seen = []
+    real = lm._trained
+    monkeypatch.setattr(lm, "_trained", lambda lessons, *rest: seen.append([(r.course, len(r.symbols) // 2) for r in lessons.collect()]) or real(lessons, *rest))
+    x, y, z = [d for d in range(30) if fold(d) != 1][:3]
+    rows = [(x, "a b c")] * 200 + [(y, "a b d " * 20), (z, ""), (None, "a b c")]
+    lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(n for _, n in seen[0]) == sorted([4] * 200 + [61, 1])
+    assert max(Counter(c for c, n in seen[0] if n == 4).values()) < 40
