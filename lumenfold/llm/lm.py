@@ -45,7 +45,7 @@ LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW, TRAIN_LONGEST = 128, 64, 128, 24, 2048
 #: Rounds of training, tokens of a course (on average, at most), and courses whose networks are summed in one group.
 ROUNDS, COURSE, FAN = 4, 1_000_000, 32
 #: Tokens after which training takes TRAIN_LANES documents side by side; up to then FIRST_LANES, for more steps.
-FIRST_TOKENS, FIRST_LANES = 400_000, 16
+FIRST_TOKENS, FIRST_LANES = 400_000, 32
 #: Equal rows of a block that are dealt to one course.
 REPEATS = 8
 #: The learning rate, and what keeps its divisor from zero.
