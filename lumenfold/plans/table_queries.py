@@ -452,7 +452,8 @@ def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     mark = F.when(F.col("p_size") % 2 == 1, " data-state=correct").otherwise(" data-state=incorrect")
     page = t("<body><header>9 / 9</header><main><div>", F.col("p_partkey") % 50 + 1, "<span> / </span>50</div><p>Which <b>", F.col("p_name"), "</b>?<p>x<sup>2</sup></p><ul><li><button><span>A.</span> <i>size</i> ", F.col("p_size"), "</button></li><li", mark, "><div>B) type ", F.col("p_type"), "<i class=mat-icon>radio_button</i></div></li></ul><button>Hint</button></main></body>")
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("capture_id"), F.lit(1).alias("step"), F.lit("pre").alias("phase"), page.alias("html"))
+    parts = built.dealt(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+    rows = parts.select(F.col("p_partkey").cast("string").alias("capture_id"), F.lit(1).alias("step"), F.lit("pre").alias("phase"), page.alias("html"))
     lines = lambda c: F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "¦")
     o = lambda i: F.get("options", F.lit(i))
     return quiz_html.states_of(rows).select("capture_id", lines("root").alias("lines"), F.size("options").alias("n_options"), lines(o(0)["raw"]).alias("first"), lines(o(1)["raw"]).alias("second"), T.marks_right(o(1)["attrs"]).alias("second_marked"))
