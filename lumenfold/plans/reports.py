@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import lang_info, page_title, source_url, title_stem
 from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz, reconcile, report_blocks, trees
 from lumenfold.sources.captures import best_frames, best_read, bodies_for
-from lumenfold.sources.tables import written
+from lumenfold.sources.tables import small_batches, written
 
 
 def stamp(at: datetime | None) -> str:
@@ -30,6 +30,7 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     empty ones. Repeated rows of dom_html or net_bodies change nothing; captures are
     expected once.
     """
+    small_batches(captures.sparkSession)
     pages = reconcile.merged_pages(best_read(dom_html).select("capture_id", "snap_seq", "blocks", "score"))
     mined = json_mining.markdown_of_captures(bodies_for(net_bodies, "report"))
     keyed = captures.where("kind = 'report'").select("capture_id", "share_url", "base", "page_title", "page_url").withColumn("doc_id", F.xxhash64("capture_id"))

@@ -13,6 +13,7 @@ from lumenfold.operators import geometry, html_blocks, json_mining, labels, quiz
 from lumenfold.plans import built, reports
 from lumenfold.plans.registry import query, read
 from lumenfold.sources import captures
+from lumenfold.sources.tables import small_batches
 
 AT = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
@@ -38,6 +39,7 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presentation forms by themselves; labels without invisible characters."""
     forms = F.regexp_replace(F.regexp_replace("text", "e", "\ufefb"), "n", "\ufdf2\xb2")
     label = T.clean_label(F.regexp_replace("text", "([ea])", "$1\u200e\xad"))
+    small_batches(spark)
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(tex.without_forms(forms)).alias("digest"), F.md5(label).alias("label"))
 
 

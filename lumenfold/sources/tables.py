@@ -33,3 +33,14 @@ def dropped(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of an Arrow batch that a Python worker gets. Texts can be long, so the session's usual 10,000 rows could take hundreds of MB.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most BATCH_ROWS rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
