@@ -38,11 +38,10 @@ def maps(captures: DataFrame, frags: DataFrame, links: DataFrame, net_bodies: Da
     taken, low_confidence only if it is. Several roots on a page get one that has the page's title. Captures with neither, or
     with too few nodes, are failures; captures of other kinds are left out; repeated captures, bodies and fragments change nothing.
     """
-    own = captures.where("kind = 'mindmap' and capture_id is not null").groupBy("capture_id").agg(*[F.min(c).alias(c) for c in ("kind", "share_url", "page_title", "page_url")])
-    ids = own.select("capture_id")
-    frags, links, bodies = (t.join(ids, "capture_id", "left_semi") for t in (frags, links, net_bodies))
+    own, frags, links, bodies = _own_maps(captures, frags, links, net_bodies)
     found = written(geometry.maps_of_captures(*_best_frame(frags, links)))
     mined = written(json_mining.trees_of_captures(bodies_for(bodies, "map")))
+    failed = _failed_maps(own, found, mined)
     told = found.groupBy("capture_id").agg(F.first("confidence").alias("confidence"), F.first("warnings").alias("codes"), F.count("*").alias("dom_size"))
     net = json_mining.nodes_of_trees(mined)
     sizes = told.join(net.groupBy("capture_id").agg(F.count("*").alias("network_size")), "capture_id", "full").join(mined.select("capture_id", "url", F.col("score").alias("tree_size")), "capture_id", "left")
@@ -72,8 +71,25 @@ def maps(captures: DataFrame, frags: DataFrame, links: DataFrame, net_bodies: Da
         F.concat(codes, sure).alias("warnings"),
         F.when(~by_dom, source_url(F.col("url"))).alias("network_source"),
     )
-    seen = own.join(choice.select("capture_id", "dom_size", "tree_size"), "capture_id", "left")
-    return nodes, meta, _failed(seen, "mindmap", {"nodes": F.col("dom_size"), "tree_size": F.col("tree_size")})
+    return nodes, meta, failed
+
+
+def _failed_maps(own: DataFrame, found: DataFrame, mined: DataFrame) -> DataFrame:
+    """Captures without enough nodes: by the sizes of the page's maps and the bodies' trees, whose nodes needn't be parsed for it."""
+    sizes = found.groupBy("capture_id").agg(F.count("*").alias("dom_size")).join(mined.select("capture_id", F.col("score").alias("tree_size")), "capture_id", "full")
+    return _failed(own.join(sizes, "capture_id", "left"), "mindmap", {"nodes": F.col("dom_size"), "tree_size": F.col("tree_size")})
+
+
+def failed_maps(captures: DataFrame, frags: DataFrame, links: DataFrame, net_bodies: DataFrame) -> DataFrame:
+    """The failures of maps() alone: capture_id, kind, reason. Neither documents nor their nodes are made."""
+    own, frags, links, bodies = _own_maps(captures, frags, links, net_bodies)
+    return _failed_maps(own, geometry.maps_of_captures(*_best_frame(frags, links)), json_mining.trees_of_captures(bodies_for(bodies, "map")))
+
+
+def _own_maps(captures: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Captures that are maps, each once, and the rows of the tables that are theirs."""
+    own = captures.where("kind = 'mindmap' and capture_id is not null").groupBy("capture_id").agg(*[F.min(c).alias(c) for c in ("kind", "share_url", "page_title", "page_url")])
+    return own, *(t.join(own.select("capture_id"), "capture_id", "left_semi") for t in tables)
 
 
 def map_json(nodes: DataFrame, meta: DataFrame) -> DataFrame:
