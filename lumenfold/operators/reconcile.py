@@ -94,8 +94,8 @@ class _Fold:
         self.largest = []
         self.due = None
 
-    def add(self, snap: int | None, first: bool, blocks: list[str | None]) -> None:
-        """Blocks (JSON) of a snapshot; first tells those of the largest."""
+    def add(self, snap: int | None, first: bool, blocks: list[tuple[str, Any]]) -> None:
+        """Blocks of a snapshot as JSON and as what it parses to; first tells those of the largest."""
         at = (snap is not None, snap or 0)
         if not self.by_size.snapshots or (not first and (at != self.at or self.by_size.snapshots == 1)):
             self.by_size.begin()
@@ -106,10 +106,8 @@ class _Fold:
             if first:
                 self.due = at
         self.at = at
-        for block in blocks:
-            if not block:
-                continue
-            key = _signature(json.loads(block), self.size)
+        for block, told in blocks:
+            key = _signature(told, self.size)
             if self.by_size.add(block, key):
                 self.chars += len(block) + 2
             if first:
@@ -140,7 +138,7 @@ def _folds(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[tupl
                 now, fold = (capture,), _Fold(n, size)
             fold.unread |= text is None
             fold.visible = score if fold.visible is None else max(fold.visible, score if score is not None else fold.visible)
-            blocks = [json.dumps(b, ensure_ascii=False) for b in json.loads(text or "[]")] if of_list else [text]
+            blocks = [(json.dumps(b, ensure_ascii=False), b) for b in json.loads(text or "[]")] if of_list else [(text, json.loads(text))] if text else []
             fold.add(snap, first, blocks)
     if now is not None:
         yield now[0], fold
@@ -157,6 +155,15 @@ def _in_order(snapshots: DataFrame, text: str, *within: str) -> DataFrame:
     return known.sortWithinPartitions("capture_id", F.desc("first"), time, *within).select("capture_id", F.col("snap_seq").cast("int"), "first", "snapshots", text, F.col("score").cast("long"))
 
 
+#: Characters of merged pages that an Arrow batch holds; one page may have more.
+HELD = 1 << 20
+_PAGE = [("capture_id", pa.string()), ("blocks", pa.string()), ("visible", pa.int64()), ("reordered", pa.bool_()), ("unread", pa.bool_())]
+
+
+def _pages(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), _PAGE, strict=True)], names=[name for name, _ in _PAGE])
+
+
 def merged_pages(snapshots: DataFrame, full_signature: bool = False) -> DataFrame:
     """capture_id, blocks (JSON list), visible, reordered, unread: snapshots (capture_id, snap_seq, blocks, score) merged.
 
@@ -167,10 +174,17 @@ def merged_pages(snapshots: DataFrame, full_signature: bool = False) -> DataFram
     size = None if full_signature else SIGNATURE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        chars = 0
         for capture, fold in _folds(batches, size):
             blocks, timed = fold.result()
-            columns = [pa.array([capture], pa.string()), pa.array([f"[{', '.join(blocks)}]"], pa.string()), pa.array([fold.visible], pa.int64()), pa.array([timed]), pa.array([fold.unread])]
-            yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "blocks", "visible", "reordered", "unread"])
+            held.append((capture, f"[{', '.join(blocks)}]", fold.visible, timed, fold.unread))
+            chars += len(held[-1][1])
+            if chars >= HELD:
+                yield _pages(held)
+                held, chars = [], 0
+        if held:
+            yield _pages(held)
 
     return _in_order(snapshots, "blocks").mapInArrow(run, "capture_id string, blocks string, visible long, reordered boolean, unread boolean")
 

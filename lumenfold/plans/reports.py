@@ -39,7 +39,8 @@ def reports(captures: DataFrame, dom_html: DataFrame, net_bodies: DataFrame, dro
     net = report_blocks.blocks_of(keyed.join(mined, "capture_id"), "doc_id", "markdown", report_blocks.from_markdown)
     all_blocks = written(dom.withColumn("method", F.lit("dom")).unionByName(net.withColumn("method", F.lit("network"))))
     texts = written(keyed.select("doc_id").join(_texts(all_blocks), "doc_id", "left"))
-    choice = reconcile.chosen_method(texts.select(F.col("doc_id").alias("capture_id"), "dom_text", "network_text")).withColumnRenamed("capture_id", "doc_id")
+    # written, for the blocks, their statistics (twice) and meta each need it
+    choice = written(reconcile.chosen_method(texts.select(F.col("doc_id").alias("capture_id"), "dom_text", "network_text")).withColumnRenamed("capture_id", "doc_id"))
     blocks = all_blocks.join(choice.select("doc_id", "method"), ["doc_id", "method"]).drop("method")
     stats = report_blocks.statistics(blocks)
     shown = report_blocks.without_rules(blocks) if drop_rules else blocks
