@@ -6,12 +6,15 @@ need Unicode tables or functions of a match; those steps are in lumenfold.functi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 # Classes of characters, as bodies of regular-expression classes.
 SPACE = "\\t-\\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # SPACE, one by one
 INVISIBLE = "\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff\xad"
 ARABIC = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
 ARABIC_LETTER = "\u0621-\u064a"
@@ -27,7 +30,12 @@ WORD_FIXES = {"محلو ل": "محلول"}
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f takes it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def collapse(c: Column) -> Column:
@@ -53,7 +61,7 @@ def latin_digits(c: Column, persian: bool = True) -> Column:
 def split_lines(c: Column) -> Column:
     """Lines ended by any Unicode line end; no empty line after the last end."""
     lines = F.split(F.regexp_replace(c, "\\r\\n?", "\n"), f"[{LINE_ENDS}]")
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return bound(lines, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def clean_text(c: Column, digits: str = "keep") -> Column:

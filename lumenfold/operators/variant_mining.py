@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import markdown as M
-from lumenfold.functions.text import split_lines, strip
+from lumenfold.functions.text import SPACES, bound, split_lines, strip
 from lumenfold.operators.json_mining import BARE, HIDDEN, LEAST_SCORE, TEXT, VALUE_LEVELS
 from lumenfold.sources.tables import dropped, written
 
@@ -34,7 +34,7 @@ def _first(pair: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """The VARIANT that a text is as a whole, null if it isn't JSON. Through arrays, so that it is parsed once."""
-    return F.get(F.transform(F.transform(F.array(text), _pair), _first), F.lit(0))
+    return bound(bound(text, _pair), _first)
 
 
 def _begins(text: Column) -> Column:
@@ -43,11 +43,22 @@ def _begins(text: Column) -> Column:
 
 def documents(body: Column) -> Column:
     """What parses of a body as a whole and of each of its lines, equal ones once, without the prefix that guards against inclusion: an array with nulls for what doesn't."""
-    whole = F.regexp_replace(strip(body), r"^\)\]\}'", "")
-    parts = F.array_distinct(F.filter(F.transform(F.concat(F.array(whole), split_lines(whole)), strip), _begins))
+    whole = bound(strip(body), lambda x: F.when(x.startswith(")]}'"), F.substr(x, F.lit(5))).otherwise(x))
+    parts = bound(whole, lambda x: F.array_distinct(F.filter(F.transform(F.concat(F.array(x), split_lines(x)), strip), _begins)))
     return F.transform(F.transform(parts, _pair), _first)
 
 
+def _kept(v: Column) -> Column:
+    """text and v of a value, one of them null, as an array: none for what is neither a string nor a container. A kind takes a look at all that a value holds, so it is made once."""
+
+    def either(x: Column) -> Column:
+        is_text = x["kind"] == "STRING"
+        return F.struct(F.when(is_text, F.try_variant_get(x["v"], "$", "string")).alias("text"), F.when(~is_text, x["v"]).alias("v"))
+
+    kinds = F.transform(F.array(v), lambda x: F.struct(F.schema_of_variant(x).alias("kind"), x.alias("v")))
+    return F.transform(F.filter(kinds, lambda x: x["kind"].rlike("^(STRING$|OBJECT|ARRAY)")), either)
+
+
 def texts_of_captures(bodies: DataFrame) -> DataFrame:
     """capture_id, seq, url, at, text: strings of over 300 characters and several lines in bodies (capture_id, seq, url, body), JSON within strings opened.
 
@@ -59,18 +70,19 @@ def texts_of_captures(bodies: DataFrame) -> DataFrame:
     first = F.transform(F.filter(F.transform("found", lambda v, i: F.struct(F.array(i).alias("at"), v.alias("v"))), lambda x: x["v"].isNotNull()), lambda x: x)
     rows = written(own.select(*id_, F.when(F.forall("found", lambda v: v.isNull()) & (F.length("body") > BARE) & F.contains("body", F.lit("\n")), F.col("body")).alias("bare"), first.alias("first")))
     texts = rows.where("bare is not null").select(*id_, F.array(F.lit(0)).alias("at"), F.col("bare").alias("text"))
-    level = written(rows.select(*id_, F.inline("first")).withColumn("kind", F.schema_of_variant("v")))
+    level = written(rows.select(*id_, F.inline("first")).select(*id_, "at", F.inline(_kept(F.col("v")))))
     done = [level]
     for _ in range(VALUE_LEVELS + 1):
-        strings = level.where("kind = 'STRING'").select(*id_, "at", F.try_variant_get("v", "$", "string").alias("text"))
+        strings = level.where("text is not null").select(*id_, "at", "text")
         texts = texts.unionByName(strings.where((F.length("text") > TEXT) & F.contains("text", F.lit("\n"))))
         if len(done) > VALUE_LEVELS:
             break
-        held = level.where("kind like 'OBJECT%' or kind like 'ARRAY%'")
+        held = level.where("v is not null").select(*id_, "at", "v")
         inside = held.lateralJoin(held.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*id_, F.concat("at", F.array("pos")).alias("at"), F.col("value").alias("v"))
         bare = strip(F.col("text"))
-        opened = strings.where((F.length(bare) > HIDDEN) & _begins(bare)).select(*id_, F.concat("at", F.array(F.lit(0))).alias("at"), parsed(bare).alias("v")).where("v is not null")
-        level = written(inside.unionByName(opened).withColumn("kind", F.schema_of_variant("v")).where("kind = 'STRING' or kind like 'OBJECT%' or kind like 'ARRAY%'"))
+        json = strings.where(_begins(F.ltrim(F.col("text"), F.lit(SPACES))) & (F.length(bare) > HIDDEN))  # most strings are no JSON by their first character
+        opened = json.select(*id_, F.concat("at", F.array(F.lit(0))).alias("at"), parsed(bare).alias("v"))
+        level = written(inside.unionByName(opened).select(*id_, "at", F.inline(_kept(F.col("v")))))
         if level.isEmpty():
             break
         done.append(level)

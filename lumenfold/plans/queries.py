@@ -249,7 +249,8 @@ def _mined_bodies(spark: SparkSession, sf_dir: str, deep: bool = False) -> DataF
     text = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\n\n- "), F.regexp_replace("text", "\n", "\n- "))
     held = F.to_json(F.struct(F.array(text).alias("answers")))
     body = F.to_json(F.struct(F.lit(1).alias("n"), F.array(F.struct(held.alias("json"))).alias("parts"))) if deep else held
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), F.concat(F.lit(")]}'\n"), body).alias("body"))
+    docs = built.dealt(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select(F.col("source").alias("capture_id"), F.col("doc_id").alias("seq"), F.col("source").alias("url"), F.concat(F.lit(")]}'\n"), body).alias("body"))
 
 
 @query(_MINED)

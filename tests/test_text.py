@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -117,3 +118,13 @@ def test_cleaning_and_parsing_properties(text):
         if b["type"] == "table":
             assert {len(r) for r in b["rows"]} == {b["cols"]}
     report_blocks.to_markdown(report_blocks.from_markdown(text))
+
+
+def test_strip_of_every_character_in_linear_time(spark):
+    spaces = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and re.fullmatch(r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", chr(i))]
+    others = [c for c in map(chr, range(1, 0x3100)) if c not in spaces]
+    texts = [a + "x y" + a for a in spaces] + [c + "x" + c for c in others] + ["", " ", " \n\u3000", "\r\n a\x85\n"]
+    assert values(spark, T.strip, texts) == [t.strip("".join(spaces)) for t in texts]
+    began = time.time()
+    assert values(spark, T.strip, ["x" + " " * 300_000 + "x"]) == ["x" + " " * 300_000 + "x"]
+    assert time.time() - began < 10
