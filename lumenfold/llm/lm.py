@@ -75,12 +75,22 @@ def _unpack(b: bytes | None, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if b else np.zeros(0, kind)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and the place of each number among them; only distinct ones are sorted."""
+    coded = pa.array(x).dictionary_encode()
+    found, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[place]
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """The blocks of docs (doc_id, rest, text): rest is 1 for held-out documents, 2 for those that are not learnt from either."""
 
     def block(number: int, ids: list[Any], rest: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
         lens = np.array([len(w) for w in words], np.int64)
-        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+        distinct, place = _distinct(np.concatenate(words))
         learnt = np.repeat(np.array(rest) == 0, lens)
         counts = np.bincount(place[learnt], minlength=len(distinct)).astype(np.int32)
         null = np.array([i is None for i in ids])
@@ -131,7 +141,7 @@ def _answers(blocks: DataFrame, parts: int) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
         counts = [np.frombuffer(b, np.int32) for b in table.column("counts").to_pylist()]
-        distinct, place = np.unique(np.concatenate(own), return_inverse=True)
+        distinct, place = _distinct(np.concatenate(own))
         total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
         ends = np.cumsum([len(x) for x in own])
         back = [_pack(total[place[e - len(x) : e]]) for x, e in zip(own, ends, strict=True)]
@@ -266,31 +276,35 @@ class Network:
         recurrent part of new before its gate.
         """
         k = HIDDEN
-        x, u = np.ascontiguousarray(self.p["x"][before].transpose(0, 2, 1)), np.ascontiguousarray(self.p["u"].T)
+        x, u = np.ascontiguousarray(np.take(self.p["x"], before, 0).transpose(0, 2, 1)), np.ascontiguousarray(self.p["u"].T)
         out = np.empty((len(before), k, before.shape[1]), x.dtype)
-        prev, inner = (np.empty_like(out), np.empty_like(out)) if keep is not None else (None, None)
-        fresh = begins.any(1)
-        for t in range(len(before)):
-            if fresh[t]:
-                h = np.where(begins[t], x.dtype.type(0), h)
-            a = u @ h
-            gates, new, d = x[t, : 2 * k], x[t, 2 * k :], out[t]
-            gates += a[: 2 * k]
-            gates *= 0.5
-            np.tanh(gates, gates)
-            gates *= 0.5
-            gates += 0.5
-            if keep is not None:
-                prev[t], inner[t] = h, a[2 * k :]
-            a[2 * k :] *= gates[:k]
-            new += a[2 * k :]
-            np.tanh(new, new)
-            np.subtract(h, new, d)
-            d *= gates[k:]
-            d += new
-            h = d
+        a = np.empty_like(x if keep is not None else x[:1])
+        part, first = np.empty_like(out[0]), h
+        fresh, goes_on = begins.any(1), (~begins).astype(x.dtype)
+        np.negative(x[:, : 2 * k], x[:, : 2 * k])
+        np.negative(u[: 2 * k], u[: 2 * k])
+        with np.errstate(over="ignore"):  # a gate whose exponential is infinite is 0
+            for t in range(len(before)):
+                if fresh[t]:
+                    h = h * goes_on[t]
+                own = np.matmul(u, h, out=a[t if keep is not None else 0])
+                gates, new, d = x[t, : 2 * k], x[t, 2 * k :], out[t]
+                gates += own[: 2 * k]
+                np.exp(gates, gates)
+                gates += 1
+                np.reciprocal(gates, gates)
+                np.multiply(own[2 * k :], gates[:k], part)
+                new += part
+                np.tanh(new, new)
+                np.subtract(h, new, d)
+                d *= gates[k:]
+                d += new
+                h = d
         if keep is not None:
-            keep += [x, prev, inner, fresh]
+            prev = np.concatenate([first[None], out[:-1]])
+            for t in np.flatnonzero(fresh):
+                prev[t][:, begins[t]] = 0
+            keep += [x, prev, a[:, 2 * k :], fresh]
         return out
 
     def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,17 +315,27 @@ class Network:
     def log_probabilities(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The natural logarithm of each symbol's probability in its state (a column of states)."""
         classes, n = self.classes(symbols), np.arange(len(symbols))
-        logits = _shifted(self.p["c"].T @ states, self.p["cb"])
-        out = logits[classes, n]
-        out -= np.log(np.exp(logits, logits).sum(0))
         order, cuts = self._by_class(classes)
-        head = order[: cuts[-1]]
-        own, word = states[:, head], symbols[head] % CLASS
+        own = _with_ones(states, order)
+        logits = _logits(*_joined(self.p["c"], self.p["cb"]), own)
+        some = logits[classes[order], n]
+        some -= np.log(np.exp(logits, logits).sum(0))
+        inner = self._words(own, cuts)
+        some[: cuts[-1]] += inner[symbols[order[: cuts[-1]]] % CLASS, n[: cuts[-1]]] - np.log(np.exp(inner).sum(0))
+        out = np.empty_like(some)
+        out[order] = some
+        return out
+
+    def _words(self, own: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The logits of the words in each token's class, tokens (columns of own) in order of their classes."""
+        weights, safe = _joined(self.p["w"], self.p["wb"])
+        out = np.empty((CLASS, cuts[-1]), own.dtype)
         for c in range(self.vocabulary.classes):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                inner = _shifted(self.p["w"][c].T @ own[:, a:b], self.p["wb"][c])
-                out[head[a:b]] += inner[word[a:b], n[: b - a]] - np.log(np.exp(inner).sum(0))
+                np.matmul(weights[c].T, own[:, a:b], out=out[:, a:b])
+                if not safe[c]:
+                    out[:, a:b] -= out[:, a:b].max(0)
         return out
 
     def score(self, symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -343,14 +367,11 @@ class Network:
             rows = slice(t, t + TRAIN_WINDOW)
             grads, h = self._gradients(at[rows, :live], before[rows, :live], begins[rows, :live], symbols, h[:, :live])
             seen, g = grads.pop("x")
-            grads = {k: (..., v) for k, v in grads.items()} | {"x": (seen, g)}
-            for k, (where, g) in grads.items():
-                total = squares[k][where]
-                total += g * g
-                squares[k][where] = total
-                g /= np.sqrt(total + TINY)
-                g *= RATE
-                self.p[k][where] -= g
+            total = squares["x"][seen]
+            self.p["x"][seen] -= _step(g, total)
+            squares["x"][seen] = total
+            for k, g in grads.items():
+                self.p[k] -= _step(g, squares[k])
         return self
 
     def _gradients(self, at: np.ndarray, before: np.ndarray, begins: np.ndarray, symbols: np.ndarray, h: np.ndarray) -> tuple[dict[str, Any], np.ndarray]:
@@ -358,64 +379,95 @@ class Network:
         k, p, kept = HIDDEN, self.p, []
         states = self.run(before, begins, h, kept)
         x, prev, inner, fresh = kept
-        flat, here = states.transpose(1, 0, 2).reshape(k, -1), at.ravel()
+        here = at.ravel()
         some = np.flatnonzero(here >= 0)
-        own, goal = flat[:, some], symbols[here[some]]
-        classes, n, scale = self.classes(goal), np.arange(len(goal)), own.dtype.type(1 / max(len(goal), 1))
+        goal = symbols[here[some]]
+        classes, n, scale = self.classes(goal), np.arange(len(goal)), states.dtype.type(1 / max(len(goal), 1))
+        order, cuts = self._by_class(classes)
+        heads, place = int(cuts[-1]), some[order]
+        own = _with_ones(states.transpose(1, 0, 2).reshape(k, -1), place)
 
         def errors(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
             e = np.exp(logits, logits)
-            e /= e.sum(0)
-            e[right, n[: len(right)]] -= 1
-            e *= scale
+            e *= scale / e.sum(0)
+            e[right, n[: len(right)]] -= scale
             return e
 
-        e = errors(_shifted(p["c"].T @ own, p["cb"]), classes)
-        g: dict[str, Any] = {"c": own @ e.T, "cb": e.sum(1), "u": np.zeros_like(p["u"]), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        d_own = p["c"] @ e
-        order, cuts = self._by_class(classes)
-        head = order[: cuts[-1]]
-        of_head, word, d_head = own[:, head], goal[head] % CLASS, np.empty((k, len(head)), own.dtype)
+        e = errors(_logits(*_joined(p["c"], p["cb"]), own), classes[order])
+        g_classes, g_words = own @ e.T, np.zeros((len(p["w"]), k + 1, CLASS), own.dtype)
+        d_own = np.zeros((k, len(goal) + 1), own.dtype)  # the last column is for places without a token
+        np.matmul(p["c"], e, out=d_own[:, :-1])
+        f, d_head = errors(self._words(own, cuts), goal[order[:heads]] % CLASS), np.empty((k, heads), own.dtype)
         for c in range(self.vocabulary.classes):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                f = errors(_shifted(p["w"][c].T @ of_head[:, a:b], p["wb"][c]), word[a:b])
-                g["w"][c], g["wb"][c], d_head[:, a:b] = of_head[:, a:b] @ f.T, f.sum(1), p["w"][c] @ f
-        d_own[:, head] += d_head
-        d_states = np.zeros_like(flat)
-        d_states[:, some] = d_own
-        d_states = d_states.reshape(k, len(before), -1)
+                np.matmul(own[:, a:b], f[:, a:b].T, out=g_words[c])
+                np.matmul(p["w"][c], f[:, a:b], out=d_head[:, a:b])
+        d_own[:, :heads] += d_head
+        column = np.full(len(here), len(goal))
+        column[place] = n
+        d_states = np.take(d_own, column, 1).reshape(k, len(before), -1)
         r, z, new = x[:, :k], x[:, k : 2 * k], x[:, 2 * k :]
+        # what an error of a state is multiplied by to be one of: the new part, reset, update, the recurrent part of new
+        by = np.empty((len(before), 4, *h.shape), x.dtype)
         rest = 1 - z
-        to_new, to_update, to_reset = rest * (1 - new * new), (prev - new) * z * rest, inner * r * (1 - r)
-        dx, inner_errors, back = np.empty_like(x), np.empty_like(inner), np.zeros_like(h)
-        gates, cells = np.ascontiguousarray(p["u"][:, : 2 * k]), np.ascontiguousarray(p["u"][:, 2 * k :])
+        np.multiply(rest, 1 - new * new, by[:, 0])
+        np.multiply(by[:, 0], inner * r * (1 - r), by[:, 1])
+        np.multiply((prev - new) * z, rest, by[:, 2])
+        np.multiply(by[:, 0], r, by[:, 3])
+        back, part = np.zeros_like(h), np.empty_like(states[0])
         for t in range(len(before) - 1, -1, -1):
             back += d_states[:, t]
-            dr, dz, dn = dx[t, :k], dx[t, k : 2 * k], dx[t, 2 * k :]
-            np.multiply(back, to_new[t], dn)
-            np.multiply(back, to_update[t], dz)
-            np.multiply(dn, to_reset[t], dr)
-            np.multiply(dn, r[t], inner_errors[t])
+            by[t] *= back
             back *= z[t]
-            back += gates @ dx[t, : 2 * k]
-            back += cells @ inner_errors[t]
+            back += np.matmul(p["u"], by[t, 1:].reshape(3 * k, -1), out=part)
             if fresh[t]:
-                back = np.where(begins[t], x.dtype.type(0), back)
-        g["u"][:, : 2 * k] = np.matmul(prev, dx[:, : 2 * k].transpose(0, 2, 1)).sum(0)
-        g["u"][:, 2 * k :] = np.matmul(prev, inner_errors.transpose(0, 2, 1)).sum(0)
-        rows, seen = dx.transpose(0, 2, 1).reshape(-1, 3 * k), before.ravel()
+                back *= ~begins[t]
+        g: dict[str, Any] = {"c": g_classes[:k], "cb": g_classes[k], "w": g_words[:, :k], "wb": g_words[:, k]}
+        g["u"] = np.matmul(prev, by[:, 1:].reshape(len(before), 3 * k, -1).transpose(0, 2, 1)).sum(0)
+        rows, seen = by[:, :3].reshape(len(before), 3 * k, -1).transpose(0, 2, 1).reshape(-1, 3 * k), before.ravel()
         order = np.argsort(seen, kind="stable")
         starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
-        g["x"] = seen[order[starts]], np.add.reduceat(rows[order], starts, axis=0)
+        sums = np.add.reduceat(np.take(rows, order, 0), starts, axis=0)
+        g["x"] = seen[order[starts]], np.roll(sums, -k, 1)
         return g, states[-1]
 
 
-def _shifted(products: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits whose largest in every column is 0."""
-    products += bias[:, None]
-    products -= products.max(0)
-    return products
+def _step(g: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What a gradient changes of its parameters; its squares are added to total."""
+    total += g * g
+    root = total + TINY
+    np.sqrt(root, root)
+    g = np.divide(g, root, root)
+    g *= RATE
+    return g
+
+
+def _with_ones(states: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Columns of states, with a row of ones for biases."""
+    out = np.empty((len(states) + 1, len(columns)), states.dtype)
+    np.take(states, columns, 1, out[:-1], mode="clip")
+    out[-1] = 1
+    return out
+
+
+def _joined(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights with their biases as one more row, the largest bias 0, and whether exponentials of logits stay in range as they are.
+
+    States lie between -1 and 1, so weights bound what logits can be.
+    """
+    bias = bias - bias.max(-1, keepdims=True)
+    most = np.abs(weights).sum(-2)
+    safe = ((bias + most).max(-1) < 80) & ((bias - most).max(-1) > -80)
+    return np.concatenate([weights, bias[..., None, :]], -2), safe
+
+
+def _logits(weights: np.ndarray, safe: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logits of columns of states; the largest in every column is 0 where exponentials could leave their range."""
+    out = weights.T @ own
+    if not safe:
+        out -= out.max(0)
+    return out
 
 
 def _flat(network: Network, squares: dict[str, np.ndarray]) -> np.ndarray:
@@ -457,8 +509,9 @@ def _lessons(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary, cour
             lens = lens[learnt]
             first = np.cumsum(lens) - lens
             owner = np.repeat(np.arange(len(lens)), lens)
-            _, place, times = np.unique(owner * np.int64(len(hashes)) + ids, return_inverse=True, return_counts=True)
-            symbols = vocabulary.symbols(hashes[ids], counts[ids] - times[place]).astype("<i2")
+            place = pa.array(owner * np.int64(len(hashes)) + ids).dictionary_encode().indices.to_numpy()  # a word's own number in each document
+            known, others = vocabulary.symbols(hashes, counts)[ids], counts[ids] - np.bincount(place)[place]
+            symbols = np.where(known < vocabulary.size, known, vocabulary.size + tail_class(others)).astype("<i2")
             key = _mixed(doc_ids ^ _mixed(np.add.reduceat(hashes[ids] * (2 * (np.arange(len(ids)) - first[owner]) + 1).astype(np.uint64), first)))
             _, same, n = np.unique(key, return_inverse=True, return_counts=True)
             nth = np.empty(len(key), np.uint64)

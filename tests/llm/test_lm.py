@@ -184,3 +184,48 @@ def test_every_training_text_is_one_lesson(spark, monkeypatch):
     lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(n for _, n in seen[0]) == sorted([4] * 200 + [61, 1])
     assert max(Counter(c for c, n in seen[0] if n == 4).values()) < 40
+
+
+def plain_steps(network, before, begins, h):
+    """The states of a window, one step after another, as the unit is defined."""
+    p, k, out = network.p, lm.HIDDEN, []
+    for b, fresh in zip(before, begins, strict=True):
+        h = np.where(fresh, 0, h)
+        x, a = p["x"][b].T, p["u"].T @ h
+        r, z = (1 / (1 + np.exp(-x[i : i + k] - a[i : i + k])) for i in (0, k))
+        new = np.tanh(x[2 * k :] + r * a[2 * k :])
+        h = new + z * (h - new)
+        out.append(h)
+    return np.array(out)
+
+
+def test_large_weights_stay_finite(small):
+    """Logits are shifted only where exponentials could leave their range; gates far from 0 are 0 or 1."""
+    vocabulary, symbols, lens = small
+    network = lm.Network(vocabulary)
+    network.p = {k: v * 400 for k, v in network.p.items()}
+    at, before, begins, _ = lm._grid(symbols, lens, 3, vocabulary.inputs - 1)
+    h = np.zeros((lm.HIDDEN, at.shape[1]), np.float32)
+    states = network.run(before, begins, h)
+    with np.errstate(over="ignore"):
+        np.testing.assert_allclose(states, plain_steps(network, before, begins, h), atol=1e-3)
+    grads, _ = network._gradients(at, before, begins, symbols, h)
+    assert all(np.isfinite(g).all() for g in (grads.pop("x")[1], *grads.values()))
+    every = np.arange(vocabulary.size + vocabulary.tails)
+    p = network.log_probabilities(np.repeat(states[-1][:, :1], len(every), 1), every)
+    assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_states_as_defined(small):
+    vocabulary, symbols, lens = small
+    network = lm.Network(vocabulary)
+    at, before, begins, _ = lm._grid(symbols, lens, 3, vocabulary.inputs - 1)
+    h = np.zeros((lm.HIDDEN, at.shape[1]), np.float32)
+    np.testing.assert_allclose(network.run(before, begins, h), plain_steps(network, before, begins, h), atol=1e-5)
+
+
+def test_distinct_numbers_in_order():
+    x = np.random.default_rng(4).integers(0, 50, 500).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for y in (x, x[:1], x[:0]):
+        for a, b in zip(lm._distinct(y), np.unique(y, return_inverse=True), strict=True):
+            np.testing.assert_array_equal(a, b)
