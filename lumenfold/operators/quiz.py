@@ -210,10 +210,14 @@ def summary(written: DataFrame) -> DataFrame:
     return written.groupBy("capture_id").agg(F.min_by("total", "step").alias("total_declared"), F.count("*").alias("total_extracted"), F.sum(F.size("warnings")).alias("warnings_count"))
 
 
+def question_json() -> Column:
+    """A written question as JSON."""
+    return F.to_json(F.struct("id", "number", "question", "hint", "options", "answer", "warnings"), {"ignoreNullFields": "false"})
+
+
 def as_json(written: DataFrame) -> DataFrame:
     """capture_id, questions: each capture's questions as one JSON array, in order."""
-    cols = ["id", "number", "question", "hint", "options", "answer", "warnings"]
-    rows = F.array_sort(F.collect_list(F.struct("step", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("q"))))
+    rows = F.array_sort(F.collect_list(F.struct("step", question_json().alias("q"))))
     return written.groupBy("capture_id").agg(rows.alias("r")).select("capture_id", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["q"]), ","), F.lit("]")).alias("questions"))
 
 

@@ -120,17 +120,8 @@ def map_json(nodes: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.select("capture_id", F.concat(F.lit('{"schema":"mindmap-1.0","meta":'), "meta", F.lit(',"root":'), "root", F.lit(',"nodes":['), "nodes", F.lit("]}")).alias("json"))
 
 
-def quizzes(captures: DataFrame, states: DataFrame, reveal: bool = True, hints: bool = True, at: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, text, failures) of quiz captures: capture_id and the JSON of meta (version 2.0) and questions; capture_id and text.
-
-    A capture without a numbered question, or whose questions have no option, is a failure. Captures of other kinds are left out;
-    repeated captures change nothing. title is the capture's base.
-    """
-    own = captures.where("kind = 'quiz' and capture_id is not null").groupBy("capture_id").agg(*[F.min(c).alias(c) for c in ("kind", "share_url", "base", "page_url")])
-    found = written(quiz.until_repeated(quiz.questions(states.join(own.select("capture_id"), "capture_id", "left_semi"), reveal, hints)))
-    checked = written(quiz.checked(found, reveal))
-    usable = checked.groupBy("capture_id").agg(F.count_if(F.size("options") > 0).alias("usable"))
-    good = usable.where("usable > 0").select("capture_id")
+def _quiz_meta(reveal: bool, at: datetime | None) -> Column:
+    """The meta of a quiz's document as JSON."""
     meta = F.struct(
         F.lit("2.0").alias("schema_version"),
         F.col("base").alias("title"),
@@ -142,7 +133,47 @@ def quizzes(captures: DataFrame, states: DataFrame, reveal: bool = True, hints:
         F.array(F.lit("en"), F.lit("ar")).alias("languages"),
         "warnings_count",
     )
+    return F.to_json(meta, {"ignoreNullFields": "false"})
+
+
+def _own_quizzes(captures: DataFrame, states: DataFrame, reveal: bool, hints: bool) -> tuple[DataFrame, DataFrame]:
+    """Captures that are quizzes, each once, and their questions."""
+    own = captures.where("kind = 'quiz' and capture_id is not null").groupBy("capture_id").agg(*[F.min(c).alias(c) for c in ("kind", "share_url", "base", "page_url")])
+    return own, quiz.until_repeated(quiz.questions(states.join(own.select("capture_id"), "capture_id", "left_semi"), reveal, hints))
+
+
+def quizzes(captures: DataFrame, states: DataFrame, reveal: bool = True, hints: bool = True, at: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, text, failures) of quiz captures: capture_id and the JSON of meta (version 2.0) and questions; capture_id and text.
+
+    A capture without a numbered question, or whose questions have no option, is a failure. Captures of other kinds are left out;
+    repeated captures change nothing. title is the capture's base. A document and a text are one value each, which a task holds;
+    quiz_lines() gives the documents of large quizzes.
+    """
+    own, made = _own_quizzes(captures, states, reveal, hints)
+    found = written(made)
+    checked = written(quiz.checked(found, reveal))
+    usable = checked.groupBy("capture_id").agg(F.count_if(F.size("options") > 0).alias("usable"))
+    good = usable.where("usable > 0").select("capture_id")
     joined = own.join(good, "capture_id").join(quiz.summary(checked), "capture_id").join(quiz.as_json(checked), "capture_id")
-    documents = joined.select("capture_id", F.concat(F.lit('{"meta":'), F.to_json(meta, {"ignoreNullFields": "false"}), F.lit(',"questions":'), "questions", F.lit("}")).alias("json"))
+    documents = joined.select("capture_id", F.concat(F.lit('{"meta":'), _quiz_meta(reveal, at), F.lit(',"questions":'), "questions", F.lit("}")).alias("json"))
     text = quiz.as_text(found).join(good, "capture_id")
     return documents, text, _failed(own.join(usable, "capture_id", "left"), "quiz", {"questions": F.col("usable")})
+
+
+def quiz_lines(captures: DataFrame, states: DataFrame, reveal: bool = True, hints: bool = True, at: datetime | None = None) -> DataFrame:
+    """capture_id, part, step, line: the documents of quizzes() by lines, which joined in the order of part and step are the JSON.
+
+    Part 0 is the line with meta, 1 a line for each question, with a comma before it unless it is the first, 2 the end. No row
+    holds more than a question, however many a quiz has.
+    """
+    own, made = _own_quizzes(captures, states, reveal, hints)
+    checked = written(quiz.checked(made, reveal))
+    told = checked.groupBy("capture_id").agg(F.count_if(F.size("options") > 0).alias("usable"), F.min(F.struct("step")).alias("first"))
+    good = told.where("usable > 0").select("capture_id", "first")
+    line = lambda part, step, *text: ("capture_id", F.lit(part).alias("part"), step.alias("step"), F.concat(*text).alias("line"))
+    none = F.lit(None).cast("int")
+    heads = own.join(good, "capture_id").join(quiz.summary(checked), "capture_id").select(*line(0, none, F.lit('{"meta":'), _quiz_meta(reveal, at), F.lit(',"questions":[')))
+    comma = F.when(F.struct("step").eqNullSafe(F.col("first")), "").otherwise(",")
+    questions = checked.join(good, "capture_id").select(*line(1, F.col("step"), comma, quiz.question_json()))
+    ends = own.join(good, "capture_id").select(*line(2, none, F.lit("]}")))
+    return heads.unionByName(questions).unionByName(ends)
