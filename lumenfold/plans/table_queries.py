@@ -297,9 +297,9 @@ select doc_id::varchar as capture_id, 'report-1.0' as schema, title, 'b001' as f
 
 def looked_into(documents: DataFrame) -> DataFrame:
     """What reports (capture_id, json) hold."""
-    get = lambda path: F.get_json_object("json", path)
-    count = F.size(F.from_json(get("$.blocks"), "array<struct<id:string>>"))
-    return documents.select("capture_id", get("$.schema").alias("schema"), get("$.meta.title").alias("title"), get("$.outline[0].id").alias("first_id"), get("$.blocks[0].text").alias("first_heading"), get("$.outline[0].level").cast("int").alias("last_level"), count.alias("n_blocks"))
+    held = F.from_json("json", "struct<schema:string,meta:struct<title:string>,outline:array<struct<id:string,level:int>>,blocks:array<struct<id:string,text:string>>>")
+    head, block = F.get("d.outline", F.lit(0)), F.get("d.blocks", F.lit(0))
+    return documents.select("capture_id", held.alias("d")).select("capture_id", "d.schema", "d.meta.title", head["id"].alias("first_id"), block["text"].alias("first_heading"), head["level"].alias("last_level"), F.size("d.blocks").alias("n_blocks"))
 
 
 @query(REPORT_DOCUMENTS_SQL)
