@@ -52,5 +52,5 @@ def bundle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lumenfold-{uuid.uuid4().hex}"
     bundles.register(spark)
     reports.report_json(blocks, meta).write.format("captures").option("fan", 2).mode("append").save(path)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    return looked_into(files.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("capture_id"), F.col("value").alias("json")))
+    files = spark.read.format("captures").option("table", "documents").load(path)
+    return looked_into(files.select(F.col("name").alias("capture_id"), "json"))

@@ -8,6 +8,7 @@ that kind only. Files and folders whose names begin with _ or . are passed over.
     bodies = spark.read.format("captures").option("table", "net_bodies").load(path)
     arriving = spark.readStream.format("captures").option("table", "dom_html").load(path)
     documents.write.format("captures").mode("append").save(path)  # capture_id, json: a file for each
+    spark.read.format("captures").option("table", "documents").load(path)  # those files again: name (without .json), json
 
 Options of reading: table (captures); kind, to read folders of one kind; split, bytes of a task (64 MB; plain files are cut at
 lines, those with gzip are read whole); mode, FAILFAST to fail at a line that is no JSON object, which is passed over otherwise;
@@ -37,6 +38,8 @@ from lumenfold.sources.schemas import SCHEMAS
 
 #: Rows and bytes of lines of an Arrow batch.
 ROWS, BYTES = 512, 4 << 20
+#: Folders that a task remembers to have made.
+FOLDERS = 65_536
 
 
 def _system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -231,6 +234,48 @@ class CaptureStream(_Rows, DataSourceStreamReader):
         return self.rows(partition)
 
 
+#: Columns of written documents.
+DOCUMENTS = "name string, json string"
+
+
+@dataclass
+class Folder(InputPartition):
+    """A folder whose documents a task lists and reads, with or without those of the folders in it."""
+
+    path: str
+    deep: bool
+
+
+class DocumentReader(DataSourceReader):
+    """Written documents, a task for each folder of the fan. The driver lists the folders only; files are listed where they are read."""
+
+    def __init__(self, schema: T.StructType, options: dict[str, str]) -> None:
+        self.schema, self.path = schema, options["path"]
+
+    def partitions(self) -> list[Folder]:
+        fs, base = _system(self.path)
+        found = fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=False))
+        inner = sorted(f.path for f in found if f.type == pa.fs.FileType.Directory and not _hidden(f.path, base))
+        return [Folder(base, False), *(Folder(path, True) for path in inner)]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        fs, _ = _system(self.path)
+        arrow = to_arrow_schema(self.schema)
+        held, size = [], 0
+        for f in fs.get_file_info(pa.fs.FileSelector(partition.path, recursive=partition.deep)):
+            if f.type != pa.fs.FileType.File or _hidden(f.path, partition.path) or not f.path.endswith(".json"):
+                continue
+            with fs.open_input_stream(f.path) as raw:
+                data = raw.read()
+            held.append({"name": f.base_name.removesuffix(".json"), "json": data.decode()})
+            size += len(data)
+            if len(held) >= ROWS or size > BYTES:
+                yield pa.RecordBatch.from_pylist(held, arrow)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     documents: int
@@ -254,14 +299,17 @@ class DocumentWriter(DataSourceWriter):
     def write(self, rows: Iterator[Row]) -> Written:
         fs, base = _system(self.path)
         n = size = 0
+        there: set[str] = set()
         for row in rows:
             if row["capture_id"] is None or row["json"] is None:
                 continue
             data = row["json"].encode()
             folder, name = self._place(row["capture_id"])
             at = f"{base}/{folder}" if folder else base
-            if folder:
+            if folder not in there:
                 fs.create_dir(at, recursive=True)
+                if len(there) < FOLDERS:
+                    there.add(folder)
             own = f"{at}/_{name}.{time.time_ns():x}"
             with fs.open_output_stream(own) as out:
                 out.write(data)
@@ -294,12 +342,15 @@ class Captures(DataSource):
 
     def schema(self) -> str:
         table = self.options.get("table", "captures")
+        if table == "documents":
+            return DOCUMENTS
         if table not in SCHEMAS:
             raise ValueError(f"no such table of captures: {table}; there are {', '.join(SCHEMAS)}")
         return SCHEMAS[table]
 
-    def reader(self, schema: T.StructType) -> CaptureReader:
-        return CaptureReader(schema, dict(self.options))
+    def reader(self, schema: T.StructType) -> CaptureReader | DocumentReader:
+        made = DocumentReader if self.options.get("table") == "documents" else CaptureReader
+        return made(schema, dict(self.options))
 
     def streamReader(self, schema: T.StructType) -> CaptureStream:
         return CaptureStream(schema, dict(self.options))
